@@ -1,0 +1,34 @@
+"""Connected components of a link table by alternating large and small stars."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .words import stored
+
+
+def _to_least(edges: DataFrame, small: bool) -> DataFrame:
+    """Each node's neighbours (the larger ones, or else the smaller ones and itself) now point to its least neighbour.
+
+    The least is aggregated before the join, so a node with very many links is never gathered in one task.
+    """
+    both = edges if small else edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
+    moved = both.join(least, "a")
+    if small:
+        out = moved.select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("a", F.col("least").alias("b")))
+    else:
+        out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(a, b) links of longs to (node, component): the least node that links reach. Nodes without links are absent."""
+    edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = None
+    while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            break
+        before = now
+        edges = stored(_to_least(_to_least(edges, small=False), small=True), "links")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -5,8 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard_join import similar_classes
 from .packing import pack
 from .substring_dedup import remove_repeats
+from .toxicity import held_out, learn, score
 
 
 #: The vocabulary that op2 and op5 use.
@@ -33,7 +35,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents"))
+
+
+#: A document is taken as toxic from this score on.
+TOXIC = 0.3
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= TOXIC).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op7_toxicity": op7_toxicity,
 }

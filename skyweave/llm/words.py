@@ -80,13 +80,13 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 class Words:
     """The words of some texts: byte spans, row of each word, first word of each row (with one past the end)."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, separators: np.ndarray = SPACES):
         self.data, self.offsets = text_bytes(column)
         data = self.data
         if lower:
             data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
             self.data = data
-        word = ~SPACES[data]
+        word = ~separators[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[self.offsets] = True
         first = word.copy()
