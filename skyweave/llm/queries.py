@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import similar_classes
 from .packing import pack
+from .secret_scan import scan, shown
+from .spaced_seeds import contaminated
 from .substring_dedup import remove_repeats
 from .toxicity import held_out, learn, score
 
@@ -49,9 +51,23 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("overlaps") > 0).cast("int").alias("contaminated"), F.col("overlaps.item_id").alias("item_ids"), F.coalesce(F.array_max("overlaps.n_equal"), F.lit(0)).alias("most_equal"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind_no"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.array_sort(F.concat("base", "added"))).alias("spans"), "n_live", "n_copied")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
+    "op9_decontamination": op9_decontamination,
+    "op10_secret_scan": op10_secret_scan,
 }

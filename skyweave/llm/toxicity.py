@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms of a text are its distinct words (ASCII letters lower-cased, ASCII punctuation separates) and their first 4 to 7
+Terms of a text are its distinct words (ASCII letters lower-cased, ASCII punctuation separates) and their first 3 to 6
 bytes; each counts once a text and is hashed to 2**BITS slots. A linear weight for each slot misses what only pairs
 say, such as an insult beside a mention of a group; the machine adds an inner product of learned factors for each pair
 of terms, summed in time linear in the terms. It is fitted with AdaGrad on at most FIT_ROWS labelled rows (those of
@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from .words import BYTE_VALUES, Words, slices, span_hash
 
-BITS, FACTORS, PREFIXES = 18, 4, (4, 5, 6, 7)
+BITS, FACTORS, PREFIXES = 18, 4, (3, 4, 5, 6)
 #: Labelled rows that the machine is fitted on, at most.
 FIT_ROWS = 12_000
-EPOCHS, BATCH, RATE, DECAY, SEED = 8, 64, 0.1, 2e-4, 7
-#: A slot takes part if so many fitted texts have it.
-LEAST_TEXTS = 4
+EPOCHS, BATCH, RATE, DECAY, SEED = 10, 64, 0.1, 2e-4, 7
+#: A slot takes part if so many fitted texts have it and its presence depends on the label (chi-squared statistic):
+#: else the many rare terms of a text learn single labels by heart.
+LEAST_TEXTS, LEAST_CHI2 = 4, 12.0
 SEPARATORS = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
 
 
@@ -57,7 +58,11 @@ def logits(model: dict, slots: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def fit(slots: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict:
     size = 1 << BITS
-    used = np.bincount(slots, minlength=size) >= LEAST_TEXTS
+    n, n1 = len(labels), labels.sum()
+    texts = np.bincount(slots, minlength=size)
+    toxic = np.bincount(slots, np.repeat(labels, np.diff(offsets)), size)
+    spread = np.maximum(texts * (n - texts) * n1 * (n - n1), 1.0)
+    used = (texts >= LEAST_TEXTS) & (n * (n * toxic - texts * n1) ** 2 >= LEAST_CHI2 * spread)
     rng = np.random.default_rng(SEED)
     share = np.clip(labels.mean() if len(labels) else 0, 1e-3, 1 - 1e-3)
     model = {"bias": float(np.log(share / (1 - share))), "weights": np.zeros(size, np.float32), "factors": (rng.normal(0, 0.01, (size, FACTORS)) * used[:, None]).astype(np.float32)}
@@ -114,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict
     ids = marked.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     once = marked.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(once), "doc_id").limit(2 * fit_rows)
-    got = rows.groupBy(F.lit(0)).applyInArrow(_fit_rows, "model binary, used long").collect()
+    got = rows.withColumn("sample", F.lit(0)).groupBy("sample").applyInArrow(_fit_rows, "model binary, used long").collect()
     if not got:
         return None
     raw, n = zlib.decompress(got[0].model), got[0].used
