@@ -12,6 +12,7 @@ from .secret_scan import scan, shown
 from .spaced_seeds import contaminated
 from .substring_dedup import remove_repeats
 from .toxicity import held_out, learn, score
+from .training_order import read_shards, write_shards
 from .warc import read_archives, write_archives
 from .words import shared_folder
 
@@ -46,6 +47,16 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path)
 
 
+#: Key of the training order.
+ORDER_KEY = 20_250_101
+
+
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "shards")
+    write_shards(table(spark, sf_dir, "documents"), path, tokenizer_path(), ORDER_KEY)
+    return read_shards(spark, path).drop("ids")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"))
 
@@ -80,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op4_warc": op4_warc,
+    "op5_training_order": op5_training_order,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_gif": op8_gif,
