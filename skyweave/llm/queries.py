@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif
+from . import gif, mixing_lm
 from .jaccard_join import similar_classes
 from .packing import pack
 from .secret_scan import scan, shown
@@ -41,6 +41,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
@@ -90,6 +94,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
+    "op3_mixing_lm": op3_mixing_lm,
     "op4_warc": op4_warc,
     "op5_training_order": op5_training_order,
     "op6_jaccard_join": op6_jaccard_join,
