@@ -1,0 +1,86 @@
+"""Sources and sinks: series, catalogs, labels, event times, stored products."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SERIES = "t double, intensity double, error double"
+#: Fixed columns of the catalog files.
+CATALOG = "ID long, ra double, dec double, Teff double, rad double, mass double, GAIAmag double, d double, Tmag double, objType string"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (set here only where it is unset, as in tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="skyweave-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written and read again: the lineage ends there."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_series(lc: DataFrame, path: str) -> None:
+    """One table of cleaned series, partitioned by sector."""
+    lc.repartition("sector").write.mode("overwrite").partitionBy("sector").parquet(path)
+
+
+def read_sector(spark: SparkSession, path: str, sector: int) -> DataFrame:
+    """A1: only the partition of the sector is read."""
+    return spark.read.parquet(path).filter(F.col("sector") == sector)
+
+
+def read_labelled_series(spark: SparkSession, path: str, name_pattern: str = r"rflx_([^_/]+)_([^_/.]+)") -> DataFrame:
+    """A2: space-delimited series; the label is joined from two parts of the file's path."""
+    rows = spark.read.schema(SERIES).option("sep", " ").csv(path)
+    source = F.col("_metadata.file_path")
+    return rows.select("*", F.concat(F.regexp_extract(source, name_pattern, 1), F.regexp_extract(source, name_pattern, 2)).alias("label"))
+
+
+def read_cleaned_series(spark: SparkSession, path: str, id_pattern: str = r"lc_(\d+)_cleaned") -> DataFrame:
+    """A3: space-delimited with one header line; columns 0 and 2, the id from the file's path."""
+    rows = spark.read.schema("t double, skipped double, flux double").option("sep", " ").option("header", True).option("enforceSchema", True).csv(path)
+    return rows.select(F.regexp_extract("_metadata.file_path", id_pattern, 1).cast("long").alias("obj_id"), "t", "flux")
+
+
+def read_catalog(spark: SparkSession, path: str, schema: str = CATALOG, header: bool = True) -> DataFrame:
+    """A4."""
+    return spark.read.schema(schema).option("header", header).csv(path)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """A5: rows id, otype, main_id."""
+    return spark.read.schema("id long, otype string, main_id string").csv(path)
+
+
+def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
+    """Lines `KEY = description`; a trailing uncertainty flag of the key goes."""
+    parts = F.split("value", " = ", 2)
+    lines = spark.read.text(path).filter(F.size(parts) == 2)
+    return lines.select(F.regexp_replace(F.trim(parts[0]), "[:?*]$", "").alias("otype"), F.trim(parts[1]).alias("description"))
+
+
+def read_event_times(spark: SparkSession, path: str, header_lines: int = 6) -> DataFrame:
+    """The fourth token of each line after the header, without its last character. A file is one small text."""
+    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    token = F.get(F.split(F.trim("value"), r"\s+"), F.lit(3))
+    kept = lines.filter((F.col("line") >= header_lines) & (F.length(F.trim("value")) > 0))
+    return kept.withColumn("tok", token).select(F.expr("try_cast(left(tok, length(tok) - 1) as double)").alias("event_t"))
+
+
+def write_scores(scores: DataFrame, path: str, as_csv: bool = False) -> None:
+    """A9."""
+    scores.write.mode("overwrite").option("header", True).csv(path) if as_csv else scores.write.mode("overwrite").parquet(path)
+
+
+def read_aligned(spark: SparkSession, path: str, targets: DataFrame, key: str = "obj_id") -> DataFrame:
+    """A10: stored products for a list of targets, with `missing` for ids that have none."""
+    stored_rows = spark.read.parquet(path).withColumn("_there", F.lit(1))
+    return targets.select(key).distinct().join(stored_rows, key, "left").withColumn("missing", F.col("_there").isNull().cast("int")).drop("_there")
