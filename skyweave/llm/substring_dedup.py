@@ -3,21 +3,25 @@
 Broadcasting automata of a whole corpus to every document costs (shards x documents) and has no size bound, so the
 reference is dealt instead: every window of WINDOW words carries a minimiser (its smallest hash of SEED words), equal
 windows have equal minimisers, and only minimisers of two documents or more can lie in a repeated window. The
-stretches around those meet by minimiser; there, in order of doc_id, each stretch is streamed through a suffix
+stretches around those meet by minimiser (whole copies of a text with a smaller doc_id need not take part: all their
+windows are repeated, and the first copy stands for them); there, in order of doc_id, each stretch is streamed through a suffix
 automaton of the earlier ones and then added to it. Words are compared as such; hashes only bring them together.
 
 Cases: null or empty text has no words and stays empty; texts under WINDOW words stay whole; rows that repeat a doc_id
 do not remove each other (only a smaller doc_id does); a null doc_id counts as the largest; other columns are ignored.
 """
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import Words, chunked, slices, window_hash, window_starts
+from .words import Words, chunked, slices, stored, window_hash, window_starts
 
 WINDOW, SEED = 13, 5
 #: Documents a chunk; chunks are the unit in which texts are dealt and candidates pre-aggregated.
@@ -25,6 +29,8 @@ CHUNK_DOCS = 512
 #: A minimiser of more chunks than this meets by whole windows instead, which splits its stretches over many tasks.
 HOT_CHUNKS = 64
 NO_ID = np.iinfo(np.int64).max
+#: Chunk, row in the chunk, first word in the text, and doc_id of a stretch.
+PLACE = struct.Struct("<iiiq")
 
 
 class SuffixAutomaton:
@@ -90,6 +96,24 @@ def in_order(table: pa.Table) -> pa.Table:
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 
+def is_copy(docs: pa.Table, copies: pa.Table) -> list[bool]:
+    """Which rows of a chunk in order are whole copies of a text with a smaller doc_id."""
+    known = set(zip(copies.column("copy_id").to_pylist(), copies.column("digest").to_pylist()))
+    ids = {i for i, _ in known}
+    rows = zip(docs.column("doc_id").to_pylist(), docs.column("text"))
+    return [i in ids and (i, hashlib.sha256((t.as_py() or "").encode()).hexdigest()) in known for i, t in rows]
+
+
+def first_copies(docs: pa.Table, copies: pa.Table) -> pa.Table:
+    """The chunk's rows in order, later copies without their text."""
+    docs = in_order(docs)
+    later = is_copy(docs, copies)
+    if not any(later):
+        return docs
+    text = docs.column("text").combine_chunks()
+    return docs.set_column(docs.column_names.index("text"), "text", pc.if_else(pa.array(later), pa.scalar(None, text.type), text))
+
+
 def minimised(table: pa.Table) -> Iterator[tuple]:
     """Of each slice of a chunk: its words, first row, doc_ids, word hashes, window starts, and their minimisers."""
     text, docs = table.column("text").combine_chunks(), table.column("doc_id").to_numpy()
@@ -110,9 +134,9 @@ def minimised(table: pa.Table) -> Iterator[tuple]:
         yield words, a, docs[a:b], hashes, starts, best, at
 
 
-def _chunk_minimisers(table: pa.Table) -> pa.Table:
-    chunk, parts = table.column("chunk")[0].as_py(), []
-    for words, _, docs, _, starts, best, at in minimised(in_order(table)):
+def _chunk_minimisers(table: pa.Table, copies: pa.Table) -> pa.Table:
+    chunk, parts = table.column("chunk")[0].as_py() if table.num_rows else 0, []
+    for words, _, docs, _, starts, best, at in minimised(first_copies(table, copies)):
         once = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         parts.append((best[once], docs[words.row[starts[once]]]))
     key = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
@@ -124,15 +148,17 @@ def _chunk_minimisers(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": np.full(len(runs), chunk, np.int32), "minimiser": key[runs].view(np.int64), "low": low, "high": high})
 
 
-def _stretches(docs: pa.Table, repeated: pa.Table) -> pa.Table:
+def _stretches(docs: pa.Table, notes: pa.Table) -> pa.Table:
     """The stretches of a chunk around repeated minimisers, equal ones merged, with all places where they stand."""
-    out: dict[str, list] = {k: [] for k in ("key", "doc", "stretch", "at", "docs")}
+    out: dict[str, list] = {k: [] for k in ("key", "doc", "stretch", "places")}
+    chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
+    repeated = notes.filter(pc.is_valid(notes.column("minimiser")))
     if docs.num_rows and repeated.num_rows:
         wanted = repeated.column("minimiser").to_numpy().view(np.uint64)
         order = np.argsort(wanted)
         wanted, hot = wanted[order], repeated.column("hot").to_numpy(zero_copy_only=False)[order]
         seen: dict[tuple, list] = {}
-        for words, row0, ids, hashes, starts, best, at in minimised(in_order(docs)):
+        for words, row0, ids, hashes, starts, best, at in minimised(first_copies(docs, notes)):
             place = np.minimum(np.searchsorted(wanted, best), len(wanted) - 1)
             keep = wanted[place] == best
             starts, best, at, hot_here = starts[keep], best[keep], at[keep], hot[place[keep]]
@@ -147,17 +173,15 @@ def _stretches(docs: pa.Table, repeated: pa.Table) -> pa.Table:
                 key[alone] = window_hash(hashes, starts[heads[alone]], WINDOW)
             raw = words.data.tobytes()
             rows = words.row[starts[heads]]
-            spot = ((rows + row0).astype(np.int64) << 32) + (starts[heads] - words.first[rows])
-            for k, a, b, s, d in zip(key.view(np.int64).tolist(), words.start[starts[heads]].tolist(), words.end[starts[tails] + WINDOW - 1].tolist(), spot.tolist(), ids[rows].tolist()):
-                seen.setdefault((k, b" ".join(raw[a:b].split())), []).append((s, d))
+            spot = starts[heads] - words.first[rows]
+            for k, a, b, r, s, d in zip(key.view(np.int64).tolist(), words.start[starts[heads]].tolist(), words.end[starts[tails] + WINDOW - 1].tolist(), (rows + row0).tolist(), spot.tolist(), ids[rows].tolist()):
+                seen.setdefault((k, b" ".join(raw[a:b].split())), []).append((chunk, r, s, d))
         for (k, stretch), places in seen.items():
             out["key"].append(k)
-            out["doc"].append(min(d for _, d in places))
+            out["doc"].append(min(p[3] for p in places))
             out["stretch"].append(stretch)
-            out["at"].append([s for s, _ in places])
-            out["docs"].append([d for _, d in places])
-    chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
-    return pa.table([pa.array([chunk] * len(out["key"]), pa.int32()), pa.array(out["key"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["stretch"], pa.binary()), pa.array(out["at"], pa.list_(pa.int64())), pa.array(out["docs"], pa.list_(pa.int64()))], ["chunk", "key", "doc", "stretch", "at", "docs"])
+            out["places"].append(b"".join(PLACE.pack(*p) for p in places))
+    return pa.table([pa.array(out["key"], pa.int64()), pa.array(out["doc"], pa.int64()), pa.array(out["stretch"], pa.binary()), pa.array(out["places"], pa.binary())], ["key", "doc", "stretch", "places"])
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +190,7 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         chunks, places, masks = [], [], []
         columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for chunk, key, doc, stretch, at, docs in zip(*columns):
+        for key, doc, stretch, at in zip(*columns):
             if key != now:
                 now, known, automaton = key, {}, None
             first = known.get(stretch)
@@ -179,17 +203,19 @@ def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = known[stretch] = (doc, automaton.first_docs(words, WINDOW, doc) if automaton else [doc] * (len(words) - WINDOW + 1))
                 if automaton:
                     automaton.add(words, doc)
-            for place, own in zip(at, docs):
+            for chunk, row, start, own in PLACE.iter_unpack(at):
                 mask = sum(1 << j for j, d in enumerate(first[1]) if d < own)
                 if mask:
                     chunks.append(chunk)
-                    places.append(place)
+                    places.append((row << 32) + start)
                     masks.append(mask)
         yield pa.record_batch([pa.array(chunks, pa.int32()), pa.array(places, pa.int64()), pa.array(masks, pa.int32())], ["chunk", "place", "mask"])
 
 
 def _kept(docs: pa.Table, covers: pa.Table) -> pa.Table:
     docs = in_order(docs)
+    later = is_copy(docs, covers)
+    covers = covers.filter(pc.is_valid(covers.column("place")))
     place, mask = covers.column("place").to_numpy(), covers.column("mask").to_numpy()
     order = np.argsort(place)
     place, mask = place[order], mask[order]
@@ -205,7 +231,9 @@ def _kept(docs: pa.Table, covers: pa.Table) -> pa.Table:
                 if m >> j & 1:
                     gone[p + j] += 1
                     gone[p + j + WINDOW] -= 1
-        if bounds[i] < bounds[i + 1]:
+        if later[i]:
+            words = [] if len(words) >= WINDOW else words
+        elif bounds[i] < bounds[i + 1]:
             keep = np.cumsum(gone[:-1]) == 0
             words = [w for w, k in zip(words, keep.tolist()) if k]
         removed.append(counts[-1] - len(words))
@@ -217,13 +245,23 @@ def _kept(docs: pa.Table, covers: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_words, n_removed): texts without the words of windows that start in a smaller doc_id too."""
     texts = chunked(docs, CHUNK_DOCS)
-    found = texts.groupBy("chunk").applyInArrow(_chunk_minimisers, "chunk int, minimiser long, low long, high long")
+    copies = stored(_copies(texts), "copies")
+    found = texts.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(_chunk_minimisers, "chunk int, minimiser long, low long, high long")
     same = Window.partitionBy("minimiser")
     repeated = (
         found.select("chunk", "minimiser", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high"), F.count("*").over(same).alias("n"))
         .filter("low < high")
         .select("chunk", "minimiser", (F.col("n") > HOT_CHUNKS).alias("hot"))
     )
-    stretches = texts.groupBy("chunk").cogroup(repeated.groupBy("chunk")).applyInArrow(_stretches, "chunk int, key long, doc long, stretch binary, at array<long>, docs array<long>")
+    notes = repeated.unionByName(copies, allowMissingColumns=True)
+    stretches = texts.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(_stretches, "key long, doc long, stretch binary, places binary")
     covers = stretches.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_covered, "chunk int, place long, mask int")
+    covers = covers.unionByName(copies, allowMissingColumns=True)
     return texts.groupBy("chunk").cogroup(covers.groupBy("chunk")).applyInArrow(_kept, "doc_id long, text string, n_words long, n_removed long")
+
+
+def _copies(texts: DataFrame) -> DataFrame:
+    """(chunk, copy_id, digest) of texts that a smaller doc_id has too; a group's least is aggregated before the join."""
+    digests = stored(texts.filter("text is not null").select("chunk", F.coalesce("doc_id", F.lit(NO_ID)).alias("copy_id"), F.sha2("text", 256).alias("digest")), "digests")
+    firsts = digests.groupBy("digest").agg(F.min("copy_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return digests.join(firsts, "digest").filter("copy_id > first").select("chunk", "copy_id", "digest")
