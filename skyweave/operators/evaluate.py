@@ -1,4 +1,4 @@
-"""Scores of predicted classes: long confusion matrices (true, pred, n)."""
+"""Scores of predicted classes: long confusion matrices (true_label, pred_label, n)."""
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -9,19 +9,19 @@ from ..functions.assignment import best_match
 
 def confusion(pred: DataFrame, true: DataFrame, key: str = "id") -> DataFrame:
     """Counts on common ids, all labels on both axes. What is crossed are the distinct labels."""
-    counts = true.select(key, F.col("label").alias("true")).join(pred.select(key, F.col("label").alias("pred")), key).groupBy("true", "pred").agg(F.count("*").alias("n"))
-    labels = counts.select(F.col("true").alias("l")).union(counts.select("pred")).distinct()
-    cells = labels.select(F.col("l").alias("true")).crossJoin(F.broadcast(labels.select(F.col("l").alias("pred"))))
-    return cells.join(counts, ["true", "pred"], "left").select("true", "pred", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = true.select(key, F.col("label").alias("true_label")).join(pred.select(key, F.col("label").alias("pred_label")), key).groupBy("true_label", "pred_label").agg(F.count("*").alias("n"))
+    labels = counts.select(F.col("true_label").alias("l")).union(counts.select("pred_label")).distinct()
+    cells = labels.select(F.col("l").alias("true_label")).crossJoin(F.broadcast(labels.select(F.col("l").alias("pred_label"))))
+    return cells.join(counts, ["true_label", "pred_label"], "left").select("true_label", "pred_label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def best_order(matrix: DataFrame) -> tuple[dict, float]:
     """Predicted class for each true class, and the accuracy; the matrix (classes squared) reaches the driver."""
     rows = matrix.collect()
-    names, preds = sorted({r.true for r in rows}), sorted({r.pred for r in rows})
+    names, preds = sorted({r.true_label for r in rows}), sorted({r.pred_label for r in rows})
     counts = np.zeros((len(names), len(preds)))
     for r in rows:
-        counts[names.index(r.true), preds.index(r.pred)] = r.n
+        counts[names.index(r.true_label), preds.index(r.pred_label)] = r.n
     match = best_match(counts)
     hit = sum(counts[i, j] for i, j in match.items())
     return {names[i]: preds[j] for i, j in match.items()}, float(hit / counts.sum()) if counts.sum() else float("nan")
@@ -29,8 +29,8 @@ def best_order(matrix: DataFrame) -> tuple[dict, float]:
 
 def class_scores(matrix: DataFrame) -> DataFrame:
     """Recall, false discovery rate, precision, accuracy, and counts of each class; NULL where nothing is divided."""
-    rows = matrix.groupBy(F.col("true").alias("label")).agg(F.sum("n").alias("n_true"), F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
-    cols = matrix.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("n_pred"))
+    rows = matrix.groupBy(F.col("true_label").alias("label")).agg(F.sum("n").alias("n_true"), F.sum(F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0)).alias("tp"))
+    cols = matrix.groupBy(F.col("pred_label").alias("label")).agg(F.sum("n").alias("n_pred"))
     total = matrix.agg(F.sum("n").alias("total"))
     j = rows.join(cols, "label").join(F.broadcast(total))
     fp, fn = F.col("n_pred") - F.col("tp"), F.col("n_true") - F.col("tp")
@@ -45,10 +45,10 @@ def summary(scores: DataFrame, labels: list, digits: int = 2) -> DataFrame:
 
 def cases(pred: DataFrame, true: DataFrame, n: int | None = None, key: str = "id") -> DataFrame:
     """(label, kind, id): true positives, false positives and false negatives of each class (the first n by id)."""
-    both = true.select(key, F.col("label").alias("true")).join(pred.select(key, F.col("label").alias("pred")), key)
-    hit = both.filter("true = pred").select(F.col("true").alias("label"), F.lit("TP").alias("kind"), key)
-    miss = both.filter("true <> pred")
-    out = hit.union(miss.select("pred", F.lit("FP"), key)).union(miss.select("true", F.lit("FN"), key))
+    both = true.select(key, F.col("label").alias("true_label")).join(pred.select(key, F.col("label").alias("pred_label")), key)
+    hit = both.filter("true_label = pred_label").select(F.col("true_label").alias("label"), F.lit("TP").alias("kind"), key)
+    miss = both.filter("true_label <> pred_label")
+    out = hit.union(miss.select("pred_label", F.lit("FP"), key)).union(miss.select("true_label", F.lit("FN"), key))
     if n is None:
         return out
     rank = F.row_number().over(Window.partitionBy("label", "kind").orderBy(key))
@@ -73,7 +73,7 @@ def list_accuracy(pred: DataFrame, rows: DataFrame, lists: dict[str, list[str]],
     """The share of equal labels for each priority list."""
     out = None
     for name, priority in lists.items():
-        both = single_label(rows, priority, key).join(pred.select(key, F.col("label").alias("pred")), key)
-        row = both.agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy")).select(F.lit(name).alias("list"), "accuracy")
+        both = single_label(rows, priority, key).join(pred.select(key, F.col("label").alias("pred_label")), key)
+        row = both.agg(F.avg((F.col("label") == F.col("pred_label")).cast("double")).alias("accuracy")).select(F.lit(name).alias("list"), "accuracy")
         out = row if out is None else out.unionByName(row)
     return out

@@ -69,7 +69,7 @@ def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_event_times(spark: SparkSession, path: str, header_lines: int = 6) -> DataFrame:
     """The fourth token of each line after the header, without its last character. A file is one small text."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     token = F.get(F.split(F.trim("value"), r"\s+"), F.lit(3))
     kept = lines.filter((F.col("line") >= header_lines) & (F.length(F.trim("value")) > 0))
     return kept.withColumn("tok", token).select(F.expr("try_cast(left(tok, length(tok) - 1) as double)").alias("event_t"))
