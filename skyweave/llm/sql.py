@@ -1,3 +1,54 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
-ORACLES: dict[str, str] = {}
+from .secret_scan import ACCESS, ASSIGN, HEX, LEAST_VALUE, MOST_OWNERS, MOST_REPOSITORIES, TOKEN
+from .warc import LEAST_SHARED
+
+WORDS = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = f"""WITH w AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+ p AS (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 12, 0))) AS i FROM w), win AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + 13], ' ') AS k FROM p),
+ m AS (SELECT k, min(doc_id) AS first FROM win GROUP BY 1),
+ cov AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN m USING (k) WHERE first < doc_id)),
+ wd AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM w),
+ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY wd.p) AS t FROM wd ANTI JOIN cov USING (doc_id, p) GROUP BY 1)
+ SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+OP4 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS original FROM p WHERE strlen(h) >= {LEAST_SHARED} GROUP BY 1)
+ SELECT page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < original THEN original END AS refers_to FROM p LEFT JOIN g USING (h)"""
+
+OP6 = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text=LOWER)} AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + 5], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(CASE WHEN len(ws) = 0 THEN 0 ELSE greatest(len(ws) - 4, 1) END)) AS i FROM w)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a, min(b) AS c FROM r GROUP BY 1)
+ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(c, w.doc_id)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id"""
+
+
+def _spans(pattern: str, kind: int, value: int = 2) -> str:
+    find = lambda g: f"regexp_extract_all(x, '(?s)(.*?)({pattern.replace(chr(39), chr(39) * 2)})', {g})"
+    total = lambda l: f"CAST(coalesce(list_sum(list_transform({l}, lambda y: length(y))), 0) AS BIGINT)"
+    span = f"{{'start': {total('g[1:i]')} + {total('m[1:i - 1]')}, 'kind_no': {kind}, 'end': {total('g[1:i]')} + {total('m[1:i]')}, 'value': v[i]}}"
+    return f"SELECT r, {span} AS span FROM (SELECT r, g, m, v, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, {find(1)} AS g, {find(2)} AS m, {find(value)} AS v FROM t))"
+
+
+SHOWN = "coalesce(string_agg((['assign', 'access', 'hex', 'token'])[span.kind_no + 1] || ':' || span.start || ':' || span.end, ',' ORDER BY span.start, span.kind_no), '')"
+OP10 = f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS x FROM documents),
+ b AS (SELECT * FROM ({_spans(ASSIGN, 0, 3)}) WHERE length(span.value) >= {LEAST_VALUE} UNION ALL {_spans(ACCESS, 1)} UNION ALL {_spans(HEX, 2)}),
+ k AS (SELECT * FROM ({_spans(TOKEN, 3)}) WHERE regexp_matches(span.value, '[0-9]') AND regexp_matches(span.value, '[A-Za-z]')),
+ a AS (SELECT k.* FROM k ANTI JOIN b ON b.r = k.r AND b.span.start < k.span.end AND k.span.start < b.span.end),
+ j AS (SELECT r, doc_id, source, span FROM (SELECT * FROM b UNION ALL SELECT * FROM a) JOIN t USING (r)),
+ f AS (SELECT span.value AS value, count(DISTINCT coalesce(source, chr(0))) AS owners, sum(1) AS n FROM j GROUP BY 1),
+ q AS (SELECT value, sum(repositories) AS repositories FROM (SELECT span.value AS value, source, count(DISTINCT doc_id) AS repositories FROM j GROUP BY 1, 2) GROUP BY 1),
+ z AS (SELECT j.*, owners <= {MOST_OWNERS} AND repositories <= {MOST_REPOSITORIES} AS live FROM j JOIN f ON f.value = j.span.value JOIN q ON q.value = j.span.value),
+ h AS (SELECT r, count(*) FILTER (span.kind_no = 0) AS n_assign, count(*) FILTER (span.kind_no = 1) AS n_access, count(*) FILTER (span.kind_no = 2) AS n_hex, {SHOWN.replace("), '')", ") FILTER (span.kind_no < 3), '')")} AS base,
+ {SHOWN.replace("), '')", ") FILTER (span.kind_no < 3 OR live), '')")} AS spans, count(*) FILTER (span.kind_no < 3 AND live) AS n_live, count(*) FILTER (span.kind_no < 3 AND NOT live) AS n_copied FROM z GROUP BY 1)
+ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN h USING (r)"""
+
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": OP1,
+    "op4_warc": OP4,
+    "op6_jaccard_join": OP6,
+    "op10_secret_scan": OP10,
+}

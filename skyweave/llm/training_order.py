@@ -101,7 +101,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_shards(spark: SparkSession, path: str, first_shard: int = 0) -> DataFrame:
     """(slot, shard, row, doc_id, place, n_ids, ids_crc32, ids) from `first_shard` on, where an earlier reading stopped."""
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard int").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = files.select(F.regexp_extract("path", r"shard=(\d+)/", 1).cast("int").alias("shard"), "length", "content")
     lengths = files.groupBy("shard").agg((F.sum("length") / STRIDE).cast("long").alias("n"))
     before = lengths.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     rows = files.filter(F.col("shard") >= first_shard).select("shard", "content").join(F.broadcast(before), "shard")
