@@ -31,10 +31,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are masked; widely copied examples stay."""
-    live = scan(docs).filter(F.size("live") > 0).groupBy("doc_id").agg(F.any_value("live").alias("live"))
-    text = F.when(F.col("live").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("live")))
+    live = scan(docs).filter(F.size("live") > 0).groupBy("doc_id").agg(F.any_value("live").alias("_live_spans"))
+    text = F.when(F.col("_live_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_live_spans")))
     out = docs.join(live, "doc_id", "left").withColumn("text", text)
-    return out.withColumn("n_chars", F.when(F.col("live").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("_live_spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
