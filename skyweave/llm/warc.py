@@ -2,8 +2,8 @@
 
 A payload is stored as segment records of at most CHUNK_BYTES each (the format's own record segmentation): rows of
 record identifier and chunk number, so no step needs room for a whole record. Spark's text writer writes each row as
-one record; the two line ends that close a record are its separator. On reading, each archive part (of bounded size,
-since segments are dealt evenly) is split into records by their content lengths, and the digest of a payload is carried
+one record; the two line ends that close a record are its separator, and the parts are gzipped. On reading, each archive
+part (of bounded size, as its records are) is split into records by their content lengths, and the digest of a payload is carried
 along its chunks in order. Records of equal payloads from LEAST_SHARED bytes on are revisits of the one with the
 largest id.
 
@@ -11,17 +11,17 @@ Cases: a null payload is empty; null ids get no revisits and are written with an
 numbered apart; an empty table writes no records; other columns are ignored.
 """
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES, LEAST_SHARED = 65_536, 1_000
-#: Bytes of an archive part, about.
-PART_BYTES = 16_000_000
+#: Records of an archive part, which with CHUNK_BYTES bounds what a reader holds of it.
+PART_RECORDS = 1_024
 END = "\r\n\r\n"
 RECORD = "record_id string, page_id long, chunk_no int, record_type string, refers_to long, payload_bytes long, payload_digest string, chunk binary"
 
@@ -56,7 +56,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(out, pa.binary())], ["record"])
 
 
-def write_archives(pages: DataFrame, path: str, part_bytes: int = PART_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, part_records: int = PART_RECORDS) -> None:
     """Writes one logical record for each row of pages (page_id, url, html) below `path`."""
     text = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("html"))
@@ -65,9 +65,8 @@ def write_archives(pages: DataFrame, path: str, part_bytes: int = PART_BYTES) ->
     refers = F.when((F.col("bytes") >= LEAST_SHARED) & (F.col("page_id") < F.col("original")), F.col("original"))
     placed = rows.join(same, "key", "left").withColumn("refers_to", refers).withColumn("row", F.monotonically_increasing_id())
     records = placed.select("row", "page_id", "url", "refers_to", "digest", "bytes", "html").mapInArrow(_records, "record binary")
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
-    records.repartition(int(parts)).select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).text(path)
+    lines = records.select(F.col("record").cast("string").alias("value"))
+    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", part_records).text(path)
 
 
 def parse(archive: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -93,7 +92,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows, held = [], 0
-            for headers, block in parse(memoryview(content.as_py())):
+            for headers, block in parse(memoryview(gzip.decompress(content.as_py()))):
                 refers = headers.get("WARC-Refers-To")
                 page = headers["Page-Id"].strip()
                 rows.append((headers["WARC-Segment-Origin-ID"], int(page) if page else None, int(headers["WARC-Segment-Number"]), headers["WARC-Type"], int(refers.strip("<>").rsplit(":", 1)[1]) if refers else None, int(headers["Payload-Length"]), headers["WARC-Payload-Digest"].removeprefix("sha1:"), bytes(block)))

@@ -187,13 +187,12 @@ def test_spelling_is_a_distribution():
 # --- 4
 
 
-def test_warc(spark, monkeypatch):
+def test_warc(spark):
     big = "z" * 5000
     pages = [(1, "u", big), (2, "u", big), (3, None, None), (4, "u", ""), (5, "u", ""), (6, "x\r\ny", "a\r\n\r\nWARC/1.1\r\nb" * 90), (None, "u", big), (7, "u", "é" * 40_000), (7, "u", "é" * 40_000)]
     table = spark.createDataFrame([(*p, None) for p in pages], "page_id long, url string, html string, row long")
-    monkeypatch.setattr(warc, "PART_BYTES", 20_000)
     path = shared_folder(spark, "warc")
-    warc.write_archives(table, path, 20_000)
+    warc.write_archives(table, path, 3)
     got = sorted(map(tuple, warc.read_archives(spark, path).collect()), key=str)
     want = []
     for i, _, h in pages:
