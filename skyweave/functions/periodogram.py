@@ -14,18 +14,30 @@ def _chunks(n_times: int, omega: np.ndarray):
         yield omega[a : a + step]
 
 
+def waves(t: np.ndarray, omega: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines and sines of omega * t (frequencies x times); on an even grid most come from products of a few."""
+    if len(omega) > 2 * block and np.allclose(np.diff(omega), omega[1] - omega[0], rtol=1e-9, atol=0):
+        heads = np.exp(1j * np.outer(omega[::block], t))
+        steps = np.exp(1j * np.outer((omega[1] - omega[0]) * np.arange(block), t))
+        w = (heads[:, None, :] * steps[None, :, :]).reshape(-1, len(t))[: len(omega)]
+        return w.real, w.imag
+    x = np.outer(omega, t)
+    return np.cos(x), np.sin(x)
+
+
 def classic(t: np.ndarray, y: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """Power at angular frequencies, no mean removed, divided by the sum of squares (Scargle 1982)."""
     out = []
     total = float(y @ y)
     for w in _chunks(len(t), omega):
-        x = np.outer(w, t)
-        c, s = np.cos(x), np.sin(x)
-        tau = np.arctan2(2 * (c * s).sum(1), (c * c).sum(1) - (s * s).sum(1)) / 2
-        x -= tau[:, None]
-        c, s = np.cos(x), np.sin(x)
+        c, s = waves(t, w)
+        yc, ys, cc, ss, cs = c @ y, s @ y, (c * c).sum(1), (s * s).sum(1), (c * s).sum(1)
+        turn = np.arctan2(2 * cs, cc - ss) / 2  # omega * tau: sums are turned instead of the waves
+        a, b = np.cos(turn), np.sin(turn)
+        yc, ys = yc * a + ys * b, ys * a - yc * b
+        cc, ss = cc * a * a + 2 * cs * a * b + ss * b * b, ss * a * a - 2 * cs * a * b + cc * b * b
         with np.errstate(divide="ignore", invalid="ignore"):
-            out.append(((c @ y) ** 2 / (c * c).sum(1) + (s @ y) ** 2 / (s * s).sum(1)) / total)
+            out.append((yc**2 / cc + ys**2 / ss) / total)
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -35,10 +47,9 @@ def floating_mean(t: np.ndarray, y: np.ndarray, omega: np.ndarray) -> np.ndarray
     y = y - y.mean()
     total = float(y @ y)
     for w in _chunks(len(t), omega):
-        x = np.outer(w, t)
-        c, s = np.cos(x), np.sin(x)
-        c -= c.mean(1, keepdims=True)
-        s -= s.mean(1, keepdims=True)
+        c, s = waves(t, w)
+        c = c - c.mean(1, keepdims=True)
+        s = s - s.mean(1, keepdims=True)
         yc, ys, cc, ss, cs = c @ y, s @ y, (c * c).sum(1), (s * s).sum(1), (c * s).sum(1)
         d = cc * ss - cs * cs
         with np.errstate(divide="ignore", invalid="ignore"):
