@@ -330,7 +330,7 @@ def e10(spark, d):
 @query("w1_novelty")
 def w1(spark, d):
     """Clean, normalise, 16 features, standardise, LOF, the most novel."""
-    table = features.engineered(v.ok(spark, d))
+    table = sources.stored(features.engineered(v.ok(spark, d)), "features")
     columns = table.columns[1:]
     table = normalize.standardize_columns(table.dropna(), columns)
     scores = neighbors.local_outlier_factor(table.select("obj_id", F.array(*columns).alias("features")), 20)
