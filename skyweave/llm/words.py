@@ -13,6 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import shared_folder, stored
+
+__all__ = ["BYTE_VALUES", "SPACES", "Words", "chunked", "mix", "shared_folder", "slices", "span_hash", "stored", "text_bytes", "window_hash", "window_starts"]
+
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Texts are hashed in slices of about so many bytes, which bounds the arrays of a task.
@@ -128,22 +132,3 @@ def chunked(docs: DataFrame, size: int) -> DataFrame:
     chunks = max(1, -(-n // size))
     chunk = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(chunks)).cast("int")
     return docs.select(chunk.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-
-
-def shared_folder(spark, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:  # unset only in tests on one machine
-        root = tempfile.mkdtemp(prefix="skyweave-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: the lineage ends there and survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -167,6 +167,7 @@ def test_language_model(docs, texts, odd, none):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
         assert -1e6 < r.score < 0
+    assert math.isfinite(mixing_lm.score(odd.filter("doc_id = 8").withColumn("doc_id", F.lit(next(i for i in held if held[i])))).first().score)
     rows = mixing_lm.score(odd).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r.score) for r in rows)
     assert mixing_lm.score(none).count() == 0
