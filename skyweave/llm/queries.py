@@ -58,7 +58,7 @@ ORDER_KEY = 20_250_101
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "shards")
     write_shards(table(spark, sf_dir, "documents"), path, tokenizer_path(), ORDER_KEY)
-    return read_shards(spark, path).drop("ids")
+    return read_shards(spark, path, with_ids=False)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
