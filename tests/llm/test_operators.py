@@ -185,6 +185,23 @@ def test_spelling_is_a_distribution():
     assert np.exp(total[s.begin]).sum() == pytest.approx(1)
 
 
+def test_texts_are_predicted_from_what_stands_before(spark, monkeypatch):
+    """The order of words counts, a passage costs less the second time, and all texts of two bytes add up to one."""
+    train = " ".join(VOCABULARY[:60])
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    free = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2)
+    fresh = "zqj kxv wpf ybd gmh quuxo fjordy vexing plumb hazy crwth jinks wyvern bokeh"
+    rows = [(free, train), (held[0], "w10 w11 w12 w13"), (held[1], "w13 w11 w10 w12"), (held[2], fresh), (held[3], f"{fresh} {fresh}")]
+    got = {r.doc_id: r.score for r in mixing_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+    assert got[held[3]] - got[held[2]] > 0.7 * got[held[2]]
+    monkeypatch.setattr(mixing_lm, "BLOCK_LEAST", 1)
+    every = mixing_lm.Spelling.__new__(mixing_lm.Spelling)
+    every._fill(np.stack(np.divmod(np.arange(1 << 16), 256), 1).astype(np.uint8).ravel(), np.arange(1 << 16) * 2, np.full(1 << 16, 2))
+    table = RNG.normal(0, 1, (mixing_lm.PREDICTORS, 1 << mixing_lm.SLOT_BITS)).astype(np.float32)
+    assert (10 ** mixing_lm.mixed(every, table)).sum() == pytest.approx(1, abs=1e-3)
+
+
 # --- 4
 
 
