@@ -202,6 +202,11 @@ def test_texts_are_predicted_from_what_stands_before(spark, monkeypatch):
     assert (10 ** mixing_lm.mixed(every, table)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_scores_of_a_text_do_not_depend_on_the_split(docs):
+    one, many = ({r.doc_id: (r.score, r.base_score) for r in mixing_lm.score(docs.repartition(n, "text")).collect()} for n in (1, 7))
+    assert one.keys() == many.keys() and all(one[i] == pytest.approx(many[i], rel=1e-6) for i in one)
+
+
 # --- 4
 
 
