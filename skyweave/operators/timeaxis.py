@@ -148,18 +148,23 @@ def running_median(table: DataFrame, columns: list[str], by: str, part: str | No
     return out
 
 
-def attitude_outlier_bins(table: DataFrame, columns: list[str], t0: float, size: int = 900, sigma: float = 5.0) -> DataFrame:
+def attitude_outlier_bins(table: DataFrame, columns: list[str], t0: float, size: int = 900, sigma: float = 5.0, part: str | None = None) -> DataFrame:
     """From the sample nearest to t0 on, means of full bins of `size` samples (bin time: its first sample); bins
-    beyond mean +- sigma deviations in any channel."""
-    start = table.agg(F.min_by("i", F.struct(F.abs(F.col("t") - t0), F.col("i"))).alias("i0"))
-    bins = table.join(F.broadcast(start)).filter("i >= i0").withColumn("bin", F.floor((F.col("i") - F.col("i0")) / size))
-    means = bins.groupBy("bin").agg(F.count("*").alias("n"), F.min_by("t", "i").alias("t"), *(F.avg(c).alias(c) for c in columns)).filter(F.col("n") == size)
-    stats = means.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns))
+    beyond mean +- sigma deviations in any channel. With `part` each stretch has its own start, bins and statistics."""
+    keys = [part] if part else []
+
+    def meet(rows: DataFrame, facts: DataFrame) -> DataFrame:
+        return rows.join(facts.withColumnRenamed(part, "_part"), F.col(part).eqNullSafe(F.col("_part"))).drop("_part") if part else rows.join(F.broadcast(facts))
+
+    start = table.groupBy(*keys).agg(F.min_by("i", F.struct(F.abs(F.col("t") - t0), F.col("i"))).alias("i0"))
+    bins = meet(table, start).filter("i >= i0").withColumn("bin", F.floor((F.col("i") - F.col("i0")) / size))
+    means = bins.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.min_by("t", "i").alias("t"), *(F.avg(c).alias(c) for c in columns)).filter(F.col("n") == size)
+    stats = means.groupBy(*keys).agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns))
     odd = [F.abs(F.col(c) - F.col(f"m_{c}")) > sigma * F.col(f"s_{c}") for c in columns]
     any_odd = odd[0]
     for x in odd[1:]:
         any_odd = any_odd | x
-    return means.join(F.broadcast(stats)).filter(any_odd).select("bin", "t", *columns)
+    return meet(means, stats).filter(any_odd).select(*keys, "bin", "t", *columns)
 
 
 def events_inside(lc: DataFrame, events: DataFrame, key: str = "obj_id") -> DataFrame:

@@ -278,12 +278,25 @@ def d15(spark, d):
     return rounded(timeaxis.attitude_outlier_bins(attitude(spark, d).filter("stretch = 1").drop("stretch"), ["q1", "q2", "q3"], 20.4, 20, 1.5), "t", "q1", "q2", "q3")
 
 
+@query("d15_attitude_bins_all")
+def d15_all(spark, d):
+    """Every stretch, where the query above is held to one by its SQL."""
+    return rounded(timeaxis.attitude_outlier_bins(attitude(spark, d), ["q1", "q2", "q3"], 20.4, 20, 1.5, "stretch"), "t", "q1", "q2", "q3")
+
+
 @query("d16_events_inside", f"WITH {v.LC}, s AS (SELECT obj_id, min(t) AS a, max(t) AS b FROM lc WHERE t BETWEEN 3 AND 20 GROUP BY 1), ev AS (SELECT DISTINCT o_orderkey % 30 + 0.5 AS event_t FROM orders) SELECT obj_id, CAST(event_t AS DOUBLE) AS event_t FROM s JOIN ev ON event_t BETWEEN a AND b")
 def d16(spark, d):
     events = v.table(spark, d, "orders").select((F.col("o_orderkey") % 30 + F.lit(0.5)).cast("double").alias("event_t")).distinct()
     return timeaxis.events_inside(v.lc(spark, d).filter("t between 3 and 20"), events)
 
 
+@query("d16_events_inside_all")
+def d16_all(spark, d):
+    """Whole series, where the query above is held to t from 3 to 20 by its SQL."""
+    events = v.table(spark, d, "orders").select((F.col("o_orderkey") % 30 + F.lit(0.5)).cast("double").alias("event_t")).distinct()
+    return timeaxis.events_inside(v.lc(spark, d), events)
+
+
 MOMENTS = f"""m AS (SELECT obj_id, t, flux, flux - avg(flux) OVER (PARTITION BY obj_id) AS d FROM ok), mo AS (SELECT obj_id, avg(flux) AS mean, avg(d ** 2) AS m2, avg(d ** 3) AS m3, avg(d ** 4) AS m4 FROM m GROUP BY 1)"""
 
 

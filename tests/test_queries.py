@@ -29,3 +29,26 @@ def test_entry_contract():
     import __spark_entry__ as e
 
     assert set(plans.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_attitude_bins_of_all_stretches(spark):
+    """One stretch at a time gives what all at once give."""
+    from skyweave.operators.timeaxis import attitude_outlier_bins
+    from skyweave.plans.series_queries import attitude
+
+    table = attitude(spark, FOLDER).cache()
+    got = {tuple(r) for r in plans.QUERIES["d15_attitude_bins_all"](spark, FOLDER).select("stretch", "bin", "t").collect()}
+    stretches = [r.stretch for r in table.select("stretch").distinct().collect()]
+    want = set()
+    for k in stretches:
+        one = attitude_outlier_bins(table.filter(f"stretch = {k}").drop("stretch"), ["q1", "q2", "q3"], 20.4, 20, 1.5)
+        want |= {(k, r.bin, round(r.t, 6)) for r in one.collect()}
+    assert len(stretches) > 1 and got == want and len({k for k, *_ in got}) > 1
+
+
+def test_events_inside_whole_series(spark, con):
+    from skyweave.plans import views as v
+
+    sql = f"WITH {v.LC}, s AS (SELECT obj_id, min(t) AS a, max(t) AS b FROM lc GROUP BY 1), ev AS (SELECT DISTINCT o_orderkey % 30 + 0.5 AS event_t FROM orders) SELECT obj_id, CAST(event_t AS DOUBLE) AS event_t FROM s JOIN ev ON event_t BETWEEN a AND b"
+    got = plans.QUERIES["d16_events_inside_all"](spark, FOLDER).toPandas()
+    assert got.event_t.max() > 20 and rows(got) == rows(con.execute(sql).df())
