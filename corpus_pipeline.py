@@ -30,10 +30,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking credentials are masked; widely copied examples stay."""
-    live = scan(docs).filter(F.size("live") > 0).groupBy("doc_id").agg(F.any_value("live").alias("_live_spans"))
+    """Live-looking credentials are masked, each row by its own spans; widely copied examples stay."""
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = scan(keyed.select(F.col("_row").alias("doc_id"), "text", "source", F.col("doc_id").alias("repository")), repository="repository")
+    live = found.filter(F.size("live") > 0).select(F.col("doc_id").alias("_row"), F.col("live").alias("_live_spans"))
     text = F.when(F.col("_live_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_live_spans")))
-    out = docs.join(live, "doc_id", "left").withColumn("text", text)
+    out = keyed.join(live, "_row", "left").withColumn("text", text)
     return out.withColumn("n_chars", F.when(F.col("_live_spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
 
 

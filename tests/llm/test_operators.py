@@ -420,3 +420,14 @@ def test_pipeline(spark):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == left - dirty
     for name, stage in c.STAGES:
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_each_row_is_masked_by_its_own_spans(spark):
+    """Null doc_ids are masked too, and rows that share a doc_id keep what is harmless."""
+    import corpus_pipeline
+
+    secret = "0123456789abcdef0123456789abcdee"
+    rows = [(None, f"key {secret} end", "a"), (1, "harmless words that stay as they are, all of them", "b"), (1, f"x {secret[::-1]}", "b")]
+    docs = spark.createDataFrame([(i, t, s, len(t)) for i, t, s in rows], "doc_id long, text string, source string, n_chars int")
+    got = {r.text for r in corpus_pipeline.mask_secrets(spark, docs, FOLDER).collect()}
+    assert got == {"key [SECRET] end", rows[1][1], "x [SECRET]"}
