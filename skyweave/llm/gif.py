@@ -2,9 +2,11 @@
 
 The decoder reads the blocks of a file, unpacks the LZW code streams of its images, maps indexes by the local or global
 palette, and composes timed frames by disposal method and transparent index. Code widths depend only on how many codes
-came since the last clear code, so all codes of such a run are unpacked at once; runs of literals alone need no table.
+came since the last clear code, so all codes of one width are unpacked at once. The encoder compresses: its table grows
+to TABLE entries, then a clear code starts it anew. A long payload takes several frames, each a stream of its own.
 
-Cases: a null text is an empty payload (64 zero bytes); a cut or broken file raises; equal texts give equal files.
+Cases: a null text is an empty payload (64 zero bytes); a cut or broken file raises; a null file has no row; repeated
+rows each get a row; equal texts give equal files; an empty table gives no rows; other columns are ignored.
 """
 
 import hashlib
@@ -19,9 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, FRAME_ROWS, DELAY = 64, 4096, 10
-#: Literal codes between two clear codes: codes then keep 9 bits, as the table of the reader never outgrows them.
-RUN = 254
-CLEAR, STOP = 256, 257
+CLEAR, STOP, TABLE = 256, 257, 4096
 BINS = 8
 
 
@@ -32,20 +32,38 @@ class Frame:
     indexes: np.ndarray  # of the stored image
 
 
-def pack_codes(codes: np.ndarray, bits: int) -> bytes:
-    """Codes of one width, low bits first."""
-    at = ((codes[:, None] >> np.arange(bits)) & 1).astype(np.uint8)
-    return np.packbits(at.ravel(), bitorder="little").tobytes()
+def widths(n: np.ndarray, least: int) -> np.ndarray:
+    """The bits of the code that comes after n others since the last clear code."""
+    return np.clip(np.ceil(np.log2(n + (1 << least) + 2)).astype(np.int64), least + 1, 12)
 
 
-def literal_stream(samples: np.ndarray) -> bytes:
-    runs = max(1, -(-len(samples) // RUN))
-    codes = np.full((runs, RUN + 1), CLEAR, np.uint16)
-    body = np.full(runs * RUN, STOP, np.uint16)
-    body[: len(samples)] = samples
-    codes[:, 1:] = body.reshape(runs, RUN)
-    flat = codes.ravel()[: runs + len(samples)]
-    return pack_codes(np.r_[flat, np.uint16(STOP)].astype(np.uint16), 9)
+def code_stream(samples: bytes) -> bytes:
+    """The compressed code stream of 8-bit samples."""
+    codes, table, size, now = [CLEAR], {}, STOP + 1, -1
+    for b in samples:
+        if now < 0:
+            now = b
+            continue
+        key = now << 8 | b
+        longer = table.get(key)
+        if longer is not None:
+            now = longer
+            continue
+        codes.append(now)
+        now = b
+        table[key] = size
+        size += 1
+        if size == TABLE:
+            codes.append(CLEAR)
+            table, size = {}, STOP + 1
+    codes += [now, STOP] if now >= 0 else [STOP]
+    flat = np.array(codes, np.uint16)
+    at = np.arange(len(flat))
+    last = np.maximum.accumulate(np.where(flat == CLEAR, at, 0))
+    bits = widths(at - np.r_[0, last[:-1]] - 1, 8)
+    bits[0] = 9
+    places = np.arange(12)
+    return np.packbits(((flat[:, None] >> places) & 1).astype(np.uint8)[places < bits[:, None]], bitorder="little").tobytes()
 
 
 def blocks(data: bytes) -> bytes:
@@ -63,10 +81,9 @@ def encode(payload: bytes) -> bytes:
     height = min(rows, FRAME_ROWS)
     grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, height, 0xF7, 0, 0), grey]
-    samples = np.frombuffer(payload, np.uint8)
     for top in range(0, rows, FRAME_ROWS):
         n = min(FRAME_ROWS, rows - top)
-        out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, DELAY, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, n, 0), b"\x08", blocks(literal_stream(samples[top * WIDTH : (top + n) * WIDTH]))]
+        out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, DELAY, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, n, 0), b"\x08", blocks(code_stream(payload[top * WIDTH : (top + n) * WIDTH]))]
     return b"".join([*out, b"\x3b"])
 
 
@@ -81,7 +98,7 @@ def unpack_run(bits: np.ndarray, at: int, least: int) -> tuple[np.ndarray, int,
         if there <= 0:
             raise ValueError("a code stream is cut off")
         take = min(room, there)
-        codes = (bits[at : at + take * width].reshape(take, width) << np.arange(width, dtype=np.int32)).sum(1)
+        codes = bits[at : at + take * width].reshape(take, width) @ (1 << np.arange(width, dtype=np.int32))
         end = np.flatnonzero((codes == clear) | (codes == clear + 1))
         if len(end):
             k = int(end[0])
@@ -114,19 +131,9 @@ def expand(codes: np.ndarray, clear: int) -> bytes:
 
 
 def lzw(data: bytes, least: int, size: int) -> np.ndarray:
-    """The indexes of a code stream, `size` of them. Clear runs of equal length are unpacked together first."""
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").astype(np.int32)
-    clear, at, out, have = 1 << least, 0, [], 0
-    width = least + 1
-    run = (1 << width) - clear - 2  # codes after a clear code that surely have its width
-    whole = len(bits) // (width * (run + 1))
-    if whole:
-        codes = (bits[: whole * (run + 1) * width].reshape(-1, width) << np.arange(width, dtype=np.int32)).sum(1).reshape(whole, run + 1)
-        plain = (codes[:, 0] == clear) & (codes[:, 1:] < clear).all(1)
-        n = whole if plain.all() else int(np.argmin(plain))
-        out.append(codes[:n, 1:].astype(np.uint8).tobytes())
-        have, at = n * run, n * (run + 1) * width
-    stop = False
+    """The indexes of a code stream, `size` of them."""
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    clear, at, out, have, stop = 1 << least, 0, [], 0, False
     while have < size and not stop:
         codes, ended, at = unpack_run(bits, at, least)
         out.append(expand(codes, clear))
@@ -223,40 +230,40 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
-def frame_table(media: DataFrame) -> DataFrame:
-    """(doc_id, frame, delay_ms, width, height, histogram): the timed frames of GIFs in column `media`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, data in zip(batch.column("doc_id").to_pylist(), batch.column("media")):
-                if data.is_valid:
-                    rows += [(i, k, f.delay, f.pixels.shape[1], f.pixels.shape[0], histogram(f.pixels)) for k, f in enumerate(frames(data.as_py()))]
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], ["doc_id", "frame", "delay_ms", "width", "height", "histogram"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, frame int, delay_ms int, width int, height int, histogram array<long>")
+FRAMES = "array<struct<frame:int,delay_ms:int,width:int,height:int,histogram:array<bigint>>>"
+_FRAMES = pa.list_(pa.struct([("frame", pa.int32()), ("delay_ms", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), _FRAMES]
     for batch in batches:
         rows = []
         for i, n, data in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media")):
-            raw, tail, size, time, total = hashlib.sha256(), b"", 0, 0, np.zeros(3 * BINS, np.int64)
-            media = data.as_py()
-            for f in frames(media):
+            if not data.is_valid:
+                continue
+            raw, tail, size, shown, media = hashlib.sha256(), b"", 0, [], data.as_py()
+            for k, f in enumerate(frames(media)):
                 part = f.indexes.tobytes()
                 raw.update(part)
                 size += len(part)
                 tail = part[-64:]
-                time += f.delay
-                total += histogram(f.pixels[: f.indexes.shape[0]])
-            rows.append((i, n, size, raw.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), f"{time}ms:" + ",".join(map(str, total.tolist()))))
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names)
+                shown.append({"frame": k, "delay_ms": f.delay, "width": f.pixels.shape[1], "height": f.pixels.shape[0], "histogram": histogram(f.pixels)})
+            rows.append((i, n, size, raw.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), shown))
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
+
+
+def decode(media: DataFrame) -> DataFrame:
+    """Each file of column `media` read back: digests of its samples, and its timed frames with colour histograms."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames " + FRAMES
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decoded, schema)
+
+
+def frame_table(decoded: DataFrame) -> DataFrame:
+    """(doc_id, frame, delay_ms, width, height, histogram): a row for each timed frame."""
+    return decoded.select("doc_id", F.inline("frames"))
 
 
-def features(media: DataFrame) -> DataFrame:
-    """Digests of what is read back from column `media`, and total time and colour histogram as a string."""
-    return media.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def feature(frames_column: str = "frames") -> F.Column:
+    """The frames as a string: time and histogram of each."""
+    return F.array_join(F.transform(frames_column, lambda f: F.concat(f["delay_ms"].cast("string"), F.lit("ms:"), F.array_join(F.transform(f["histogram"], lambda n: n.cast("string")), ","))), ";")

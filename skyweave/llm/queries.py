@@ -14,7 +14,7 @@ from .substring_dedup import remove_repeats
 from .toxicity import held_out, learn, score
 from .training_order import read_shards, write_shards
 from .warc import read_archives, write_archives
-from .words import shared_folder
+from .words import shared_folder, stored
 
 
 #: The vocabulary that op2 and op5 use.
@@ -76,7 +76,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.features(gif.store(table(spark, sf_dir, "documents")))
+    decoded = gif.decode(stored(gif.store(table(spark, sf_dir, "documents")), "gif"))
+    return decoded.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", gif.feature().alias("feature"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from skyweave.llm import gif, jaccard_join, mixing_lm, packing, queries, spaced_seeds, substring_dedup, token_ids, toxicity, training_order, warc
 from skyweave.llm.secret_scan import masked, scan
 from skyweave.llm.sql import ORACLES
-from skyweave.llm.words import Words, shared_folder
+from skyweave.llm.words import Words, shared_folder, stored
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -352,19 +352,33 @@ def test_lzw_and_gif_rules():
     shown = [f.pixels.argmax(2) * (f.pixels.max(2) > 0) + (f.pixels.max(2) > 0) for f in gif.frames(film)]
     assert [s.tolist() for s in shown] == [[[1, 2], [0, 0]], [[3, 2], [0, 0]], [[0, 0], [2, 2]], [[1, 1], [0, 0]]]
     assert [f.delay for f in gif.frames(film)] == [70] * 4
+    for literals in (1, 200, 254, 255, 256, 300, 600):  # streams that begin with so many literals, then compress
+        data = (np.arange(literals) * 7 % 251).astype(np.uint8).tobytes() + bytes(500) + RNG.integers(0, 9, 3000).astype(np.uint8).tobytes()
+        assert gif.lzw(lzw_encode(data), 8, len(data)).tobytes() == data and gif.lzw(gif.code_stream(data), 8, len(data)).tobytes() == data
     with pytest.raises(ValueError):
         list(gif.frames(b"GIF89a"[:5] + b"x" * 20))
 
 
 def test_gif_query(spark, odd, none):
-    got = gif.features(gif.store(odd)).collect()
+    decoded = gif.decode(stored(gif.store(odd), "gif"))
+    got = decoded.collect()
     want = Counter()
     for r in odd.collect():
         b = (r.text or "").encode()
         p = b + bytes(-len(b) % 64 or (0 if b else 64))
         want[(r.doc_id, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
-    assert gif.frame_table(gif.store(odd)).count() == len(got) and gif.features(gif.store(none)).count() == 0
+    frames = gif.frame_table(decoded).collect()
+    assert len(frames) == len(got) and all(sum(f.histogram) == 3 * f.width * f.height and f.delay_ms == 100 for f in frames)
+    assert gif.decode(gif.store(none)).count() == 0
+    table = spark.createDataFrame([(1, "ab" * 200_000), (2, "ab" * 200_000)], "doc_id long, text string")
+    assert [r.n for r in decoded_frames(table)] == [2, 2] and len({tuple(r)[1:] for r in decoded_frames(table)}) == 1
+
+
+def decoded_frames(table):
+    """Of each text its digests and number of frames, by the query's way."""
+    out = gif.decode(gif.store(table))
+    return out.select("doc_id", "media_sha256", "payload_sha256", gif.feature().alias("feature"), F.size("frames").alias("n")).collect()
 
 
 # --- 9
