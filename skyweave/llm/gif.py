@@ -39,11 +39,10 @@ def widths(n: np.ndarray, least: int) -> np.ndarray:
 
 def code_stream(samples: bytes) -> bytes:
     """The compressed code stream of 8-bit samples."""
-    codes, table, size, now = [CLEAR], {}, STOP + 1, -1
-    for b in samples:
-        if now < 0:
-            now = b
-            continue
+    codes, table, size = [CLEAR], {}, STOP + 1
+    rest = iter(samples)
+    now = next(rest, -1)
+    for b in rest:
         key = now << 8 | b
         longer = table.get(key)
         if longer is not None:
@@ -110,24 +109,29 @@ def unpack_run(bits: np.ndarray, at: int, least: int) -> tuple[np.ndarray, int,
         width = min(12, width + 1)
 
 
-def expand(codes: np.ndarray, clear: int) -> bytes:
-    """What the codes of one run stand for."""
-    if not len(codes) or codes.max() < clear:
-        return codes.astype(np.uint8).tobytes()
-    table = [bytes([i]) for i in range(clear)] + [b"", b""]
-    last, out = b"", []
-    for code in codes.tolist():
-        if code < len(table):
-            now = table[code]
-        elif code == len(table) and last:
-            now = last + last[:1]
-        else:
-            raise ValueError("a code stream has an unknown code")
-        if last and len(table) < 4096:
-            table.append(last + now[:1])
-        out.append(now)
-        last = now
-    return b"".join(out)
+def expand(codes: np.ndarray, clear: int) -> np.ndarray:
+    """What the codes of one run stand for.
+
+    The entry that a code adds is its own string and the next sample, so it stands in the output where the code does:
+    a code of the table copies from there. Lengths and sources are followed by pointer jumping, all codes at once.
+    """
+    at = np.arange(len(codes))
+    base = np.where(codes > clear, codes - (clear + 2), -1)  # the code that added the entry
+    if (base >= at).any():
+        raise ValueError("a code stream has an unknown code")
+    size, up = np.ones(len(codes), np.int64), base
+    while (up >= 0).any():
+        size = size + np.where(up >= 0, size[up], 0)
+        up = np.where(up >= 0, up[up], -1)
+    begin = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    out[begin[base < 0]] = codes[base < 0]
+    source = np.arange(len(out)) - np.repeat(np.where(base < 0, 0, begin - begin[base]), size)
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return out[source]
+        source = further
 
 
 def lzw(data: bytes, least: int, size: int) -> np.ndarray:
@@ -139,7 +143,7 @@ def lzw(data: bytes, least: int, size: int) -> np.ndarray:
         out.append(expand(codes, clear))
         have += len(out[-1])
         stop = ended == clear + 1
-    indexes = np.frombuffer(b"".join(out), np.uint8)
+    indexes = np.concatenate(out) if out else np.zeros(0, np.uint8)
     if len(indexes) < size:
         raise ValueError("an image has too few samples")
     return indexes[:size]
