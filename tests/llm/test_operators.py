@@ -173,16 +173,19 @@ def test_language_model(docs, texts, odd, none):
     assert mixing_lm.score(none).count() == 0
 
 
-def test_spelling_is_a_distribution():
-    """Over all words of one byte and their continuations the probabilities add up to one."""
-    tables, weights = RNG.integers(0, 50, (2, mixing_lm.PREDICTORS, 1 << mixing_lm.SLOT_BITS)).astype(np.float32), RNG.normal(0.3, 0.1, (mixing_lm.GATES, mixing_lm.PREDICTORS))
-    tables[1] = np.minimum(tables[0], tables[1])
-    s = mixing_lm.Spelling([bytes([b]) for b in range(256)])
-    total = np.zeros(len(s.data))
-    for bit, slots, gate in s.bits():
-        p = mixing_lm.squash((weights[gate].T * mixing_lm.inputs(tables, slots)).sum(0))
-        total += np.log(np.where(bit == 1, p, 1 - p))
-    assert np.exp(total[s.begin]).sum() == pytest.approx(1)
+def test_walks_are_a_code():
+    """No walk begins another, each node has both sides, and frequent bytes are near."""
+    weights = np.r_[1000.0, np.ones(255)]
+    walks = mixing_lm.walks(weights)
+    assert len(walks[0]) == 1 and sum(2.0 ** -len(w) for w in walks) == 1 and len({tuple(w) for w in walks}) == 256
+    pairs = RNG.integers(0, 9, (256, 256)) * (RNG.random((256, 1)) < 0.5)
+    code = mixing_lm.Code(pairs, 16)
+    a, b = RNG.integers(0, 256, (2, 500)).astype(np.uint8)
+    before = RNG.integers(0, 256, 500).astype(np.uint8)
+    walk = lambda x, y: code.step[code.first[x << 8 | y] :][: code.length[x << 8 | y]] >> 16 << 1 | code.step[code.first[x << 8 | y] :][: code.length[x << 8 | y]] & 1
+    for x, i, j, n in zip(before.tolist(), a.tolist(), b.tolist(), code.common(before, a, b).tolist()):
+        one, two = walk(x, i).tolist(), walk(x, j).tolist()
+        assert n == next((k for k, (p, q) in enumerate(zip(one, two)) if p != q), len(one))
 
 
 def test_texts_are_predicted_from_what_stands_before(spark, monkeypatch):
@@ -196,10 +199,115 @@ def test_texts_are_predicted_from_what_stands_before(spark, monkeypatch):
     assert got[held[0]] > got[held[1]] + 1
     assert got[held[3]] - got[held[2]] > 0.7 * got[held[2]]
     monkeypatch.setattr(mixing_lm, "BLOCK_LEAST", 1)
-    every = mixing_lm.Spelling.__new__(mixing_lm.Spelling)
-    every._fill(np.stack(np.divmod(np.arange(1 << 16), 256), 1).astype(np.uint8).ravel(), np.arange(1 << 16) * 2, np.full(1 << 16, 2))
-    table = RNG.normal(0, 1, (mixing_lm.PREDICTORS, 1 << mixing_lm.SLOT_BITS)).astype(np.float32)
-    assert (10 ** mixing_lm.mixed(every, table)).sum() == pytest.approx(1, abs=1e-3)
+    bits, n = 12, 1 << 16
+    every = np.zeros((n, mixing_lm.PADS + 2), np.uint8)
+    every[:, -2], every[:, -1] = np.divmod(np.arange(n), 256)
+    table = RNG.integers(-60, 60, (mixing_lm.PREDICTORS, 1 << bits)).astype(np.int8)
+    weights = RNG.normal(0.3, 0.1, (mixing_lm.GATES, mixing_lm.INPUTS)).astype(np.float32)
+    scores = mixing_lm.mixed(mixing_lm.Texts(every.ravel(), np.full(n, mixing_lm.PADS + 2)), mixing_lm.Code(RNG.integers(0, 50, (256, 256)), bits), table, weights)
+    assert (10**scores).sum() == pytest.approx(1, abs=1e-3)
+
+
+class PlainMixer:
+    """The same model a bit at a time: Python's own numbers, counts by name of context, no arrays over texts."""
+
+    def __init__(self, table: list):
+        split = [(i, b"".join(w.encode() + b" " for w in WORD.findall((t or "").translate(LOW))) + b"\xff") for i, t in table]
+        self.texts = [(d, zlib.crc32(str(i).encode()) % 7 != 2) for i, d in split]
+        self.bits = min(mixing_lm.SLOT_BITS, sum(len(d) + mixing_lm.PADS for d, _ in self.texts).bit_length())
+        pairs = np.zeros((256, 256), int)
+        for d, train in self.texts:
+            for a, b in zip(b"\0" + d, d):
+                pairs[a, b] += train
+        self.code = mixing_lm.Code(pairs, self.bits)
+        self.counts: dict = {}
+        for d, train in self.texts:
+            for at in range(len(d)) if train else ():
+                for step, *names in self.steps(d, at):
+                    for name in names:
+                        self.counts.setdefault(name, [0, 0])[step & 1] += 1
+        self.weights = self.learned()
+
+    def top(self, key: int) -> int:
+        return key % 2**64 >> 64 - self.bits
+
+    def word(self, d: bytes, start: int, at: int) -> int:
+        spread = mixing_lm.SPREAD.tolist()
+        so_far = d[max(start, at - 7) : at]
+        return (int.from_bytes(so_far, "little") * spread[0] % 2**64) ^ ((at - start) * spread[1] % 2**64)
+
+    def steps(self, d: bytes, at: int):
+        spread, start = mixing_lm.SPREAD.tolist(), d.rfind(b" ", 0, at) + 1
+        slots = [self.top(int.from_bytes(d[max(0, at - o) : at].rjust(o, b"\0"), "little") * spread[2]) for o in mixing_lm.ORDERS]
+        word = self.word(d, start, at)
+        slots.append(self.top((word ^ word >> 29) * spread[3]))
+        key = (d[at - 1] if at else 0) << 8 | d[at]
+        for step in self.code.step[self.code.first[key] :][: self.code.length[key]].tolist():
+            yield step, *((o, s ^ step >> 16) for o, s in enumerate(slots))
+
+    def guess(self, d: bytes, at: int) -> int:
+        start = d.rfind(b" ", 0, at) + 1
+        words = d[:start].split(b" ")[:-1]
+        before = [k for k in range(2, len(words)) if words[k - 2 : k] == words[-2:]] if len(words) > 2 else []
+        follows = words[before[-1]] + b" " if before else b""
+        done = d[start:at]
+        return follows[len(done)] if len(done) < len(follows) and follows.startswith(done) else -1
+
+    def inputs(self, d: bytes, at: int, own: bool):
+        guess, before = self.guess(d, at), d[at - 1] if at else 0
+        shared = -1
+        if guess >= 0:
+            shared = int(self.code.common(*(np.array([x], np.uint8) for x in (before, d[at], guess)))[0])
+        place = min(at - d.rfind(b" ", 0, at) - 1, mixing_lm.PLACES - 1)
+        for step, *names in self.steps(d, at):
+            bit, depth = step & 1, step >> 1 & 127
+            x = []
+            for name in names:
+                zeros, ones = self.counts.get(name, (0, 0))
+                z, o = (zeros - (1 - bit), ones - bit) if own else (zeros, ones)
+                logit = math.log((o + 0.1) / (z + 0.1)) * (z + o) / (z + o + 1.5)
+                x.append(logit if own else max(-127, min(127, round(logit * mixing_lm.GRAIN))) / mixing_lm.GRAIN)
+            x.append((2 * bit - 1) * (0 if shared < depth else 2.0 if shared > depth else -2.0))
+            yield bit, place + min(depth, mixing_lm.DEPTHS - 1) * mixing_lm.PLACES, np.array([*x, 1.0])
+
+    def learned(self) -> np.ndarray:
+        n = mixing_lm.INPUTS
+        slope, curve = np.zeros((mixing_lm.GATES, n)), np.zeros((mixing_lm.GATES, n, n)) + np.eye(n)
+        for d, train in self.texts:
+            for at in range(len(d)) if train else ():
+                if (d.rfind(b" ", 0, at) + 1 + mixing_lm.PADS) * 0x9E3779B1 // 512 % mixing_lm.LEARN_EVERY == 0:
+                    for bit, gate, x in self.inputs(d, at, True):
+                        p = 1 / (1 + math.exp(-mixing_lm.START @ x))
+                        slope[gate] += (bit - p) * x
+                        curve[gate] += p * (1 - p) * np.outer(x, x)
+        return mixing_lm.START + np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+
+    def score(self, d: bytes) -> float:
+        moved, seen, total = np.zeros(mixing_lm.INPUTS), np.full(mixing_lm.INPUTS, 0.1), 0.0
+        size, low = mixing_lm.BLOCK_LEAST, 0
+        while low < len(d):
+            high, slope = min(len(d), low + size), np.zeros(mixing_lm.INPUTS)
+            for at in range(low, high):
+                for bit, gate, x in self.inputs(d, at, False):
+                    odds = (2 * bit - 1) * ((self.weights[gate] + moved) @ x)
+                    p = 1 / (1 + math.exp(-odds))
+                    total += math.log10(p)
+                    slope += (1 - p) * (2 * bit - 1) * x
+            seen += slope**2
+            moved += float(mixing_lm.STEP) * slope / np.sqrt(seen)
+            size = min(mixing_lm.BLOCK_MOST, 2 * size) if low else size
+            low = high
+        return total
+
+
+def test_language_model_against_a_plain_one(docs):
+    some = docs.filter("doc_id % 9 = 0 and n_chars < 2500")
+    table = [(r.doc_id, r.text) for r in some.collect()]
+    plain = PlainMixer(table)
+    got = {r.doc_id: r.score for r in mixing_lm.score(some).collect()}
+    assert len(table) > 9
+    for (i, _), (d, _) in zip(table, plain.texts):
+        assert got[i] == pytest.approx(plain.score(d), rel=2e-4)
 
 
 def test_scores_of_a_text_do_not_depend_on_the_split(docs):
