@@ -1,8 +1,9 @@
 """Blocked pairs: all pairs of a feature table without a row for each pair.
 
-Rows are dealt to blocks by a hash of the id. A task gets two blocks, forms their distances as one matrix product, and
-reduces them at once: to the nearest k, to those within a radius, or to sums by cluster. Blocks of BLOCK_ROWS rows
-bound the memory of a task; every row is sent to as many tasks as there are blocks.
+Rows are dealt to blocks by a hash of the id. A task gets two blocks, forms their distances TILE_ROWS rows at a time by
+matrix products, and reduces each tile at once: to the nearest k, to counts and links within a radius, or to sums by
+cluster. Blocks of BLOCK_ROWS rows bound the memory of a task; every row is sent to as many tasks as there are blocks.
+Matrix products lose digits near zero: what lies near a limit is taken again from differences.
 """
 
 from collections.abc import Callable
@@ -12,40 +13,56 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 2000
+BLOCK_ROWS, TILE_ROWS, LEAST_ROWS = 20_000, 500, 500
+
+
+class Exact:
+    """Distances of some pairs of a tile from their differences; `slack`: how far a product may be off."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = x, y
+        self.slack = 1e-6 * float(np.sqrt(max(np.abs(x).max(), np.abs(y).max()) ** 2 * x.shape[1])) if x.size and y.size else 0.0
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        parts = [np.sqrt(((self.x[i[s : s + 65536]] - self.y[j[s : s + 65536]]) ** 2).sum(1)) for s in range(0, len(i), 65536)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean, from differences for exactness near zero, some rows at a time."""
-    out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
-    for i in range(0, len(a), step):
-        d = a[i : i + step, None, :] - b[None, :, :]
-        out[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
-    return out
+    """Euclidean, by a matrix product."""
+    d = np.einsum("ik,ik->i", a, a)[:, None] + np.einsum("jk,jk->j", b, b)[None, :] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(d, 0))
 
 
 def blocked(features: DataFrame, reduce: Callable, schema: str, key: str = "obj_id", extra: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """reduce(ids, own, other_ids, others, distances) -> DataFrame for each pair of blocks, in both directions.
+    """reduce(own, others, distances, exact) -> DataFrame for tiles of each pair of blocks, in both directions.
 
     own and others are pandas frames with the extra columns; within one block both are the same rows.
     """
-    blocks = max(1, -(-features.count() // block_rows))
+    n = features.count()
+    wanted = int(np.ceil(np.sqrt(2 * features.sparkSession.sparkContext.defaultParallelism)))
+    blocks = max(1, -(-n // block_rows), min(wanted, n // LEAST_ROWS))
     own = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     rows = features.select(key, "features", *extra, own.alias("block"))
     low, high = F.least("block", "with"), F.greatest("block", "with")
     dealt = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": low, "j": high})
 
+    def tiles(a: pd.DataFrame, b: pd.DataFrame) -> list[pd.DataFrame]:
+        x, y = (np.stack(side["features"].to_numpy()) if len(side) else np.zeros((0, 1)) for side in (a, b))
+        if not len(x) or not len(y):
+            return [reduce(a.iloc[:0], b.iloc[:0], np.zeros((0, 0)), Exact(x[:0], y[:0]))]
+        out = []
+        for at in range(0, len(x), TILE_ROWS):
+            part = x[at : at + TILE_ROWS]
+            out.append(reduce(a.iloc[at : at + TILE_ROWS], b, distances(part, y), Exact(part, y)))
+        return out
+
     def run(part: pd.DataFrame) -> pd.DataFrame:
         i, j = part["i"].iloc[0], part["j"].iloc[0]
         a = part[part["block"] == i].sort_values(key)
-        b = part[part["block"] == j].sort_values(key) if i != j else a
-        if not len(a) or not len(b):
-            return reduce(a.iloc[:0], b.iloc[:0], np.zeros((0, 0)))
-        d = distances(np.stack(a["features"].to_numpy()), np.stack(b["features"].to_numpy()))
-        out = [reduce(a, b, d)]
-        if i != j:
-            out.append(reduce(b, a, d.T))
-        return pd.concat(out, ignore_index=True)
+        if i == j:
+            return pd.concat(tiles(a, a), ignore_index=True)
+        b = part[part["block"] == j].sort_values(key)
+        return pd.concat([*tiles(a, b), *tiles(b, a)], ignore_index=True)
 
     return dealt.groupBy("i", "j").applyInPandas(run, schema)

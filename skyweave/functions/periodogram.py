@@ -1,60 +1,55 @@
-"""Lomb-Scargle periodograms of one series (numpy), frequencies in chunks of bounded memory."""
+"""Lomb-Scargle periodograms of one series (numpy), in bounded memory."""
 
 import numpy as np
 
 OMEGA = np.linspace(0.6, 62.8, 5000)
+#: The axis that areas are taken over: an even one from 0.1 to 10 days, not the period of each frequency.
+PERIODS = np.linspace(0.1, 10, 5000)
 FAST_OMEGA = np.linspace(62.8, 6283.2, 20)
 SLICES = (slice(457, 5000), slice(121, 457), slice(0, 121))
-CELLS = 4_000_000
+#: Steps between heads of an even grid, and numbers in a matrix of waves.
+BLOCK, CELLS = 64, 2_000_000
 
 
-def _chunks(n_times: int, omega: np.ndarray):
-    step = max(1, CELLS // max(1, n_times))
-    for a in range(0, len(omega), step):
-        yield omega[a : a + step]
+def wave_sums(t: np.ndarray, omega: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
+    """Of each weight w the sums over times of w * exp(i * omega * t), and last the sums of exp(2 * i * omega * t).
 
-
-def waves(t: np.ndarray, omega: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Cosines and sines of omega * t (frequencies x times); on an even grid most come from products of a few."""
-    if len(omega) > 2 * block and np.allclose(np.diff(omega), omega[1] - omega[0], rtol=1e-9, atol=0):
-        heads = np.exp(1j * np.outer(omega[::block], t))
-        steps = np.exp(1j * np.outer((omega[1] - omega[0]) * np.arange(block), t))
-        w = (heads[:, None, :] * steps[None, :, :]).reshape(-1, len(t))[: len(omega)]
-        return w.real, w.imag
-    x = np.outer(omega, t)
-    return np.cos(x), np.sin(x)
+    On an even grid a frequency is a head and one of BLOCK steps, so that the sums are products of two small matrices;
+    the waves themselves (frequencies x times) are never formed."""
+    even = len(omega) > 2 * BLOCK and np.allclose(np.diff(omega), omega[1] - omega[0], rtol=1e-9, atol=0)
+    heads = omega[::BLOCK] if even else omega
+    steps = (omega[1] - omega[0]) * np.arange(BLOCK) if even else np.zeros(1)
+    out: list[list] = [[] for _ in range(len(weights) + 1)]
+    far = np.exp(1j * np.outer(t, steps))
+    rows = max(1, CELLS // max(1, len(t)))
+    for k in range(0, len(heads), rows):
+        near = np.exp(1j * np.outer(heads[k : k + rows], t))
+        for total, w in zip(out, weights):
+            total.append(((near * w) @ far).ravel())
+        out[-1].append(((near * near) @ (far * far)).ravel())
+    return [np.concatenate(x)[: len(omega)] if x else np.zeros(0, complex) for x in out]
 
 
 def classic(t: np.ndarray, y: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """Power at angular frequencies, no mean removed, divided by the sum of squares (Scargle 1982)."""
-    out = []
-    total = float(y @ y)
-    for w in _chunks(len(t), omega):
-        c, s = waves(t, w)
-        yc, ys, cc, ss, cs = c @ y, s @ y, (c * c).sum(1), (s * s).sum(1), (c * s).sum(1)
-        turn = np.arctan2(2 * cs, cc - ss) / 2  # omega * tau: sums are turned instead of the waves
-        a, b = np.cos(turn), np.sin(turn)
-        yc, ys = yc * a + ys * b, ys * a - yc * b
-        cc, ss = cc * a * a + 2 * cs * a * b + ss * b * b, ss * a * a - 2 * cs * a * b + cc * b * b
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out.append((yc**2 / cc + ys**2 / ss) / total)
-    return np.concatenate(out) if out else np.zeros(0)
+    first, double = wave_sums(t, omega, y)
+    yc, ys, cc, ss, cs = first.real, first.imag, (len(t) + double.real) / 2, (len(t) - double.real) / 2, double.imag / 2
+    turn = np.arctan2(2 * cs, cc - ss) / 2  # omega * tau: sums are turned instead of the waves
+    a, b = np.cos(turn), np.sin(turn)
+    yc, ys = yc * a + ys * b, ys * a - yc * b
+    cc, ss = cc * a * a + 2 * cs * a * b + ss * b * b, ss * a * a - 2 * cs * a * b + cc * b * b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (yc**2 / cc + ys**2 / ss) / float(y @ y)
 
 
 def floating_mean(t: np.ndarray, y: np.ndarray, omega: np.ndarray) -> np.ndarray:
     """Share of the variance that a sine with a free mean explains, at each angular frequency."""
-    out = []
-    y = y - y.mean()
-    total = float(y @ y)
-    for w in _chunks(len(t), omega):
-        c, s = waves(t, w)
-        c = c - c.mean(1, keepdims=True)
-        s = s - s.mean(1, keepdims=True)
-        yc, ys, cc, ss, cs = c @ y, s @ y, (c * c).sum(1), (s * s).sum(1), (c * s).sum(1)
-        d = cc * ss - cs * cs
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out.append((ss * yc**2 + cc * ys**2 - 2 * cs * yc * ys) / (d * total))
-    return np.concatenate(out) if out else np.zeros(0)
+    y, n = y - y.mean(), len(t)
+    first, plain, double = wave_sums(t, omega, y, np.ones(n))
+    c, s = plain.real, plain.imag
+    yc, ys, cc, ss, cs = first.real, first.imag, (n + double.real) / 2 - c * c / n, (n - double.real) / 2 - s * s / n, double.imag / 2 - c * s / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (ss * yc**2 + cc * ys**2 - 2 * cs * yc * ys) / ((cc * ss - cs * cs) * float(y @ y))
 
 
 def largest_peak(power: np.ndarray, omega: np.ndarray) -> tuple[float, float]:
@@ -72,7 +67,6 @@ def spectral_features(t: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
         return (np.nan,) * 7
     power = classic(t, y, OMEGA)
     peak, period = largest_peak(power, OMEGA)
-    axis = np.linspace(0.6, 62.8, 5000)
-    areas = [float(np.trapezoid(power[s], axis[s])) for s in SLICES]
+    areas = [float(np.trapezoid(power[s], PERIODS[s])) for s in SLICES]
     _, fast = largest_peak(classic(t, y, FAST_OMEGA), FAST_OMEGA)
     return peak, float(np.log(abs(peak))) if peak else np.nan, period, *areas, fast

@@ -28,33 +28,38 @@ def spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return y[k] + d * (slope[k] - h[k] * (2 * m[k] + m[k + 1]) / 6) + d**2 * m[k] / 2 + d**3 * (m[k + 1] - m[k]) / (6 * h[k])
 
 
-def fill_gaps(t: np.ndarray, flux: np.ndarray, tol: float, sigma: float, search: int, knots: int = 100) -> np.ndarray:
-    """Clips, then fills inner gaps other than the longest: a line if shorter than tol, else a spline that keeps to the
-    spread and median of the samples around; one of exactly tol stays."""
+def fill_gaps(t: np.ndarray, flux: np.ndarray, tol: float, sigma: float, search: int, factor: float = 2.0, knots: int = 100) -> np.ndarray:
+    """Clips, then fills inner gaps other than the longest, over the sample index: a line if shorter than tol, a spline
+    if longer; one of exactly tol stays.
+
+    The spline is kept unless its deviation is above the local one or its median outside [local / factor, local *
+    factor], local values being means of those of `search` samples on either side (unknown where a side has none, which
+    keeps it); else a line. Samples over `knots` known ones away have no bearing on a cubic spline's value (each damps
+    them by 0.27), so the spline goes through that many on either side.
+    """
     out = np.where(clip_series(flux, sigma), flux, np.nan)
-    known = ~np.isnan(out)
-    if known.sum() < 2 or len(t) < 2:
+    known = np.flatnonzero(~np.isnan(out))
+    if len(known) < 2 or len(t) < 2:
         return out
     step = np.diff(t)
     step = step[step > 0].min() if (step > 0).any() else 0.0
-    inner = [(a, n) for a, n in runs_of(~known) if a > 0 and a + n < len(t)]
+    inner = [(a, n) for a, n in runs_of(np.isnan(out)) if a > 0 and a + n < len(t)]
     if inner:
         inner.remove(max(inner, key=lambda r: (r[1], -r[0])))
     base = out.copy()
     for a, n in inner:
-        gap = slice(a, a + n)
-        linear = np.interp(t[gap], t[[a - 1, a + n]], base[[a - 1, a + n]])
+        gap = np.arange(a, a + n)
+        linear = np.interp(gap, known, base[known])
         if n * step < tol:
             out[gap] = linear
         elif n * step > tol:
-            near = np.r_[base[max(0, a - search) : a], base[a + n : a + n + search]]
-            near = near[~np.isnan(near)]
-            lo, hi = max(0, a - knots), a + n + knots
-            k = np.flatnonzero(known[lo:hi]) + lo
-            curve = spline(t[k], base[k], t[gap])
-            middle, got = np.median(near), np.median(curve)
-            low, high = sorted((middle / 2, 2 * middle))
-            out[gap] = curve if np.std(curve) <= np.std(near) and low <= got <= high else linear
+            sides = [x[~np.isnan(x)] for x in (base[max(0, a - search) : a], base[a + n : a + n + search])]
+            spread, middle = (np.mean([f(x) if len(x) else np.nan for x in sides]) for f in (np.std, np.median))
+            at = np.searchsorted(known, a)
+            near = known[max(0, at - knots) : at + knots]
+            curve = spline(near.astype(float), base[near], gap.astype(float))
+            odd = np.std(curve) > spread or np.median(curve) > factor * middle or np.median(curve) < middle / factor
+            out[gap] = linear if odd else curve
     return out
 
 
@@ -69,14 +74,26 @@ def butterworth_high(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]
     return b * abs(np.sum(a * nyquist) / np.sum(b * nyquist)), a
 
 
-def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    out, z = np.empty_like(x), state.copy()
-    for i, v in enumerate(x):
-        y = b[0] * v + z[0]
-        z[:-1] = z[1:] + b[1:-1] * v - a[1:-1] * y
-        z[-1] = b[-1] * v - a[-1] * y
-        out[i] = y
-    return out
+def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray, block: int = 128) -> np.ndarray:
+    """A recursive filter from a state on: blocks of samples at once, only the state goes from block to block."""
+    order = len(state)
+    move = np.zeros((order, order))
+    move[:, 0], move[:-1, 1:] = -a[1:], np.eye(order - 1)
+    gain = b[1:] - a[1:] * b[0]
+    powers = [np.eye(order)]
+    for _ in range(block):
+        powers.append(move @ powers[-1])
+    pulse = np.r_[b[0], [(p @ gain)[0] for p in powers[: block - 1]]]
+    lag = np.arange(block)[:, None] - np.arange(block)[None, :]
+    response = np.where(lag >= 0, pulse[np.maximum(lag, 0)], 0.0)
+    seen = np.array([p[0] for p in powers[:block]])
+    enter = np.array([powers[block - 1 - j] @ gain for j in range(block)])
+    blocks = np.r_[x, np.zeros(-len(x) % block)].reshape(-1, block)
+    brought, states = blocks @ enter, np.empty((len(blocks), order))
+    for k in range(len(blocks)):
+        states[k] = state
+        state = powers[block] @ state + brought[k]
+    return (blocks @ response.T + states @ seen.T).ravel()[: len(x)]
 
 
 def high_pass(x: np.ndarray, cutoff: float, order: int) -> np.ndarray:

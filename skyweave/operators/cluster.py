@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.assignment import best_match
-from ..functions.pairs import blocked
-from ..sources import stored
+from ..functions.pairs import Exact, blocked
+from ..sources import numbered, stored
 
 UNCLASSIFIED = "UNCLASSIFIED"
 
@@ -44,14 +44,46 @@ def gaussian_mixture(features: DataFrame, k: int = 100, seed: int = 0, key: str
     return _fit(GaussianMixture(k=k, seed=seed, featuresCol="v", predictionCol="cluster"), features, key)
 
 
-def within(features: DataFrame, radius: float, key: str = "obj_id") -> DataFrame:
-    """(obj_id, nb_id, dist) of all pairs within a radius, each way, the point itself included."""
+def _near(d: np.ndarray, radius: float, exact: Exact) -> np.ndarray:
+    """Which pairs of a tile lie within the radius; those at its edge by their differences."""
+    close = d <= radius
+    i, j = np.nonzero(np.abs(d - radius) <= exact.slack)
+    close[i, j] = exact(i, j) <= radius
+    return close
 
-    def close(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero(d <= radius)
-        return pd.DataFrame({"obj_id": a[key].to_numpy()[i], "nb_id": b[key].to_numpy()[j], "dist": d[i, j]})
 
-    return blocked(features, close, "obj_id long, nb_id long, dist double", key)
+def neighbour_counts(features: DataFrame, radius: float, key: str = "obj_id") -> DataFrame:
+    """(obj_id, n): how many points lie within a radius, the point itself included."""
+
+    def count(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray, exact: Exact) -> pd.DataFrame:
+        return pd.DataFrame({"obj_id": a[key].to_numpy(), "n": _near(d, radius, exact).sum(1) if d.size else np.zeros(0, int)})
+
+    return blocked(features, count, "obj_id long, n long", key).groupBy("obj_id").agg(F.sum("n").alias("n"))
+
+
+def core_links(flagged: DataFrame, radius: float, key: str = "obj_id") -> DataFrame:
+    """(a, b, core): links of points within a radius, b being a core point: of core points a spanning forest of each
+    tile, of others one link to each of the forest's trees; never all pairs. flagged has column `core`."""
+
+    def link(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray, exact: Exact) -> pd.DataFrame:
+        out: list[tuple[int, int, bool]] = []
+        others, near = b[key].to_numpy(), _near(d, radius, exact) & b["core"].to_numpy()[None, :] if d.size else d
+        up = np.arange(len(b))
+        ids, core = a[key].to_numpy(), a["core"].to_numpy()
+        for i in np.flatnonzero(core):
+            roots = np.flatnonzero(near[i])
+            while (up[roots] != roots).any():
+                roots = up[roots]
+            roots = np.unique(roots)
+            up[roots] = roots.min(initial=len(b))
+            out += [(ids[i], r, True) for r in others[roots].tolist()]
+        while (up[up] != up).any():
+            up = up[up]
+        for i in np.flatnonzero(~core):
+            out += [(ids[i], r, False) for r in others[np.unique(up[near[i]])].tolist()]
+        return pd.DataFrame(out, columns=["a", "b", "core"]).astype({"a": "int64", "b": "int64", "core": bool})
+
+    return blocked(flagged, link, "a long, b long, core boolean", key, ("core",))
 
 
 def least_reachable(links: DataFrame) -> DataFrame:
@@ -70,18 +102,16 @@ def least_reachable(links: DataFrame) -> DataFrame:
             return labels
 
 
-def dbscan(features: DataFrame, eps: float, min_samples: int, key: str = "obj_id", pairs: DataFrame | None = None) -> DataFrame:
+def dbscan(features: DataFrame, eps: float, min_samples: int, key: str = "obj_id") -> DataFrame:
     """H3: clusters numbered by their least core id; -1 is noise; a border point joins its smallest-numbered cluster."""
-    pairs = pairs if pairs is not None else stored(within(features, eps, key), "pairs")
-    pairs = pairs.filter(F.col("dist") <= eps)
-    core = pairs.groupBy("obj_id").agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("obj_id")
-    links = pairs.join(core, "obj_id").join(core.select(F.col("obj_id").alias("nb_id")), "nb_id").select(F.col("obj_id").alias("a"), F.col("nb_id").alias("b"))
-    parts = least_reachable(links)
-    ids = parts.select("component").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))
-    of_core = parts.join(F.broadcast(ids), "component").select(F.col("node").alias("nb_id"), "cluster")
-    reached = pairs.join(of_core, "nb_id").groupBy("obj_id").agg(F.min("cluster").alias("near"))
-    own = of_core.select(F.col("nb_id").alias("obj_id"), "cluster")
-    joined = features.select(F.col(key).alias("obj_id")).join(own, "obj_id", "left").join(reached, "obj_id", "left")
+    counts = neighbour_counts(features, eps, key).select(F.col("obj_id").alias(key), (F.col("n") >= min_samples).alias("core"))
+    flagged = stored(features.select(key, "features").join(counts, key), "core")
+    links = stored(core_links(flagged, eps, key), "links")
+    parts = least_reachable(links.filter("core").select("a", "b"))
+    ids = numbered(parts.select("component").distinct(), "component").select("component", F.col("number").cast("int").alias("cluster"))
+    of_core = parts.join(ids, "component").select(F.col("node").alias("obj_id"), "cluster")
+    reached = links.filter("not core").join(of_core.withColumnRenamed("obj_id", "b"), "b").groupBy(F.col("a").alias("obj_id")).agg(F.min("cluster").alias("near"))
+    joined = features.select(F.col(key).alias("obj_id")).join(of_core, "obj_id", "left").join(reached, "obj_id", "left")
     return joined.select("obj_id", F.coalesce("cluster", "near", F.lit(-1)).alias("cluster"))
 
 
@@ -127,13 +157,18 @@ def name_by_match(core: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def name_by_majority(core: DataFrame, labels: DataFrame, n_std: float) -> DataFrame:
-    """The majority label of a cluster, if it leads the second by over n_std deviations of the counts."""
-    counts = core.filter("is_core = 1").join(labels, "obj_id").groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    """The majority label of a cluster, if it leads the second by over n_std deviations of the counts.
+
+    Every label of the cluster's members counts, with 0 where no core member has it. Members at the threshold itself
+    are not core here (`sq_dist` < `threshold`)."""
+    inside = F.col("is_core") == 1 if "threshold" not in core.columns else F.col("sq_dist") < F.col("threshold")
+    core = core.withColumn("_in", inside.cast("int"))
+    counts = core.join(labels, "obj_id").groupBy("cluster", "label").agg(F.sum("_in").alias("n"))
     w = Window.partitionBy("cluster")
     ranked = counts.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("n"), "label")), "spread": F.stddev_pop("n").over(w), "second": F.coalesce(F.lead("n").over(w.orderBy(F.desc("n"), "label")), F.lit(0))})
     won = ranked.filter((F.col("rank") == 1) & (F.col("n") > F.col("second") + n_std * F.col("spread"))).select("cluster", F.col("label").cast("string").alias("name"))
-    name = F.when(F.col("is_core") == 1, F.col("name"))
-    return core.join(F.broadcast(won), "cluster", "left").select("obj_id", "cluster", F.coalesce(name, F.lit(UNCLASSIFIED)).alias("name"))
+    name = F.when(F.col("_in") == 1, F.col("name"))
+    return core.join(won, "cluster", "left").select("obj_id", "cluster", F.coalesce(name, F.lit(UNCLASSIFIED)).alias("name"))
 
 
 def sizes(clusters: DataFrame) -> DataFrame:
@@ -141,10 +176,19 @@ def sizes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+def _again(d: np.ndarray, exact: Exact) -> np.ndarray:
+    """Distances near zero once more, from differences."""
+    out = d.copy()
+    i, j = np.nonzero(d <= 2 * exact.slack)
+    out[i, j] = exact(i, j)
+    return out
+
+
 def silhouette(features: DataFrame, clusters: DataFrame, key: str = "obj_id") -> DataFrame:
     """H4: (obj_id, silhouette), exact: sums of distances by cluster, never a row for each pair."""
 
-    def sums(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+    def sums(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray, exact: Exact) -> pd.DataFrame:
+        d = _again(d, exact) if d.size else d
         kinds, which = np.unique(b["cluster"].to_numpy(), return_inverse=True)
         total = np.stack([d[:, which == k].sum(1) for k in range(len(kinds))], 1) if len(kinds) else np.zeros((len(a), 0))
         return pd.DataFrame({"obj_id": np.repeat(a[key].to_numpy(), len(kinds)), "cluster": np.repeat(a["cluster"].to_numpy(), len(kinds)), "other": np.tile(kinds, len(a)), "total": total.ravel()})
@@ -188,12 +232,11 @@ def mixture_scan(features: DataFrame, components: list[int], seed: int = 0, key:
 
 
 def dbscan_scan(features: DataFrame, eps: list[float], min_samples: list[int], key: str = "obj_id") -> DataFrame:
-    """H5: cluster and noise counts for a grid; pairs are found once, at the largest radius."""
-    pairs = stored(within(features, max(eps), key), "pairs")
+    """H5: cluster and noise counts for a grid. The loop is over settings; no setting keeps pairs for the next."""
     out = None
     for e in eps:
         for m in min_samples:
-            row = dbscan(features, e, m, key, pairs).agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") < 0).alias("noise"))
+            row = dbscan(features, e, m, key).agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") < 0).alias("noise"))
             row = row.select(F.lit(float(e)).alias("eps"), F.lit(m).alias("min_samples"), "clusters", "noise")
             out = row if out is None else out.unionByName(row)
     return out

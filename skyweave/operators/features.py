@@ -1,5 +1,7 @@
 """Features of series and work on feature tables (obj_id, features array<double>)."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,11 +38,31 @@ def spectra(lc: DataFrame, key: str = "obj_id") -> DataFrame:
     return got.select(key, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in SPECTRAL))
 
 
+def _sixteen(t: np.ndarray, flux: np.ndarray) -> tuple[float, ...]:
+    middle = np.median(flux) if len(flux) else 0.0
+    if not middle:
+        return (np.nan,) * 16
+    y = flux / middle
+    m = [np.mean((y - y.mean()) ** k) for k in (2, 3, 4)]
+    spread = t - t.mean()
+    slope = (spread @ y) / (spread @ spread) if (spread @ spread) > 0 else np.nan
+    peak, ln_peak, period, *rest = spectral_features(t, y)
+    with np.errstate(divide="ignore"):
+        return (y.mean(), *m, *np.log(np.abs(m)), peak, ln_peak, period, slope, np.log(np.abs(slope)), *rest)
+
+
 def engineered(lc: DataFrame, key: str = "obj_id") -> DataFrame:
-    """The 16 features of every object after division by the median: moments, peak, slope, areas, fast peak."""
-    unit = by_median(lc.filter("flux is not null"), key)
-    joined = moments(unit, key).join(trend(unit, key), key).join(spectra(unit, key), key)
-    return joined.select(key, *MOMENTS, *SPECTRAL[:3], "slope", "ln_slope", *SPECTRAL[3:])
+    """The 16 features of every object after division by the median, in one pass: moments, peak, slope, areas, fast
+    peak. NULL where E1 to E5 give none (a median of 0 gives none at all)."""
+    names = [*MOMENTS, *SPECTRAL[:3], "slope", "ln_slope", *SPECTRAL[3:]]
+
+    def run(k: tuple, series: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values("t")
+        return pd.DataFrame([(k[0], *_sixteen(series["t"].to_numpy(float), series["flux"].to_numpy(float)))], columns=[key, *names])
+
+    got = lc.filter("flux is not null").select(key, "t", "flux").groupBy(key).applyInPandas(run, f"{key} long, " + ", ".join(f"{c} double" for c in names))
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c)
+    return got.select(key, *map(finite, names))
 
 
 def transit_features(lc: DataFrame, periods: list[float], durations: list[float], key: str = "obj_id") -> DataFrame:
@@ -99,13 +121,24 @@ def without_outliers(features: DataFrame, sigma: float, key: str = "obj_id") ->
     return features.join(outlier_hits(features, sigma, key).select(key).distinct(), key, "left_anti")
 
 
-def correlations(features: DataFrame, dims: int) -> DataFrame:
-    """(i, j, corr) for all pairs of the first dims columns in one aggregate."""
-    wide = features.select(*(F.col("features")[d].alias(f"f{d}") for d in range(dims)))
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    row = wide.agg(*(F.corr(f"f{i}", f"f{j}").alias(f"c_{i}_{j}") for i, j in pairs))
-    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c_{i}_{j}").alias("corr")) for i, j in pairs))
-    return row.select(F.inline(cells))
+def correlations(features: DataFrame) -> DataFrame:
+    """(i, j, corr) for all pairs i <= j of columns: products of centred blocks, summed; NULL for a constant one."""
+    middle = long_form(features.filter("features is not null"), "obj_id").groupBy("dim").agg(F.avg("x").alias("m"))
+    means = np.array([r.m for r in middle.orderBy("dim").collect()], float)  # a number a column
+
+    def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(means), len(means)))
+        for part in parts:
+            if len(part):
+                x = np.stack(part["features"].to_numpy()) - means
+                total += x.T @ x
+        i, j = np.triu_indices(len(means))
+        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "s": total[i, j]})
+
+    cells = features.filter("features is not null").select("features").mapInPandas(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    own = cells.filter("i = j")
+    both = cells.join(F.broadcast(own.select("i", F.col("s").alias("si"))), "i").join(F.broadcast(own.select("j", F.col("s").alias("sj"))), "j")  # a row a column
+    return both.select("i", "j", F.try_divide("s", F.sqrt(F.col("si") * F.col("sj"))).alias("corr"))
 
 
 def extremes(features: DataFrame, dims: tuple[int, int], n: int = 3, key: str = "obj_id") -> DataFrame:

@@ -5,21 +5,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pairs import blocked
+from ..functions.pairs import Exact, blocked
+from ..sources import numbered, stored
 
 
 def nearest(features: DataFrame, k: int, with_self: bool = False, key: str = "obj_id") -> DataFrame:
     """G1: (obj_id, nb_id, dist, rank): exact k nearest by (distance, id)."""
 
-    def top(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
+    def top(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray, exact: Exact) -> pd.DataFrame:
         ids, others = a[key].to_numpy(), b[key].to_numpy()
         if not d.size:
             return pd.DataFrame({"obj_id": ids[:0], "nb_id": others[:0], "dist": np.zeros(0)})
         d = d if with_self else np.where(ids[:, None] == others[None, :], np.inf, d)
         n = min(k, d.shape[1])
         limit = np.partition(d, n - 1, axis=1)[:, n - 1]
-        i, j = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-        return pd.DataFrame({"obj_id": ids[i], "nb_id": others[j], "dist": d[i, j]})
+        i, j = np.nonzero((d <= limit[:, None] + 2 * exact.slack) & np.isfinite(d))
+        got = pd.DataFrame({"obj_id": ids[i], "nb_id": others[j], "dist": exact(i, j)}).sort_values(["obj_id", "dist", "nb_id"])
+        return got[got.groupby("obj_id").cumcount() < k]
 
     found = blocked(features, top, "obj_id long, nb_id long, dist double", key)
     rank = F.row_number().over(Window.partitionBy("obj_id").orderBy("dist", "nb_id"))
@@ -51,13 +53,18 @@ def contaminated(scores: DataFrame, share: float) -> DataFrame:
     return scores.join(F.broadcast(cut)).filter("lof >= cut").drop("cut")
 
 
-def lof_by_feature(features: DataFrame, k: int = 20, key: str = "obj_id") -> DataFrame:
-    """LOF for every single feature; in one dimension the k nearest lie within k places of the sorted order."""
-    rows = features.select(F.col(key).alias("obj_id"), F.posexplode("features").alias("dim", "x"))
-    w = Window.partitionBy("dim").orderBy("x", "obj_id")
-    near = F.collect_list(F.struct("obj_id", "x"))
-    around = rows.withColumn("near", F.concat(near.over(w.rowsBetween(-k, -1)), near.over(w.rowsBetween(1, k))))
-    pairs = around.select("dim", "obj_id", "x", F.inline("near").alias("nb_id", "nb_x")).withColumn("dist", F.abs(F.col("nb_x") - F.col("x")))
+def lof_by_feature(features: DataFrame, k: int = 20, key: str = "obj_id", chunk: int = 10_000) -> DataFrame:
+    """LOF for every single feature; in one dimension the k nearest lie within k places of the sorted order.
+
+    The order of all (dim, x) is cut into chunks, each with the k rows before and after it, so no feature is one task."""
+    rows = numbered(features.select(F.col(key).alias("obj_id"), F.posexplode("features").alias("dim", "x")), "dim", "x", "obj_id")
+    own = F.floor(F.col("number") / chunk)
+    reached = F.array_distinct(F.array(F.floor((F.col("number") - k) / chunk), own, F.floor((F.col("number") + k) / chunk)))
+    dealt = rows.select("dim", "obj_id", "x", "number", own.alias("own"), F.explode(reached).alias("chunk"))
+    w = Window.partitionBy("chunk").orderBy("number")
+    near = F.collect_list(F.struct("dim", "obj_id", "x"))
+    around = dealt.withColumn("near", F.concat(near.over(w.rowsBetween(-k, -1)), near.over(w.rowsBetween(1, k)))).filter("own = chunk")
+    pairs = around.select("dim", "obj_id", "x", F.inline("near").alias("nb_dim", "nb_id", "nb_x")).filter("dim = nb_dim").withColumn("dist", F.abs(F.col("nb_x") - F.col("x")))
     rank = F.row_number().over(Window.partitionBy("dim", "obj_id").orderBy("dist", "nb_id"))
     nn = pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("dim", "obj_id", "nb_id", "dist")
     kdist = nn.groupBy("dim", "obj_id").agg(F.max("dist").alias("kdist"))
@@ -83,6 +90,16 @@ def rare_class_scores(settings: DataFrame, labels: DataFrame, rare: list) -> Dat
     return settings.join(labels.filter(F.col("label").isin(rare)), "obj_id").groupBy("setting", "label").agg(F.avg("lof").alias("mean_lof"))
 
 
+def scan_neighbours(features: DataFrame, ks: list[int], key: str = "obj_id") -> DataFrame:
+    """(setting, obj_id, lof) for several numbers of neighbours; the largest number's neighbours serve all."""
+    near = stored(nearest(features, max(ks), key=key), "neighbours")
+    out = None
+    for k in ks:
+        one = lof_of(near.filter(F.col("rank") <= k)).select(F.lit(k).alias("setting"), "obj_id", "lof")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def nearest_to(features: DataFrame, target_id: int, n: int, clusters: DataFrame | None = None, key: str = "obj_id") -> DataFrame:
     """The n nearest to a target, over all or within its cluster."""
     table = features.join(clusters, key) if clusters is not None else features.withColumn("cluster", F.lit(0))

@@ -1,4 +1,4 @@
-"""Normalisation per series (key = obj_id) or per feature column (key = None)."""
+"""Normalisation per series (by key, one column or several) or per feature column."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 LEAST_SPREAD = 1e-8
 
 
-def _over(key: str | None):
-    return Window.partitionBy(key) if key else Window.partitionBy()
+def _over(key: str | tuple[str, ...]):
+    return Window.partitionBy(*([key] if isinstance(key, str) else key))
 
 
 def by_median(lc: DataFrame, key: str = "obj_id", minus_one: bool = False) -> DataFrame:
@@ -25,10 +25,10 @@ def scaled(x: Column, mean: Column, spread: Column) -> Column:
     return (x - mean) / F.when(spread == 0, LEAST_SPREAD).otherwise(spread)
 
 
-def standardize(lc: DataFrame, key: str = "obj_id") -> DataFrame:
+def standardize(lc: DataFrame, key: str | tuple[str, ...] = "obj_id", column: str = "flux") -> DataFrame:
     """C3 per series: population deviation, 0 counts as 1e-8."""
     w = _over(key)
-    return lc.withColumn("flux", scaled(F.col("flux"), F.avg("flux").over(w), F.stddev_pop("flux").over(w)))
+    return lc.withColumn(column, scaled(F.col(column), F.avg(column).over(w), F.stddev_pop(column).over(w)))
 
 
 def standardize_columns(table: DataFrame, columns: list[str]) -> DataFrame:

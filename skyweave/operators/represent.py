@@ -4,23 +4,59 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import numbered, stored
+
+
+def right_vectors(series: DataFrame, components: int, spare: int = 20, most_rounds: int = 60, tol: float = 1e-10) -> np.ndarray:
+    """The first right singular vectors of the matrix with column `flux` as rows, by subspace iteration.
+
+    A round sends T x (components + spare) numbers to the tasks and gets their products back, summed in blocks of the
+    axis; it is exact at once where that covers the axis. The axis of T samples is all that the driver must hold."""
+    size = series.agg(F.max(F.size("flux"))).first()[0] or 0
+    width = min(size, max(64, components + spare))
+    q = np.eye(size, width) if width == size else np.linalg.qr(np.random.default_rng(0).normal(size=(size, width)))[0]
+    cuts = list(range(0, size, 4096))
+    before = None
+    for _ in range(most_rounds if width < size else 1):
+        shared = series.sparkSession.sparkContext.broadcast(q)
+
+        def products(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((size, width))
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column("flux").flatten().to_numpy().reshape(batch.num_rows, size)
+                    total += x.T @ (x @ shared.value)
+            yield pa.record_batch([pa.array(range(len(cuts)), pa.int32()), pa.array([total[c : c + 4096].tobytes() for c in cuts], pa.binary())], ["cut", "part"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(b.as_buffer()) for b in table.column("part"))
+            return pa.table({"cut": table.column("cut").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+
+        rows = series.select("flux").mapInArrow(products, "cut int, part binary").groupBy("cut").applyInArrow(add, "cut int, part binary").collect()
+        y = np.concatenate([np.frombuffer(r.part) for r in sorted(rows, key=lambda r: r.cut)]).reshape(size, width) if rows else q * 0
+        small = q.T @ y
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-values)[:components]
+        found = q @ turn[:, order]
+        if before is not None and np.linalg.norm(found - before @ (before.T @ found)) < tol:
+            break
+        before, q = found, np.linalg.qr(y)[0] if width < size else q
+    return found if size else np.zeros((0, components))
+
 
 def remove_systematics(series: DataFrame, components: int = 5, key: str = "obj_id") -> DataFrame:
     """series is (key, flux array<double> on one common axis). Standardised series are regressed on the right
     singular vectors of their matrix (not centred across series); what is left stays."""
-    from pyspark.mllib.linalg import Vectors
-
     mean = F.aggregate("flux", F.lit(0.0), lambda s, x: s + x) / F.size("flux")
     unit = series.withColumn("_m", mean).withColumn("_s", F.sqrt(F.aggregate(F.transform("flux", lambda x: (x - F.col("_m")) * (x - F.col("_m"))), F.lit(0.0), lambda s, x: s + x) / F.size("flux")))
-    unit = unit.withColumn("flux", F.transform("flux", lambda x: (x - F.col("_m")) / F.when(F.col("_s") == 0, 1e-8).otherwise(F.col("_s")))).drop("_m", "_s")
-    rows = unit.select("flux").rdd.map(lambda r: Vectors.dense(r.flux))  # the distributed SVD takes no DataFrame
-    basis = RowMatrix(rows).computeSVD(components).V.toArray()
+    unit = stored(unit.select(key, F.transform("flux", lambda x: (x - F.col("_m")) / F.when(F.col("_s") == 0, 1e-8).otherwise(F.col("_s"))).alias("flux")), "unit")
+    basis = right_vectors(unit, components)
     shared = series.sparkSession.sparkContext.broadcast(basis)
 
     def leave(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -31,7 +67,7 @@ def remove_systematics(series: DataFrame, components: int = 5, key: str = "obj_i
                 part = part.assign(flux=list(x - (x @ v) @ v.T))
             yield part
 
-    return unit.select(key, "flux").mapInPandas(leave, f"{key} long, flux array<double>")
+    return unit.mapInPandas(leave, f"{key} long, flux array<double>")
 
 
 def pca(features: DataFrame, n: int, key: str = "obj_id") -> DataFrame:
@@ -71,11 +107,16 @@ def reconstruction_error(encoded: DataFrame, powers: tuple[int, ...] = (1, 2, 3,
     return rows.select(key, "power", (total / F.col("n")).alias("error"))
 
 
-def ends_of_error(errors: DataFrame, n: int, key: str = "obj_id") -> DataFrame:
-    """the n best and worst reconstructed objects for each power."""
-    w = Window.partitionBy("power")
-    ranked = errors.withColumns({"low": F.row_number().over(w.orderBy("error", key)), "high": F.row_number().over(w.orderBy(F.desc("error"), key))})
-    return ranked.filter((F.col("low") <= n) | (F.col("high") <= n)).select(key, "power", "error", F.when(F.col("low") <= n, "best").otherwise("worst").alias("end"))
+def ends_of_error(errors: DataFrame, n: int, powers: tuple[int, ...] = (1, 2, 3, 4, 5), key: str = "obj_id") -> DataFrame:
+    """the n best and worst reconstructed objects for each power (one that is both is best), each end a limited order."""
+    out = None
+    for power in powers:
+        own = errors.filter(F.col("power") == power).select(key, "power", "error")
+        best = own.orderBy("error", key).limit(n).withColumn("end", F.lit("best"))
+        worst = own.orderBy(F.desc("error"), key).limit(n).join(best.select(key), key, "left_anti").select(key, "power", "error", F.lit("worst").alias("end"))
+        both = best.unionByName(worst)
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def split_by_error(errors: DataFrame, share: float = 0.5, power: int = 3, key: str = "obj_id") -> DataFrame:
@@ -88,11 +129,13 @@ def split_by_error(errors: DataFrame, share: float = 0.5, power: int = 3, key: s
 def split_train_test(table: DataFrame, ratio: float, seed: int = 0, by_class: str | None = None, key: str = "obj_id") -> DataFrame:
     """`is_train` for the first int(ratio * n) rows in a seeded hash order, for each class if stratified.
 
-    The plain split takes the boundary hash by an exact percentile of rank, in one ordered stage."""
-    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    part = Window.partitionBy(by_class) if by_class else Window.partitionBy(F.lit(0))
-    ranked = table.withColumn("_rank", F.row_number().over(part.orderBy(order, key))).withColumn("_n", F.count("*").over(part))
-    return ranked.withColumn("is_train", (F.col("_rank") <= F.floor(F.col("_n") * ratio)).cast("int")).drop("_rank", "_n")
+    Rows are numbered in ranges of (class, hash), so neither the table nor a large class is one task."""
+    part = by_class or "_all"
+    keyed = table.withColumn("_hash", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
+    ranked = numbered(keyed if by_class else keyed.withColumn("_all", F.lit(0)), part, "_hash", key)
+    facts = ranked.groupBy(part).agg(F.min("number").alias("_first"), F.count("*").alias("_n")).withColumnRenamed(part, "_part")
+    joined = ranked.join(facts, F.col(part).eqNullSafe(F.col("_part")))
+    return joined.withColumn("is_train", (F.col("number") - F.col("_first") < F.floor(F.col("_n") * ratio)).cast("int")).select(*table.columns, "is_train")
 
 
 def best_setting(scan: DataFrame, score: str, largest: bool = False, setting: str = "setting") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.series import fill_gaps, high_passed_rms
+from .normalize import standardize
 
 
 def _ordered(key: str = "obj_id", by: str = "i"):
@@ -75,24 +76,35 @@ def stitch(lc: DataFrame, meta: list[str], key: str = "obj_id") -> DataFrame:
     w = Window.partitionBy(key, "sector")
     a, b = F.min("flux").over(w), F.max("flux").over(w)
     scaled = lc.withColumn("flux", F.try_divide(F.col("flux") - a, b - a))
+    return scaled.join(_in_all_sectors(lc, meta, key).drop("n"), key)
+
+
+def _in_all_sectors(lc: DataFrame, meta: list[str], key: str) -> DataFrame:
+    """Objects that are in all sectors, how many these are, and their metadata, joined by commas in order of sector."""
     sectors = lc.select("sector").distinct().agg(F.count("*").alias("sectors"))  # one row
     per = lc.groupBy(key, "sector").agg(*(F.min(m).alias(m) for m in meta))
     both = per.groupBy(key).agg(F.count("*").alias("n"), *(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sector", F.col(m).cast("string").alias("m")))), lambda x: x["m"]), ",").alias(f"{m}s") for m in meta))
-    both = both.join(F.broadcast(sectors)).filter("n = sectors").drop("n", "sectors")
-    return scaled.join(both, key)
+    return both.join(F.broadcast(sectors)).filter("n = sectors").drop("sectors")
+
 
+def stitch_if_alike(lc: DataFrame, meta: list[str], cutoff: float = 0.5, order: int = 5, tol: float = 0.6, key: str = "obj_id") -> tuple[DataFrame, DataFrame]:
+    """The samples of objects whose sectors' high-passed RMS differ by less than tol of the lesser, and the rejected.
 
-def stitch_if_alike(lc: DataFrame, cutoff: float = 0.5, order: int = 5, tol: float = 0.6, key: str = "obj_id") -> tuple[DataFrame, DataFrame]:
-    """Objects whose sectors' high-passed RMS agree within tol of each other, and the rest (the rejected)."""
+    Each sector is standardised first (C3); metadata are joined by commas. The rejected are the other objects that are
+    in all sectors: (key, low, high)."""
+    unit = standardize(lc.filter("flux is not null"), (key, "sector"))
 
     def one(k: tuple, series: pd.DataFrame) -> pd.DataFrame:
-        flux = series.sort_values("t")["flux"].to_numpy(float)
-        return pd.DataFrame({key: [k[0]], "sector": [k[1]], "noise": [high_passed_rms(flux[~np.isnan(flux)], cutoff, order)]})
+        return pd.DataFrame({key: [k[0]], "sector": [k[1]], "noise": [high_passed_rms(series.sort_values("t")["flux"].to_numpy(float), cutoff, order)]})
 
-    noise = lc.select(key, "sector", "t", "flux").groupBy(key, "sector").applyInPandas(one, f"{key} long, sector int, noise double")
-    per = noise.groupBy(key).agg(F.min("noise").alias("low"), F.max("noise").alias("high"), F.count("noise").alias("n"))
-    good = per.filter((F.col("n") > 1) & (F.col("high") - F.col("low") <= tol * F.col("low")))
-    return good, per.join(good.select(key), key, "left_anti")
+    noise = unit.select(key, "sector", "t", "flux").groupBy(key, "sector").applyInPandas(one, f"{key} long, sector int, noise double")
+    noise = noise.withColumn("noise", F.when(~F.isnan("noise"), F.col("noise")))
+    per = noise.groupBy(key).agg(F.min("noise").alias("low"), F.max("noise").alias("high"), F.count("noise").alias("known"))
+    both = per.join(_in_all_sectors(lc, meta, key), key)
+    alike = (F.col("known") == F.col("n")) & (F.col("high") - F.col("low") < tol * F.col("low"))
+    names = [f"{m}s" for m in meta]
+    good = unit.join(both.filter(alike).select(key, *names), key)
+    return good, both.filter(~F.coalesce(alike, F.lit(False))).select(key, "low", "high")
 
 
 def cut_to_shortest(lc: DataFrame, keys: tuple[str, ...] = ("obj_id", "sector")) -> DataFrame:
@@ -124,17 +136,22 @@ def truncate(lc: DataFrame, factor: int, last: bool = True, key: str = "obj_id")
     return ranked.filter(F.col("rank") <= F.col("n") - F.col("n") % factor).drop("rank", "n")
 
 
-def segment_rms(lc: DataFrame, parts: int, len_var: float = 0.0, seed: int = 0, key: str = "obj_id") -> DataFrame:
-    """Each series in `parts` segments of about equal length (bounds moved by up to len_var of it), standardised; RMS of each."""
+def segments(lc: DataFrame, parts: int, len_var: float = 0.0, seed: int = 0, factor: int = 1, key: str = "obj_id") -> DataFrame:
+    """Each series cut into `parts` segments of about equal length (bounds moved by up to len_var of it), each cut
+    to a multiple of factor; columns `segment` and `z`, the flux standardised in its segment."""
     rng = np.random.default_rng(seed)
     bounds = [(k + 1 + float(rng.uniform(-len_var, len_var))) / parts for k in range(parts - 1)]
     place = (F.row_number().over(_ordered(key, "t")) - 1) / F.count("*").over(Window.partitionBy(key))
     segment = sum((F.when(place >= b, 1).otherwise(0) for b in bounds), F.lit(0))
-    cut = lc.withColumn("segment", segment)
     w = Window.partitionBy(key, "segment")
-    spread = F.stddev_pop("flux").over(w)
-    z = (F.col("flux") - F.avg("flux").over(w)) / F.when(spread == 0, 1e-8).otherwise(spread)
-    return cut.withColumn("z", z).groupBy(key, "segment").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("z") * F.col("z"))).alias("rms"))
+    ranked = lc.withColumn("segment", segment).withColumns({"_rank": F.row_number().over(w.orderBy("t")), "_n": F.count("*").over(w)})
+    cut = ranked.filter(F.col("_rank") <= F.col("_n") - F.col("_n") % factor).drop("_rank", "_n")
+    return standardize(cut.withColumn("z", F.col("flux")), (key, "segment"), "z")
+
+
+def segment_rms(lc: DataFrame, parts: int, len_var: float = 0.0, seed: int = 0, factor: int = 1, key: str = "obj_id") -> DataFrame:
+    """(key, segment, n, rms): the RMS of the flux itself in each segment."""
+    return segments(lc, parts, len_var, seed, factor, key).groupBy(key, "segment").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("flux") * F.col("flux"))).alias("rms"))
 
 
 def running_median(table: DataFrame, columns: list[str], by: str, part: str | None = None, width: int = 31) -> DataFrame:

@@ -37,9 +37,9 @@ def e11_kept(spark, d):
     return features.without_outliers(vectors(spark, d), 3.0).select("obj_id")
 
 
-@query("e12_correlations", f"WITH {v.FEATURES}, p AS (SELECT i, j, features[i + 1] AS a, features[j + 1] AS b FROM f, range(6) r(i), range(6) s(j) WHERE i <= j) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {R('corr(a, b)', 'corr')} FROM p GROUP BY i, j")
+@query("e12_correlations", f"WITH {v.FEATURES}, p AS (SELECT i, j, features[i + 1] AS a, features[j + 1] AS b FROM f, range(64) r(i), range(64) s(j) WHERE i <= j) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {R('corr(a, b)', 'corr')} FROM p GROUP BY i, j")
 def e12(spark, d):
-    return rounded(features.correlations(vectors(spark, d), 6), "corr")
+    return rounded(features.correlations(vectors(spark, d)), "corr")
 
 
 @query("e13_extremes", f"WITH {v.FEATURES} " + " UNION ".join(f"(SELECT obj_id FROM f ORDER BY features[{k}] {o}, obj_id LIMIT 3)" for k in (1, 3) for o in ("ASC", "DESC")))
@@ -142,11 +142,11 @@ def g2_cut(spark, d):
     return rounded(neighbors.contaminated(neighbors.local_outlier_factor(vectors(spark, d)), 0.05), "lof")
 
 
-@query("g3_lof_by_feature", f"""WITH {v.LONG}, s AS (SELECT * FROM fl WHERE dim < 2), nn AS (SELECT a.dim, a.obj_id, b.obj_id AS nb_id, abs(a.x - b.x) AS dist FROM s a JOIN s b ON a.dim = b.dim AND a.obj_id <> b.obj_id QUALIFY row_number() OVER (PARTITION BY a.dim, a.obj_id ORDER BY dist, b.obj_id) <= 20),
+@query("g3_lof_by_feature", f"""WITH {v.LONG}, s AS (SELECT * FROM fl), nn AS (SELECT a.dim, a.obj_id, b.obj_id AS nb_id, abs(a.x - b.x) AS dist FROM s a JOIN s b ON a.dim = b.dim AND a.obj_id <> b.obj_id QUALIFY row_number() OVER (PARTITION BY a.dim, a.obj_id ORDER BY dist, b.obj_id) <= 20),
  kd AS (SELECT dim, obj_id, max(dist) AS kdist FROM nn GROUP BY 1, 2), lr AS (SELECT nn.dim, nn.obj_id, 1 / (avg(greatest(kdist, dist)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.obj_id = nn.nb_id AND kd.dim = nn.dim GROUP BY 1, 2)
  SELECT nn.dim, nn.obj_id, {R('avg(b.lrd) / any_value(a.lrd)', 'lof')} FROM nn JOIN lr b ON b.obj_id = nn.nb_id AND b.dim = nn.dim JOIN lr a ON a.obj_id = nn.obj_id AND a.dim = nn.dim GROUP BY 1, 2""")
 def g3(spark, d):
-    return rounded(neighbors.lof_by_feature(vectors(spark, d).withColumn("features", F.slice("features", 1, 2))), "lof")
+    return rounded(neighbors.lof_by_feature(vectors(spark, d)), "lof")
 
 
 @query("g4_random_pick", f"WITH {v.FEATURES} SELECT obj_id FROM f ORDER BY md5(concat(obj_id, ':', 3)), obj_id LIMIT 12")
@@ -154,14 +154,21 @@ def g4(spark, d):
     return neighbors.pick(vectors(spark, d).withColumn("lof", F.lit(0.0)), 12, "random", 3).select("obj_id")
 
 
-@query("g5_labelled_scores", f"WITH {NN}, {LOF} SELECT obj_id, label, {R('lof', 'lof')} FROM lf JOIN f USING (obj_id) WHERE CAST(label AS INTEGER) < 5")
+@query("g5_labelled_scores", f"WITH {NN}, {LOF} SELECT obj_id, label, {R('lof', 'lof')} FROM lf JOIN f USING (obj_id)")
 def g5(spark, d):
-    return rounded(neighbors.labelled_scores(neighbors.local_outlier_factor(vectors(spark, d)), names(spark, d).filter("cast(label as int) < 5")), "lof")
+    return rounded(neighbors.labelled_scores(neighbors.local_outlier_factor(vectors(spark, d)), names(spark, d)), "lof")
 
 
-@query("g6_rare_classes", f"WITH {v.FEATURES}, s AS (SELECT obj_id, CAST(k AS INTEGER) AS setting, features[k] AS lof FROM f, range(1, 4) r(k)) SELECT setting, label, round(avg(lof), 6) + 0.0 AS mean_lof FROM s JOIN f USING (obj_id) WHERE label IN ('1', '7') GROUP BY 1, 2")
+def lof_sql(k: int) -> str:
+    """LOF of k neighbours, as setting k."""
+    near = f"(SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY dist, nb_id) <= {k})"
+    reach = f"(SELECT n.obj_id, 1 / (avg(greatest(kdist, dist)) + 1e-10) AS lrd FROM {near} n JOIN (SELECT obj_id, max(dist) AS kdist FROM {near} GROUP BY 1) k ON k.obj_id = n.nb_id GROUP BY 1)"
+    return f"SELECT {k} AS setting, n.obj_id, avg(b.lrd) / any_value(a.lrd) AS lof FROM {near} n JOIN {reach} b ON b.obj_id = n.nb_id JOIN {reach} a ON a.obj_id = n.obj_id GROUP BY n.obj_id"
+
+
+@query("g6_rare_classes", f"WITH {NN}, s AS ({' UNION ALL '.join(map(lof_sql, (5, 10, 20)))}) SELECT CAST(setting AS INTEGER) AS setting, label, round(avg(lof), 6) + 0.0 AS mean_lof FROM s JOIN f USING (obj_id) WHERE label IN ('1', '7') GROUP BY 1, 2")
 def g6(spark, d):
-    table = vectors(spark, d).select("obj_id", F.posexplode(F.slice("features", 1, 3)).alias("setting", "lof")).withColumn("setting", F.col("setting") + 1)
+    table = neighbors.scan_neighbours(vectors(spark, d), [5, 10, 20])
     return rounded(neighbors.rare_class_scores(table, names(spark, d), ["1", "7"]), "mean_lof")
 
 
@@ -241,7 +248,7 @@ def h5_dbscan(spark, d):
 
 
 DIST = f"{v.LONG}, {CL}, {CENTRES}, di AS (SELECT obj_id, cluster, sum((x - md) ** 2) AS sq_dist FROM fl JOIN c USING (obj_id) JOIN ce USING (cluster, dim) GROUP BY 1, 2)"
-CORE = DIST + ", th AS (SELECT cluster, median(sq_dist) + 0.5 * stddev_pop(sq_dist) AS threshold FROM di GROUP BY 1), core AS (SELECT obj_id, cluster, sq_dist, CAST(sq_dist <= threshold AS INTEGER) AS is_core FROM di JOIN th USING (cluster))"
+CORE = DIST + ", th AS (SELECT cluster, median(sq_dist) + 0.5 * stddev_pop(sq_dist) AS threshold FROM di GROUP BY 1), core AS (SELECT obj_id, cluster, sq_dist, CAST(sq_dist <= threshold AS INTEGER) AS is_core, CAST(sq_dist < threshold AS INTEGER) AS inside FROM di JOIN th USING (cluster))"
 
 
 def distances(spark, d):
@@ -271,9 +278,9 @@ def h9(spark, d):
 MIXED = "nm AS (SELECT obj_id, CASE WHEN obj_id % 3 = 0 THEN '0' ELSE label END AS label FROM f)"
 
 
-@query("h10_name_by_majority", f"""WITH {CORE}, {MIXED}, ct AS (SELECT cluster, label, count(*) AS n FROM core JOIN nm USING (obj_id) WHERE is_core = 1 GROUP BY 1, 2),
+@query("h10_name_by_majority", f"""WITH {CORE}, {MIXED}, ct AS (SELECT cluster, label, count(*) FILTER (inside = 1) AS n FROM core JOIN nm USING (obj_id) GROUP BY 1, 2),
  rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) AS k, coalesce(lead(n) OVER (PARTITION BY cluster ORDER BY n DESC, label), 0) AS second, stddev_pop(n) OVER (PARTITION BY cluster) AS s FROM ct),
- wo AS (SELECT cluster, label AS name FROM rk WHERE k = 1 AND n > second + s) SELECT obj_id, core.cluster, coalesce(CASE WHEN is_core = 1 THEN name END, 'UNCLASSIFIED') AS name FROM core LEFT JOIN wo ON wo.cluster = core.cluster""")
+ wo AS (SELECT cluster, label AS name FROM rk WHERE k = 1 AND n > second + s) SELECT obj_id, core.cluster, coalesce(CASE WHEN inside = 1 THEN name END, 'UNCLASSIFIED') AS name FROM core LEFT JOIN wo ON wo.cluster = core.cluster""")
 def h10(spark, d):
     mixed = names(spark, d).withColumn("label", F.when(F.col("obj_id") % 3 == 0, "0").otherwise(F.col("label")))
     return cluster.name_by_majority(cluster.core_members(distances(spark, d), 0.5), mixed, 1.0)

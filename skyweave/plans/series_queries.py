@@ -224,8 +224,10 @@ def d7(spark, d):
 
 @query("d8_stitch_if_alike")
 def d8(spark, d):
-    good, rejected = timeaxis.stitch_if_alike(v.ok(spark, d))
-    return rounded(good.withColumn("kept", F.lit(1)).union(rejected.withColumn("kept", F.lit(0))), "low", "high")
+    """An object a row: its stitched series in sums, or that it was rejected (tests/test_helpers.py has a plain version)."""
+    good, rejected = timeaxis.stitch_if_alike(v.ok(spark, d).withColumn("name", F.col("sector")), ["name"])
+    kept = good.groupBy("obj_id", "names").agg(F.count("*").alias("n"), F.sum(F.col("flux") * F.col("t")).alias("moment"))
+    return rounded(kept.unionByName(rejected.select("obj_id"), allowMissingColumns=True), "moment")
 
 
 @query("d9_cut_to_shortest", f"""WITH {v.OK}, r AS (SELECT *, row_number() OVER (PARTITION BY obj_id, sector ORDER BY t) AS k FROM ok), m AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM ok GROUP BY obj_id, sector))
@@ -251,9 +253,15 @@ def d12(spark, d):
 
 
 @query("d13_segment_rms", f"""WITH {v.OK}, r AS (SELECT *, (row_number() OVER (PARTITION BY obj_id ORDER BY t) - 1) / count(*) OVER (PARTITION BY obj_id) AS p FROM ok), s AS (SELECT *, CASE WHEN p >= 0.25 THEN 1 ELSE 0 END + CASE WHEN p >= 0.5 THEN 1 ELSE 0 END + CASE WHEN p >= 0.75 THEN 1 ELSE 0 END AS segment FROM r),
- z AS (SELECT *, (flux - avg(flux) OVER w) / CASE WHEN stddev_pop(flux) OVER w = 0 THEN 1e-8 ELSE stddev_pop(flux) OVER w END AS z FROM s WINDOW w AS (PARTITION BY obj_id, segment)) SELECT obj_id, segment, count(*) AS n, {R('sqrt(avg(z * z))', 'rms')} FROM z GROUP BY 1, 2""")
+ g AS (SELECT *, row_number() OVER (PARTITION BY obj_id, segment ORDER BY t) AS k, count(*) OVER (PARTITION BY obj_id, segment) AS m FROM s) SELECT obj_id, segment, count(*) AS n, {R('sqrt(avg(flux * flux))', 'rms')} FROM g WHERE k <= m - m % 3 GROUP BY 1, 2""")
 def d13(spark, d):
-    return rounded(timeaxis.segment_rms(v.ok(spark, d), 4), "rms")
+    return rounded(timeaxis.segment_rms(v.ok(spark, d), 4, factor=3), "rms")
+
+
+@query("d13_segments", f"""WITH {v.OK}, r AS (SELECT *, (row_number() OVER (PARTITION BY obj_id ORDER BY t) - 1) / count(*) OVER (PARTITION BY obj_id) AS p FROM ok), s AS (SELECT *, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS segment FROM r)
+ SELECT obj_id, segment, {R('t', 't')}, {R('(flux - avg(flux) OVER w) / CASE WHEN stddev_pop(flux) OVER w = 0 THEN 1e-8 ELSE stddev_pop(flux) OVER w END', 'z')} FROM s WINDOW w AS (PARTITION BY obj_id, segment)""")
+def d13_segments(spark, d):
+    return rounded(timeaxis.segments(v.ok(spark, d), 2).select("obj_id", "segment", "t", "z"), "t", "z")
 
 
 def attitude(spark, d):

@@ -1,9 +1,10 @@
 """Sources and sinks: series, catalogs, labels, event times, stored products."""
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SERIES = "t double, intensity double, error double"
@@ -12,9 +13,11 @@ CATALOG = "ID long, ra double, dec double, Teff double, rad double, mass double,
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (set here only where it is unset, as in tests)."""
+    """A new path in the folder that driver and executors share; set here only where it is unset and all is one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="skyweave-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -27,9 +30,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_series(lc: DataFrame, path: str) -> None:
-    """One table of cleaned series, partitioned by sector."""
-    lc.repartition("sector").write.mode("overwrite").partitionBy("sector").parquet(path)
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """With column `number`, from 0 in the given order over the whole table. Ranges are sorted apart; only their row
+    counts meet."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = stored(ranges.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row a range
+    return placed.join(F.broadcast(before), "_range").withColumn("number", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
+def write_series(lc: DataFrame, path: str, files: int = 64) -> None:
+    """One table of cleaned series, partitioned by sector, an object's samples of a sector in one of `files` files."""
+    lc.repartition("sector", F.pmod(F.xxhash64("obj_id"), F.lit(files))).write.mode("overwrite").partitionBy("sector").parquet(path)
 
 
 def read_sector(spark: SparkSession, path: str, sector: int) -> DataFrame:
