@@ -2,7 +2,9 @@
 
 The byte-level pattern never joins a non-space to a space after it, so a text may be cut before a space that a
 non-space follows without any change of its ids, and such pieces may be put together in any order and encoded as one
-text; the byte lengths of the ids tell where each piece ends. Lead bytes of multi-byte spaces are left uncut.
+text; the byte lengths of the ids tell where each piece ends. Lead bytes of multi-byte spaces are left uncut. A name
+of a special token in a text is that token, as the tokenizer has it; a tokenizer with such names over a space, or that
+take spaces beside them, is refused.
 """
 
 import os
@@ -11,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .words import BYTE_VALUES, span_hash, text_bytes
+from .words import BYTE_VALUES, grouped, span_hash, text_bytes
 
 CUT_BEFORE = np.zeros(256, bool)
 CUT_BEFORE[0x21:0x7F] = True
@@ -28,7 +30,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        if any(" " in t.content or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("a special token's name may be cut")
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a token's characters stand for one byte each
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
@@ -69,9 +72,9 @@ class PieceEncoder:
         size = np.concatenate(sizes)
         begin = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate(parts)
-        hashes = np.r_[self.hashes, hashes[order]]
-        by_hash = np.argsort(hashes)
-        self.hashes, self.begin, self.size = hashes[by_hash], np.r_[self.begin, begin][by_hash], np.r_[self.size, size][by_hash]
+        by_hash = np.argsort(order)  # hashes come sorted
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.begin, self.size = (np.insert(old, place, new) for old, new in ((self.hashes, hashes), (self.begin, begin[by_hash]), (self.size, size[by_hash])))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_bytes(column)
@@ -84,7 +87,7 @@ class PieceEncoder:
         head[-1] = False
         starts = np.flatnonzero(head)
         ends = np.r_[starts[1:], len(data)]
-        hashes, pick, which = np.unique(span_hash(BYTE_VALUES[data], starts, ends), return_index=True, return_inverse=True)
+        hashes, pick, which = grouped(span_hash(BYTE_VALUES[data], starts, ends))
         if len(self.hashes) + len(hashes) > CACHE_PIECES:
             self.forget()
         at = np.searchsorted(self.hashes, hashes)

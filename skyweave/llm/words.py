@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources import shared_folder, stored
 
-__all__ = ["BYTE_VALUES", "SPACES", "Words", "chunked", "mix", "shared_folder", "slices", "span_hash", "stored", "text_bytes", "window_hash", "window_starts"]
+__all__ = ["BYTE_VALUES", "SPACES", "Words", "chunked", "distinct", "grouped", "mix", "shared_folder", "slices", "sorted_by", "span_hash", "stored", "text_bytes", "window_hash", "window_starts"]
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -123,6 +123,31 @@ def window_hash(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return span_hash(hashes, starts, starts + k, 0xD6E8FEB86659FD93)
 
 
+def sorted_by(keys: np.ndarray) -> np.ndarray:
+    """The stable order of keys, as far as the bits beside those of a place tell them apart: one sort of whole numbers."""
+    bits = np.uint64(max(1, len(keys).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    return (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
+
+
+def grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, where each is first, and which of them each one is."""
+    order = sorted_by(hashes)
+    if (hashes[order[1:]] < hashes[order[:-1]]).any():  # two that differ in the bits of a place alone
+        order = np.argsort(hashes, kind="stable")
+    found = hashes[order]
+    new = np.r_[True, found[1:] != found[:-1]][: len(found)]
+    which = np.empty(len(found), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return found[new], order[new], which
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, and which of them each one is."""
+    found, _, which = grouped(hashes)
+    return found, which
+
+
 def chunked(docs: DataFrame, size: int) -> DataFrame:
     """Deals documents by a hash of doc_id to chunks of about `size` rows: (chunk, doc_id, text).
 

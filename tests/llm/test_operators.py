@@ -110,8 +110,7 @@ def test_piecewise_ids_are_the_tokenizers(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
-    some = [*texts.values(), "", " ", "a  b", "a \n b", "x y 　z  ", " lead", "trail ", "<|endoftext|> <|endoftext|>", "\r\n\r\n tab\t end", "l'été d'août's 12 34", "   a"]
+    some = [*texts.values(), "", " ", "a  b", "a \n b", "x y 　z  ", " lead", "trail ", "<|endoftext|> <|endoftext|>", "a<|endoftext|>b <|endoftext|>c  <|endoftext|> ", "<|endof text|> x<|endof", "text|>", "\r\n\r\n tab\t end", "l'été d'août's 12 34", "   a"]
     ids, offsets = token_ids.encode(pa.array(some), queries.tokenizer_path())
     for i, t in enumerate(some):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:40]
@@ -132,6 +131,12 @@ def test_packing(odd, none):
     assert np.concatenate([np.frombuffer(b, "<u4") for b in one.ids]).tolist() == next(list(x) for (d, x) in whole if d == 6)
     assert one.start.tolist() == [0, *np.cumsum(one.length)[:-1]]
     assert packing.pack(none, queries.tokenizer_path()).count() == 0
+    many = odd.select("doc_id", "text").limit(1).crossJoin(odd.sparkSession.range(500)).select("doc_id", F.lit("one two three").alias("text")).coalesce(1)  # equal rows
+    got = packing.pack(many, queries.tokenizer_path(), 64, 5).toPandas()
+    assert len(got) == 500 and got.sequence_id.nunique() <= 1.15 * got.length.sum() / 64
+    sizes = RNG.integers(1, 513, 400).tolist()
+    windows = packing.windows_of(sizes, 2048)
+    assert sorted(i for w in windows for i in w) == list(range(400)) and max(sum(sizes[i] for i in w) for w in windows) <= 2048 and len(windows) <= 1.04 * sum(sizes) / 2048 + 1
     balanced = packing.differencing([8, 7, 6, 5, 4], 2)
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in w) for w in balanced) == [14, 16]
 
