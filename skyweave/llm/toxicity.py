@@ -129,10 +129,10 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict
     return model
 
 
-def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """All columns of docs and `toxicity_score`, from 0 to 1; the machine is broadcast (5 MB at most)."""
+def score(docs: DataFrame, model: dict | None, column: str = "toxicity_score") -> DataFrame:
+    """All columns of docs and the score, from 0 to 1; the machine is broadcast (5 MB at most)."""
     if model is None:
-        return docs.withColumn("toxicity_score", F.lit(0.0))
+        return docs.withColumn(column, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -142,4 +142,4 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
             out.append(1 / (1 + np.exp(-np.clip(logits(shared.value, *terms(text.slice(a, b - a))), -30, 30))))
         return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
-    return docs.withColumn("toxicity_score", machine(F.col("text")))
+    return docs.withColumn(column, machine(F.col("text")))
