@@ -10,14 +10,15 @@ from skyweave.llm.jaccard_join import similar_classes
 from skyweave.llm.packing import pack
 from skyweave.llm.queries import TOXIC, table, tokenizer_path
 from skyweave.llm.secret_scan import masked, scan
-from skyweave.llm.spaced_seeds import contaminated
+from skyweave.llm.spaced_seeds import clean
 from skyweave.llm.toxicity import learn, score
 from skyweave.llm.words import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
-    return scored.filter(F.col("toxicity_score") < TOXIC).select(*docs.columns)
+    own = next(c for i in range(len(docs.columns) + 1) if (c := f"_toxicity{i}") not in docs.columns)
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")), own)
+    return scored.filter(F.col(own) < TOXIC).select(*docs.columns)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return contaminated(docs, table(spark, sf_dir, "benchmark")).filter(F.size("overlaps") == 0).select(*docs.columns)
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
