@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -198,8 +198,10 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     sketches = stored(texts.mapInArrow(_sketches, "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketches")
     some = sketches.filter("digest is not null and doc_id is not null")
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n"))
-    agree = classes.select("first", F.explode("bands").alias("band")).withColumn("least", F.min("first").over(Window.partitionBy("band")))
-    hoods = components(agree.filter("first <> least").select(F.col("first").alias("a"), F.col("least").alias("b")).distinct())
+    bands = classes.select("first", F.explode("bands").alias("band"))
+    least = bands.groupBy("band").agg(F.min("first").alias("least"), F.max("first").alias("most")).filter("least < most")
+    agree = bands.join(least, "band").filter("first <> least")  # a hot band is only counted before, and split by Spark here
+    hoods = components(agree.select(F.col("first").alias("a"), F.col("least").alias("b")).distinct())
     hoods = hoods.select(F.col("node").alias("doc_id"), F.col("component").alias("hood"))
     loads = hoods.join(classes.groupBy(F.col("first").alias("doc_id")).agg(F.max("n").alias("n")), "doc_id")
     totals = loads.groupBy("hood").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_DOCS)).cast("int").alias("blocks"), F.sum("n").alias("load"))

@@ -143,9 +143,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("_hash"), batch.column("_check"), pa.array(out, kind)], ["_hash", "_check", "overlaps"])
 
 
-def text_keys(text: str = "text") -> dict:
+def text_keys(text: F.Column) -> dict:
     """Two hashes that stand for a text."""
-    return {"_hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_check": F.hash(F.lit("text"), F.coalesce(F.col(text), F.lit("")))}
+    return {"_hash": F.xxhash64(F.coalesce(text, F.lit(""))), "_check": F.hash(F.lit("text"), F.coalesce(text, F.lit("")))}
 
 
 def text_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def text_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = seeds.select("seed").mapInArrow(_filled, "block int, bits binary").groupBy("block").applyInArrow(_united, "block int, bits binary").collect()
     table = np.concatenate([np.frombuffer(r.bits, np.uint8) for r in sorted(blocks, key=lambda r: r.block)]) if blocks else np.zeros(1 << TABLE_BITS >> 3, np.uint8)
     shared = spark.sparkContext.broadcast(table)
-    probed = docs.select("text").filter("text is not null").withColumns(text_keys())
+    probed = docs.select("text").filter("text is not null").withColumns(text_keys(F.col("text")))
     suspects = stored(probed.mapInArrow(_suspects(shared, lengths), "_hash long, _check int, text string, seeds array<long>, places array<int>"), "suspects")
     placed = suspects.select("_hash", "_check", F.explode(F.arrays_zip("seeds", "places")).alias("at")).select("_hash", "_check", F.col("at.seeds").alias("seed"), F.col("at.places").alias("here")).distinct()
     hits = placed.join(seeds, "seed").select("_hash", "_check", "item", (F.col("here") - F.col("place")).alias("shift"))
@@ -168,13 +168,19 @@ def text_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return stored(found.filter(F.size("overlaps") > 0), "overlaps")
 
 
+def _same_text(docs: DataFrame, found: DataFrame) -> F.Column:
+    keys = text_keys(docs["text"])
+    return (keys["_hash"] == found["_hash"]) & (keys["_check"] == found["_check"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of docs and `overlaps`: an array of (item_id, n_equal, first_word, end_word), by item."""
-    columns = [c for c in docs.columns if c != "overlaps"]
-    joined = docs.select(*columns).withColumns(text_keys()).join(text_overlaps(docs, benchmark), ["_hash", "_check"], "left")
-    return joined.select(*columns, F.coalesce("overlaps", F.array().cast(OVERLAPS)).alias("overlaps"))
+    docs, found = docs.drop("overlaps"), text_overlaps(docs, benchmark)
+    joined = docs.join(found, _same_text(docs, found), "left")
+    return joined.select(*(docs[c] for c in docs.columns), F.coalesce(found["overlaps"], F.array().cast(OVERLAPS)).alias("overlaps"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose texts have no overlap."""
-    return docs.withColumns(text_keys()).join(text_overlaps(docs, benchmark), ["_hash", "_check"], "left_anti").select(*docs.columns)
+    found = text_overlaps(docs, benchmark)
+    return docs.join(found, _same_text(docs, found), "left_anti")

@@ -27,8 +27,6 @@ from .words import mix, slices
 LENGTH, END, ROUNDS = 256, 1, 6
 #: Bytes of text that a shard holds the ids of, about.
 SHARD_TEXT_BYTES = 8_000_000
-#: Shards at most; a larger corpus gets larger ones. A row of (shard, slots before) for each is broadcast.
-MOST_SHARDS = 65_536
 HEADS = np.dtype([("doc", "<i8"), ("place", "<i4"), ("n", "<i4")])
 SEPARATOR = "\0\0"
 STRIDE = HEADS.itemsize + 2 * LENGTH + len(SEPARATOR)
@@ -84,9 +82,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: int, shard_byt
     low, high, longest, total = texts.agg(F.min("doc_id"), F.max("doc_id"), F.max(size), F.sum(size)).first()
     most = (longest or 0) // LENGTH + 1  # a token has a byte at least
     numbers = min(((high or 0) - (low or 0) + 2) * most, MOST // most * most)
-    shards = min(numbers, MOST_SHARDS, max(1, -(-(total or 0) // shard_bytes)))
+    shards = min(numbers, max(1, -(-(total or 0) // shard_bytes)))
     rows = texts.mapInArrow(lambda batches: _sequences(batches, tokenizer, low or 0, most, numbers, shards, key), "shard int, order long, record binary")
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "order", "record")
+    dealt = rows.repartition(int(shards), "shard").sortWithinPartitions("shard", "order", "record")
     dealt.select("shard", F.col("record").cast("string").alias("value")).write.option("lineSep", SEPARATOR).partitionBy("shard").text(path)
 
 
@@ -111,7 +109,11 @@ def read_shards(spark: SparkSession, path: str, first_shard: int = 0, with_ids:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     files = files.select(F.regexp_extract("path", r"shard=(\d+)/", 1).cast("int").alias("shard"), "length", "content")
     lengths = files.groupBy("shard").agg((F.sum("length") / STRIDE).cast("long").alias("n"))
-    before = lengths.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    rows = files.filter(F.col("shard") >= first_shard).select("shard", "content").join(F.broadcast(before), "shard")
+    many = lengths.withColumn("block", F.shiftright("shard", 12))  # slots are summed in blocks of shards
+    blocks = many.groupBy("block").agg(F.sum("n").alias("all"))
+    blocks = blocks.select("block", (F.sum("all").over(Window.orderBy("block")) - F.col("all")).alias("start"))
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("shard")) - F.col("n")
+    before = many.withColumn("inside", inside).join(blocks, "block").select("shard", (F.col("start") + F.col("inside")).alias("before"))
+    rows = files.filter(F.col("shard") >= first_shard).select("shard", "content").join(before, "shard")
     schema = "slot long, shard int, row long, doc_id long, place int, n_ids int, ids_crc32 long" + ", ids binary" * with_ids
     return rows.select("shard", "before", "content").mapInArrow(lambda batches: _records(batches, with_ids), schema)

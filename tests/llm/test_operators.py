@@ -1,5 +1,6 @@
 """The ten operators against SQL or plain versions, and on odd tables."""
 
+import gzip
 import hashlib
 import math
 import re
@@ -339,6 +340,17 @@ def test_warc(spark):
     assert got == sorted(want, key=str)
     chunks = warc.read_chunks(spark, path).filter("page_id = 7").select("record_id", "chunk_no").collect()
     assert Counter(r.chunk_no for r in chunks) == {1: 2, 2: 2}
+    raw = [gzip.decompress(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect()]
+    records = [(h, bytes(b)) for r in raw for h, b in warc.parse(memoryview(r))]
+    names = [h["WARC-Record-ID"] for h, _ in records]
+    assert len(set(names)) == len(names) == len(pages) + 2 and all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["WARC-Date"]) for h, _ in records)
+    by_name = dict(zip(names, records))
+    for h, body in records:
+        if h["WARC-Type"] == "revisit":
+            assert by_name[h["WARC-Refers-To"]][0]["WARC-Type"] == "response" and by_name[h["WARC-Refers-To"]][0]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+        if h["WARC-Type"] == "continuation":
+            first, start = by_name[h["WARC-Segment-Origin-ID"]]
+            assert "WARC-Segment-Origin-ID" not in first and first["WARC-Segment-Number"] == "1" and int(h["WARC-Segment-Total-Length"]) == len(start) + len(body) == 80_000
     with pytest.raises(ValueError):
         list(warc.parse(memoryview(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n")))
     path = shared_folder(spark, "warc")
