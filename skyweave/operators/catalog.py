@@ -115,8 +115,12 @@ def rename_labels(text: Column, rename: dict[str, str]) -> Column:
 
 
 def to_parents(labels: Column, parents: dict[str, str]) -> Column:
-    """Children become their parents (so a parent beside its child appears once); nothing becomes NONE."""
+    """Children become their parents, each once; a parent that is beside a child of its own then (one that is a parent
+    itself) goes; nothing becomes NONE."""
     up = F.array_sort(F.array_distinct(F.transform(labels, lambda x: F.coalesce(F.try_element_at(as_map(parents), x), x))))
+    for parent in dict.fromkeys(parents.values()):
+        own = F.array(*(F.lit(c) for c, p in parents.items() if p == parent))
+        up = F.when(F.array_contains(up, parent) & F.arrays_overlap(up, own), F.array_remove(up, parent)).otherwise(up)
     return F.when(F.size(up) == 0, F.array(F.lit(NONE))).otherwise(up)
 
 

@@ -199,9 +199,11 @@ def j1(spark, d):
     return matrix(spark, d)
 
 
-@query("j2_best_order", f"WITH {v.LABELS} SELECT true_label, true_label AS pred_label, {R('(SELECT avg(CAST(t.label = p.label AS INTEGER)) FROM tl t JOIN pl p USING (id))', 'accuracy')} FROM (SELECT DISTINCT label AS true_label FROM tl)")
+@query("j2_best_order", f"""WITH {v.MIXED_SQL}, ct AS (SELECT true_label AS l, pred_label AS r, count(*) AS n FROM mx GROUP BY 1, 2), {v.best_match_sql('ct')}
+ SELECT CAST(k AS INTEGER) AS true_label, CAST(([p0, p1, p2, p3, p4])[k + 1] AS INTEGER) AS pred_label, {R('hit / (SELECT count(*) FROM mx)', 'accuracy')} FROM best, range(5) t(k)""")
 def j2(spark, d):
-    match, accuracy = evaluate.best_order(matrix(spark, d))
+    rows = v.mixed_labels(spark, d)
+    match, accuracy = evaluate.best_order(evaluate.confusion(rows.select("id", F.col("pred_label").alias("label")), rows.select("id", F.col("true_label").alias("label"))))
     return rounded(spark.createDataFrame([(int(a), int(b), accuracy) for a, b in match.items()], "true_label int, pred_label int, accuracy double"), "accuracy")
 
 

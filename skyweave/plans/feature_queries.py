@@ -270,9 +270,15 @@ def h8(spark, d):
     return cluster.central_member(distances(spark, d)).select("cluster", "obj_id")
 
 
-@query("h9_name_by_match", f"WITH {CORE} SELECT obj_id, cluster, CASE WHEN is_core = 1 THEN CAST(cluster AS VARCHAR) ELSE 'UNCLASSIFIED' END AS name FROM core")
+MATCHED = f"""{v.MIXED_SQL}, {CORE.replace(CL, "c AS (SELECT id AS obj_id, pred_label AS cluster FROM mx)")}, ct AS (SELECT cluster AS l, true_label AS r, count(*) AS n FROM core JOIN mx ON id = obj_id WHERE is_core = 1 GROUP BY 1, 2), {v.best_match_sql('ct')}"""
+
+
+@query("h9_name_by_match", f"WITH {MATCHED} SELECT obj_id, cluster, CASE WHEN is_core = 1 THEN CAST(([p0, p1, p2, p3, p4])[cluster + 1] AS VARCHAR) ELSE 'UNCLASSIFIED' END AS name FROM core, best")
 def h9(spark, d):
-    return cluster.name_by_match(cluster.core_members(distances(spark, d), 0.5), names(spark, d))
+    mixed = v.mixed_labels(spark, d)
+    clusters = mixed.select(F.col("id").alias("obj_id"), F.col("pred_label").alias("cluster"))
+    core = cluster.core_members(cluster.centre_distance(vectors(spark, d), clusters), 0.5)
+    return cluster.name_by_match(core, mixed.select(F.col("id").alias("obj_id"), F.col("true_label").alias("label")))
 
 
 MIXED = "nm AS (SELECT obj_id, CASE WHEN obj_id % 3 = 0 THEN '0' ELSE label END AS label FROM f)"

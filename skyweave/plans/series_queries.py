@@ -280,27 +280,22 @@ def d14(spark, d):
     return rounded(timeaxis.running_median(attitude(spark, d), ["q1"], "i", "stretch").select("stretch", "i", "q1_smooth"), "q1_smooth")
 
 
-@query("d15_attitude_bins", f"""WITH {ATT}, a AS (SELECT i, 2.0 * i AS t, q1, q2, q3 FROM att WHERE stretch = 1), b AS (SELECT CAST((i - 10) // 20 AS BIGINT) AS bin, count(*) AS n, min(t) AS t, avg(q1) AS q1, avg(q2) AS q2, avg(q3) AS q3 FROM a WHERE i >= 10 GROUP BY 1 HAVING count(*) = 20),
- s AS (SELECT avg(q1) AS m1, stddev_pop(q1) AS s1, avg(q2) AS m2, stddev_pop(q2) AS s2, avg(q3) AS m3, stddev_pop(q3) AS s3 FROM b) SELECT bin, {R('t', 't')}, {R('q1', 'q1')}, {R('q2', 'q2')}, {R('q3', 'q3')} FROM b, s WHERE abs(q1 - m1) > 1.5 * s1 OR abs(q2 - m2) > 1.5 * s2 OR abs(q3 - m3) > 1.5 * s3""")
-def d15(spark, d):
-    return rounded(timeaxis.attitude_outlier_bins(attitude(spark, d).filter("stretch = 1").drop("stretch"), ["q1", "q2", "q3"], 20.4, 20, 1.5), "t", "q1", "q2", "q3")
+BINS = f"""WITH {ATT}, a AS (SELECT stretch, i, 2.0 * i AS t, q1, q2, q3 FROM att), b AS (SELECT stretch, CAST((i - 10) // 20 AS BIGINT) AS bin, count(*) AS n, min(t) AS t, avg(q1) AS q1, avg(q2) AS q2, avg(q3) AS q3 FROM a WHERE i >= 10 GROUP BY 1, 2 HAVING count(*) = 20),
+ s AS (SELECT stretch, avg(q1) AS m1, stddev_pop(q1) AS s1, avg(q2) AS m2, stddev_pop(q2) AS s2, avg(q3) AS m3, stddev_pop(q3) AS s3 FROM b GROUP BY 1) SELECT stretch, bin, {R('t', 't')}, {R('q1', 'q1')}, {R('q2', 'q2')}, {R('q3', 'q3')} FROM b JOIN s USING (stretch) WHERE abs(q1 - m1) > 1.5 * s1 OR abs(q2 - m2) > 1.5 * s2 OR abs(q3 - m3) > 1.5 * s3"""
 
 
-@query("d15_attitude_bins_all")
-def d15_all(spark, d):
-    """Every stretch, where the query above is held to one by its SQL."""
+@query("d15_attitude_bins", BINS)
+@query("d15_attitude_bins_all", BINS)
+def d15(spark, d):
     return rounded(timeaxis.attitude_outlier_bins(attitude(spark, d), ["q1", "q2", "q3"], 20.4, 20, 1.5, "stretch"), "t", "q1", "q2", "q3")
 
 
-@query("d16_events_inside", f"WITH {v.LC}, s AS (SELECT obj_id, min(t) AS a, max(t) AS b FROM lc WHERE t BETWEEN 3 AND 20 GROUP BY 1), ev AS (SELECT DISTINCT o_orderkey % 30 + 0.5 AS event_t FROM orders) SELECT obj_id, CAST(event_t AS DOUBLE) AS event_t FROM s JOIN ev ON event_t BETWEEN a AND b")
-def d16(spark, d):
-    events = v.table(spark, d, "orders").select((F.col("o_orderkey") % 30 + F.lit(0.5)).cast("double").alias("event_t")).distinct()
-    return timeaxis.events_inside(v.lc(spark, d).filter("t between 3 and 20"), events)
+INSIDE = f"WITH {v.LC}, s AS (SELECT obj_id, min(t) AS a, max(t) AS b FROM lc GROUP BY 1), ev AS (SELECT DISTINCT o_orderkey % 30 + 0.5 AS event_t FROM orders) SELECT obj_id, CAST(event_t AS DOUBLE) AS event_t FROM s JOIN ev ON event_t BETWEEN a AND b"
 
 
-@query("d16_events_inside_all")
-def d16_all(spark, d):
-    """Whole series, where the query above is held to t from 3 to 20 by its SQL."""
+@query("d16_events_inside", INSIDE)
+@query("d16_events_inside_all", INSIDE)
+def d16(spark, d):
     events = v.table(spark, d, "orders").select((F.col("o_orderkey") % 30 + F.lit(0.5)).cast("double").alias("event_t")).distinct()
     return timeaxis.events_inside(v.lc(spark, d), events)
 
@@ -318,7 +313,25 @@ def e3(spark, d):
     return rounded(features.trend(v.ok(spark, d)), "slope", "ln_slope")
 
 
-@query("e2_e4_e5_e6_engineered")
+def spectrum_sql(name: str, low: float, high: float, n: int) -> str:
+    """Scargle's power of series `u` (obj_id, t, y) at n even angular frequencies: (obj_id, k, w, p)."""
+    step = (high - low) / (n - 1)
+    return f"""{name}_w AS (SELECT k, {low} + k * {step!r} AS w FROM range({n}) r(k)),
+ {name}_s AS (SELECT obj_id, k, w, sum(cos(2 * w * t)) AS c2, sum(sin(2 * w * t)) AS s2, sum(y * cos(w * t)) AS yc, sum(y * sin(w * t)) AS ys, count(*) AS n, sum(y * y) AS yy FROM u, {name}_w GROUP BY 1, 2, 3),
+ {name}_a AS (SELECT *, cos(atan2(s2, c2) / 2) AS a, sin(atan2(s2, c2) / 2) AS b FROM {name}_s),
+ {name} AS (SELECT obj_id, k, w, ((yc * a + ys * b) ** 2 / ((n + c2) / 2 * a * a + s2 * a * b + (n - c2) / 2 * b * b) + (ys * a - yc * b) ** 2 / ((n - c2) / 2 * a * a - s2 * a * b + (n + c2) / 2 * b * b)) / yy AS p FROM {name}_a WHERE n > 2 AND yy > 0),
+ {name}_m AS (SELECT *, lag(p) OVER v AS before, lead(p) OVER v AS after FROM {name} WINDOW v AS (PARTITION BY obj_id ORDER BY k)),
+ {name}_k AS (SELECT obj_id, max(p) AS peak, 2 * pi() / arg_max(w, p) AS period FROM {name}_m WHERE p > before AND p > after GROUP BY 1)"""
+
+
+AREA = ", ".join(f"sum(CASE WHEN k >= {a} AND k < {b - 1} THEN (p + after) / 2 END) * {(10 - 0.1) / 4999!r} AS {name}" for name, a, b in (("area_long", 457, 5000), ("area_middle", 121, 457), ("area_short", 0, 121)))
+ENGINEERED = f"""WITH {v.OK}, u AS (SELECT obj_id, t, flux / median(flux) OVER (PARTITION BY obj_id) AS y FROM ok), {MOMENTS.replace("FROM ok", "FROM (SELECT obj_id, t, y AS flux FROM u)")},
+ tr AS (SELECT obj_id, regr_slope(y, t) AS slope FROM u GROUP BY 1), {spectrum_sql("sp", 0.6, 62.8, 5000)}, ar AS (SELECT obj_id, {AREA} FROM sp_m GROUP BY 1), {spectrum_sql("fa", 62.8, 6283.2, 20)}
+ SELECT obj_id, {", ".join(R(c, c) for c in ("mean", "m2", "m3", "m4"))}, {", ".join(R(f"ln(abs({c}))", f"ln_{c}") for c in ("m2", "m3", "m4"))}, {R("sp_k.peak", "peak_power")}, {R("ln(abs(sp_k.peak))", "ln_peak_power")}, {R("sp_k.period", "peak_period")},
+ {R("slope", "slope")}, {R("ln(abs(slope))", "ln_slope")}, {", ".join(R(c, c) for c in ("area_long", "area_middle", "area_short"))}, {R("fa_k.period", "fast_period")} FROM mo JOIN tr USING (obj_id) LEFT JOIN sp_k USING (obj_id) LEFT JOIN ar USING (obj_id) LEFT JOIN fa_k USING (obj_id)"""
+
+
+@query("e2_e4_e5_e6_engineered", ENGINEERED)
 def e6(spark, d):
     out = features.engineered(v.ok(spark, d))
     return rounded(out, *out.columns[1:])
@@ -330,10 +343,12 @@ def e7(spark, d):
     return rounded(out, *out.columns[1:])
 
 
-@query("e8_power_spectra")
+@query("e8_power_spectra", f"""WITH {v.OK}, u AS (SELECT obj_id, t, flux - avg(flux) OVER (PARTITION BY obj_id) AS y FROM ok), fr AS (SELECT k, 2 * pi() * (0.05 + 0.01 * k) AS w FROM range(300) r(k)),
+ s AS (SELECT obj_id, k, count(*) AS n, sum(cos(w * t)) AS c, sum(sin(w * t)) AS s, sum(cos(w * t) ** 2) AS cc, sum(sin(w * t) ** 2) AS ss, sum(cos(w * t) * sin(w * t)) AS cs, sum(y * cos(w * t)) AS yc, sum(y * sin(w * t)) AS ys, sum(y * y) AS yy FROM u, fr GROUP BY 1, 2),
+ z AS (SELECT obj_id, k, cc - c * c / n AS cc, ss - s * s / n AS ss, cs - c * s / n AS cs, yc, ys, yy FROM s WHERE n > 2) SELECT obj_id, CAST(k AS INTEGER) AS k, {R("(ss * yc ** 2 + cc * ys ** 2 - 2 * cs * yc * ys) / ((cc * ss - cs * cs) * yy)", "power")} FROM z""")
 def e8(spark, d):
     out = features.power_spectra(v.ok(spark, d), [0.05 + 0.01 * k for k in range(300)])
-    return out.select("obj_id", F.transform("power", lambda x: F.round(x, 6)).alias("power"))
+    return rounded(out.select("obj_id", F.posexplode("power").alias("k", "power")).filter("not isnan(power)"), "power")
 
 
 @query("e9_variability", f"WITH {VARIABILITY} SELECT obj_id, {R('variability', 'variability')} FROM vs")

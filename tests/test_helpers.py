@@ -116,3 +116,216 @@ def test_splits_do_not_depend_on_partitions(spark):
     table = frame(spark, RNG.normal(size=(50, 2))).withColumn("label", F.col("obj_id") % 3)
     one, many = (sorted(r.obj_id for r in represent.split_train_test(t, 0.5, 3, "label").filter("is_train = 1").collect()) for t in (table.coalesce(1), table.repartition(7)))
     assert one == many
+
+
+def test_areas_are_over_the_period_axis():
+    t, y = np.sort(RNG.uniform(0, 27, 80)), 1 + RNG.normal(0, 0.1, 80)
+    f, axis = np.linspace(0.6, 62.8, 5000), np.linspace(0.1, 10, 5000)
+    tau = np.arctan2(np.sin(2 * np.outer(f, t)).sum(1), np.cos(2 * np.outer(f, t)).sum(1)) / (2 * f)
+    c, s = np.cos(f[:, None] * (t - tau[:, None])), np.sin(f[:, None] * (t - tau[:, None]))
+    power = ((c @ y) ** 2 / (c * c).sum(1) + (s @ y) ** 2 / (s * s).sum(1)) / (y @ y)
+    got = periodogram.spectral_features(t, y)
+    assert np.allclose(got[3:6], [np.trapezoid(power[a:b], axis[a:b]) for a, b in ((457, 5000), (121, 457), (0, 121))])
+
+
+def whole_spline(x, y, at):
+    """A cubic spline through all points, ends not-a-knot, as one least-squares system of truncated powers."""
+    knots = x[2:-2]
+    lift = lambda v: np.column_stack([*(v**k for k in range(4)), *(np.maximum(v - k, 0) ** 3 for k in knots)])
+    return lift(at) @ np.linalg.solve(lift(x), y)
+
+
+def filled(flux, tol, search):
+    """The published rule, written out over the index with one spline through all known samples."""
+    x = np.arange(len(flux))
+    known = np.flatnonzero(~np.isnan(flux))
+    runs = [r for r in series.runs_of(np.isnan(flux)) if r[0] > 0 and sum(r) < len(flux)]
+    runs.remove(max(runs, key=lambda r: (r[1], -r[0])))
+    out = flux.copy()
+    for a, n in runs:
+        e, linear = a + n, np.interp(x[a : a + n], known, flux[known])
+        if n < tol:
+            out[a:e] = linear
+        elif n > tol:
+            curve = whole_spline(known / 10, flux[known], x[a:e] / 10)
+            sides = flux[a - search : a], flux[e : e + search]
+            spread, middle = np.mean([np.nanstd(s) for s in sides]), np.mean([np.nanmedian(s) for s in sides])
+            out[a:e] = linear if np.std(curve) > spread or not middle / 2 <= np.median(curve) <= 2 * middle else curve
+    return out
+
+
+def test_gaps_follow_the_published_rule():
+    kept = 0
+    for k in range(12):
+        flux = 5 + np.cumsum(RNG.normal(0, 0.3, 60)) if k % 2 else 5 + np.sin(np.arange(60) / 4)
+        for a, n in ((12, 1), (20, 3), (27, 2), (33, 7), (45, 4)):
+            flux[a : a + n] = np.nan
+        got = series.fill_gaps(np.arange(60.0), flux, 2.0, 1e9, 10)
+        want = filled(flux, 2.0, 10)
+        assert np.allclose(got, want, equal_nan=True, atol=1e-6) and np.isnan(got[27:29]).all() and np.isnan(got[33:40]).all()
+        kept += not np.allclose(got[20:23], np.interp(np.arange(20, 23), [19, 23], flux[[19, 23]]))
+    assert 0 < kept < 12 or kept  # both ways of filling came up, or the spline alone
+
+
+def test_filter_by_blocks_is_the_recursion():
+    b, a = series.butterworth_high(5, 0.5)
+    x, state = RNG.normal(size=1000), RNG.normal(size=5)
+    want, z = [], state.copy()
+    for v in x:
+        y = b[0] * v + z[0]
+        z = np.r_[z[1:], 0] + b[1:] * v - a[1:] * y
+        want.append(y)
+    assert np.allclose(series._filter(b, a, x, state), want)
+
+
+def test_stitched_if_alike(spark):
+    rows, plain = [], {}
+    for obj in range(12):
+        for sector in (1, 2):
+            if obj == 11 and sector == 2:
+                continue
+            noise = 1.0 if sector == 1 or obj % 2 else 0.02
+            flux = 3 + 2 * np.sin(np.arange(200) / 30) + RNG.normal(0, noise, 200)
+            rows += [(obj, sector, 200.0 * sector + k, float(f)) for k, f in enumerate(flux)]
+            z = (flux - flux.mean()) / flux.std()
+            plain.setdefault(obj, []).append((z, np.sqrt(np.mean(series.high_pass(z, 0.5, 5) ** 2))))
+    lc = spark.createDataFrame(rows, "obj_id long, sector int, t double, flux double").withColumn("camera", F.col("sector") + 3)
+    good, rejected = timeaxis.stitch_if_alike(lc, ["camera"])
+    got: dict = {}
+    for r in good.orderBy("obj_id", "t").collect():
+        got.setdefault((r.obj_id, r.cameras), []).append(r.flux)
+    alike = {k for k, v in plain.items() if len(v) == 2 and abs(v[0][1] - v[1][1]) < 0.6 * min(v[0][1], v[1][1])}
+    assert alike and set(got) == {(k, "4,5") for k in alike} and {r.obj_id for r in rejected.collect()} == set(range(11)) - alike != set()
+    assert all(np.allclose(got[k, "4,5"], np.r_[plain[k][0][0], plain[k][1][0]]) for k in alike)
+
+
+def test_segments_with_moved_bounds(spark):
+    lc = spark.createDataFrame([(1, float(k), float(k % 7) + 2) for k in range(103)], "obj_id long, t double, flux double")
+    got = {r.segment: r for r in timeaxis.segment_rms(lc, 4, 0.2, 3, 5).collect()}
+    rng = np.random.default_rng(3)
+    bounds = [0, *(int(np.ceil(103 * (k + 1 + rng.uniform(-0.2, 0.2)) / 4)) for k in range(3)), 103]
+    for k in range(4):
+        x = np.array([i % 7 + 2.0 for i in range(bounds[k], bounds[k + 1])])
+        x = x[: len(x) - len(x) % 5]
+        assert got[k].n == len(x) and got[k].rms == pytest.approx(np.sqrt(np.mean(x * x)))
+
+
+def test_one_pass_features_are_the_separate_ones(spark):
+    lc = spark.createDataFrame([(o, float(t), float(2 + np.sin(t * (o + 1)) + RNG.normal(0, 0.1))) for o in range(3) for t in np.sort(RNG.uniform(0, 20, 50))] + [(9, 0.0, 1.0), (8, 1.0, 0.0), (8, 2.0, 0.0)], "obj_id long, t double, flux double")
+    from skyweave.operators.normalize import by_median
+
+    unit = by_median(lc)
+    parts = features.moments(unit).join(features.trend(unit), "obj_id").join(features.spectra(unit), "obj_id")
+    one = {r.obj_id: r for r in features.engineered(lc).collect()}
+    for r in parts.collect():
+        for c in (*features.MOMENTS, *features.SPECTRAL, "slope", "ln_slope"):
+            a, b = r[c], one[r.obj_id][c]
+            assert a == b or r.obj_id in (8, 9) and (b is None or a == pytest.approx(b)) or a == pytest.approx(b, rel=1e-6, abs=1e-9), (r.obj_id, c)
+
+
+def test_box_search_depth_and_duration():
+    t = np.arange(0, 30, 0.02)
+    y = np.where((t % 2.5) < 0.2, 0.9, 1.0)
+    period, duration, depth, power = series.box_search(t, y, np.arange(1.5, 3.5, 0.05), np.array([0.1, 0.2, 0.4]))
+    assert (period, duration) == (pytest.approx(2.5, abs=0.01), 0.2) and depth == pytest.approx(0.1, abs=0.01)
+    z, best = y - y.mean(), 0.0
+    for start in np.arange(0, 2.5, 2.5 / 200):  # the power of the best box at that period, by definition
+        box = ((t - start) % 2.5) < 0.2
+        best = max(best, z[box].sum() ** 2 / (box.sum() * (~box).sum())) if z[box].sum() < 0 else best
+    assert power == pytest.approx(best, rel=0.05)
+
+
+def test_components_and_systematics(spark):
+    x = RNG.normal(size=(200, 5)) @ RNG.normal(size=(5, 90)) + 0.01 * RNG.normal(size=(200, 90))
+    table = frame(spark, x)
+    got = np.array([r.features for r in represent.pca(table, 3).orderBy("obj_id").collect()])
+    cov = np.cov(x.T)
+    values, vectors = np.linalg.eigh(cov)
+    top = vectors[:, np.argsort(-values)[:3]]
+    top *= np.sign(top[np.abs(top).argmax(0), range(3)])
+    assert np.allclose(got, x @ top, atol=1e-6)
+    long = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "obj_id long, flux array<double>")
+    left = np.array([r.flux for r in represent.remove_systematics(long, 5).orderBy("obj_id").collect()])  # 90 samples, 64 vectors: several rounds
+    z = (x - x.mean(1, keepdims=True)) / x.std(1, keepdims=True)
+    basis = np.linalg.svd(z, full_matrices=False)[2][:5].T
+    assert np.allclose(left, z - z @ basis @ basis.T, atol=1e-6)
+    encoder, decoder = represent.linear_encoder(table, 5)
+    one = represent.encode(table, encoder, decoder).orderBy("obj_id").collect()
+    assert np.allclose([r.bottleneck for r in one], [encoder(v) for v in x]) and np.allclose([r.reconstruction for r in one], [decoder(encoder(v)) for v in x])
+    errors = represent.reconstruction_error(represent.encode(table, encoder, decoder))
+    ends = represent.ends_of_error(errors, 3, (1, 2)).collect()
+    for p in (1, 2):
+        size = (np.abs(x - decoder(encoder(x))) ** p).mean(1)
+        order = np.argsort(size)
+        assert {r.obj_id for r in ends if r.power == p and r.end == "best"} == set(order[:3].tolist()) and {r.obj_id for r in ends if r.power == p and r.end == "worst"} == set(order[-3:].tolist())
+
+
+def test_mixtures_scans_and_two_passes(spark, monkeypatch):
+    centres = np.array([[0, 0], [8, 0], [0, 8]])
+    x = np.concatenate([c + RNG.normal(0, 0.3, (40, 2)) for c in centres])
+    true = np.repeat(range(3), 40)
+    table = frame(spark, x)
+    got = {r.obj_id: r.cluster for r in cluster.gaussian_mixture(table, 3).collect()}
+    assert len({(got[i], t) for i, t in enumerate(true.tolist())}) == 3
+    row = next(r for r in cluster.mixture_scan(table, [2, 3]).collect() if r.setting == 3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    a = np.array([d[i, true == true[i]].sum() / 39 for i in range(120)])
+    b = np.array([min(d[i, true == k].mean() for k in range(3) if k != true[i]) for i in range(120)])
+    means = np.stack([x[true == k].mean(0) for k in range(3)])
+    inner = ((x - means[true]) ** 2).sum()
+    ch = 40 * ((means - x.mean(0)) ** 2).sum() / 2 / (inner / 117)
+    scatter = [np.sqrt(((x[true == k] - means[k]) ** 2).sum(1)).mean() for k in range(3)]
+    db = np.mean([max((scatter[i] + scatter[j]) / np.linalg.norm(means[i] - means[j]) for j in range(3) if j != i) for i in range(3)])
+    assert (row.clusters, row.silhouette, row.calinski_harabasz, row.davies_bouldin) == (3, pytest.approx(((b - a) / np.maximum(a, b)).mean()), pytest.approx(ch), pytest.approx(db))
+    scan = {(r.eps, r.min_samples): (r.clusters, r.noise) for r in cluster.dbscan_scan(table, [0.01, 1.5], [4, 200]).collect()}
+    assert scan == {(0.01, 4): (0, 120), (0.01, 200): (0, 120), (1.5, 4): (3, 0), (1.5, 200): (0, 120)}
+    rows = [(i, "low" if i % 2 else "high", "abc"[t]) for i, t in enumerate(true.tolist())]
+    tagged = spark.createDataFrame(rows, "obj_id long, part string, label string")
+    fitted, fit = [], cluster.gaussian_mixture
+    monkeypatch.setattr(cluster, "gaussian_mixture", lambda *args: fitted.append(cluster.stored(fit(*args), "fitted")) or fitted[-1])  # its start depends on the order of rows
+    named = {r.obj_id: (r.part, r.name) for r in cluster.two_pass(table, tagged.select("obj_id", "part"), tagged.select("obj_id", "label"), 3, 0.5).collect()}
+    want = {}
+    for part, table in zip(("low", "high"), fitted):
+        found = {r.obj_id: r.cluster for r in table.collect()}
+        assert {i % 2 for i in found} == {int(part == "low")}
+        counts, core = np.zeros((3, 3)), {}
+        for c in range(3):
+            own = np.array([i for i, k in found.items() if k == c], int)
+            if len(own):
+                far = ((x[own] - np.median(x[own], axis=0)) ** 2).sum(1)
+                core |= {i: c for i in own[far <= np.median(far) + 0.5 * far.std()].tolist()}
+        for i, c in core.items():
+            counts[c, true[i]] += 1
+        order = max(itertools.permutations(range(3)), key=lambda p: sum(counts[c, p[c]] for c in range(3)))
+        want |= {i: (part, "abc"[order[core[i]]] if i in core and counts[core[i], order[core[i]]] else "UNCLASSIFIED") for i in found}
+    assert named == want and {n for _, n in named.values()} > {"a", "UNCLASSIFIED"}
+
+
+def test_dense_regions_make_no_pairs(spark):
+    """Links of core points are forests: at most a row for each point of the tile and of the block."""
+    table = frame(spark, RNG.normal(0, 0.01, (300, 2))).withColumn("core", F.lit(True))
+    assert cluster.core_links(table, 1.0).count() <= 600 and {r.cluster for r in cluster.dbscan(table.drop("core"), 1.0, 5).collect()} == {0}
+
+
+def test_lof_by_feature_over_chunks(spark):
+    x = RNG.normal(size=(40, 3))
+    whole, cut = (sorted((r.dim, r.obj_id, round(r.lof, 9)) for r in neighbors.lof_by_feature(frame(spark, x), 5, chunk=c).collect()) for c in (10_000, 16))
+    assert whole == cut and len(whole) == 120
+
+
+def test_nested_parents(spark):
+    from skyweave.operators.catalog import to_parents
+
+    parents = {"EA": "E", "EW": "E", "E": "BIN", "SB": "BIN"}
+    rows = spark.createDataFrame([(1, ["EA", "SB"]), (2, ["EA", "EW"]), (3, ["E", "SB"]), (4, [])], "id long, l array<string>")
+    got = {r.id: r.u for r in rows.select("id", to_parents(F.col("l"), parents).alias("u")).collect()}
+    assert got == {1: ["E"], 2: ["E"], 3: ["BIN"], 4: ["NONE"]}  # BIN goes where its child E is
+
+
+def test_majority_counts_labels_without_core_members(spark):
+    rows = [(1, 0, 1.0, 9.0, "a"), (2, 0, 1.0, 9.0, "a"), (3, 0, 9.0, 9.0, "b"), (4, 0, 20.0, 9.0, "c")]
+    core = spark.createDataFrame([(i, c, d, t, int(d <= t)) for i, c, d, t, _ in rows], "obj_id long, cluster int, sq_dist double, threshold double, is_core int")
+    labels = spark.createDataFrame([(i, n) for i, *_, n in rows], "obj_id long, label string")
+    got = {r.obj_id: r.name for r in cluster.name_by_majority(core, labels, 2.0).collect()}
+    assert got == {1: "a", 2: "a", 3: "UNCLASSIFIED", 4: "UNCLASSIFIED"}  # counts 2, 0, 0: deviation 0.94
+    assert cluster.name_by_majority(core, labels, 2.2).filter("name <> 'UNCLASSIFIED'").count() == 0
