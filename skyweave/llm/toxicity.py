@@ -7,7 +7,9 @@ of terms, summed in time linear in the terms. It is fitted with AdaGrad on at mo
 smallest hash of doc_id), a bounded sample; every text is scored whole.
 
 Cases: null or empty texts have no terms and get the score of the bias alone; rows without a label are not learned
-from; a null doc_id is scored (held out, as its remainder is unknown); no labelled rows at all give the score 0.
+from; a null doc_id is scored (held out, as its remainder is unknown); no labelled rows at all give the score 0. Rows
+that repeat a doc_id are each scored, and the least of their texts is learned from, once; of its labels the largest
+counts. Other columns stay, but one named as the score is replaced.
 """
 
 import zlib
@@ -27,10 +29,13 @@ EPOCHS, BATCH, RATE, DECAY, SEED = 10, 64, 0.1, 2e-4, 7
 #: A slot takes part if so many fitted texts have it and its presence depends on the label (chi-squared statistic):
 #: else the many rare terms of a text learn single labels by heart.
 LEAST_TEXTS, LEAST_CHI2 = 4, 12.0
+#: A word's slot takes part too if its product with another one's tells, by so many deviations, what a machine of the
+#: slots above leaves of the labels; words of so large a share of the texts are paired, no prefixes.
+PAIR_SHARE, LEAST_DEVIATIONS = 0.02, 10.0
 SEPARATORS = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
 
 
-def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def terms(column: pa.Array, prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.ndarray, np.ndarray]:
     """The distinct slots of each text, one after another, and their len + 1 offsets."""
     words = Words(column, lower=True, separators=SEPARATORS)
     values = BYTE_VALUES[words.data]
@@ -38,7 +43,7 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start, end = words.start[pick], words.end[pick]
     mask = np.uint64((1 << BITS) - 1)
     slots = [span_hash(values, start, end) & mask]
-    for n in PREFIXES:
+    for n in prefixes:
         slots.append(np.where(end - start >= n, span_hash(values, start, np.minimum(start + n, end)) & mask ^ np.uint64(n), slots[0]))
     once = np.unique((words.row.astype(np.uint64) << np.uint64(32)) | which.astype(np.uint64))
     rows, kinds = once >> np.uint64(32), (once & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -56,16 +61,42 @@ def logits(model: dict, slots: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return model["bias"] + sums(model["weights"][slots], offsets) + 0.5 * (sums(v, offsets) ** 2 - sums(v * v, offsets)).sum(1)
 
 
-def fit(slots: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict:
+def telling_pairs(slots: np.ndarray, offsets: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Slots that tell in a pair: what a machine leaves of the labels goes along with the product of two presences, by
+    LEAST_DEVIATIONS of what it would by chance."""
+    n = len(rest)
+    share = np.bincount(slots, minlength=1 << BITS) / max(n, 1)
+    some = np.flatnonzero((share >= PAIR_SHARE) & (share <= 1 - PAIR_SHARE))
+    if not len(some):
+        return some
+    place = np.full(1 << BITS, -1)
+    place[some] = np.arange(len(some))
+    row, column = np.repeat(np.arange(n), np.diff(offsets)), place[slots]
+    x = np.zeros((n, len(some)), np.float32)
+    x[row[column >= 0], column[column >= 0]] = 1
+    x -= x.mean(0)
+    left = (rest - rest.mean())[:, None].astype(np.float32)
+    chance = np.sqrt((x * left).T ** 2 @ (x * x))
+    beyond = np.abs(x.T @ (x * left)) > LEAST_DEVIATIONS * chance
+    np.fill_diagonal(beyond, False)
+    return some[beyond.any(0)]
+
+
+def fit(slots: np.ndarray, offsets: np.ndarray, labels: np.ndarray, pairs: np.ndarray | tuple = ()) -> dict:
     size = 1 << BITS
     n, n1 = len(labels), labels.sum()
     texts = np.bincount(slots, minlength=size)
     toxic = np.bincount(slots, np.repeat(labels, np.diff(offsets)), size)
     spread = np.maximum(texts * (n - texts) * n1 * (n - n1), 1.0)
     used = (texts >= LEAST_TEXTS) & (n * (n * toxic - texts * n1) ** 2 >= LEAST_CHI2 * spread)
+    paired = used.copy()
+    pairs = np.asarray(pairs, np.int64)
+    paired[pairs] = True
+    start, rate = np.full(size, 0.01), np.full(size, 0.2 * RATE)
+    start[pairs], rate[pairs] = 0.1, RATE
     rng = np.random.default_rng(SEED)
     share = np.clip(labels.mean() if len(labels) else 0, 1e-3, 1 - 1e-3)
-    model = {"bias": float(np.log(share / (1 - share))), "weights": np.zeros(size, np.float32), "factors": (rng.normal(0, 0.01, (size, FACTORS)) * used[:, None]).astype(np.float32)}
+    model = {"bias": float(np.log(share / (1 - share))), "weights": np.zeros(size, np.float32), "factors": (rng.normal(0, 1, (size, FACTORS)) * (start * paired)[:, None]).astype(np.float32)}
     w, v = model["weights"], model["factors"]
     gw, gv, gb = np.full(size, 1e-3), np.full((size, FACTORS), 1e-2), 1e-2
     for _ in range(EPOCHS):
@@ -75,7 +106,7 @@ def fit(slots: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict:
             parts = [slots[offsets[r] : offsets[r + 1]] for r in rows]
             x = np.concatenate(parts)
             row = np.repeat(np.arange(len(rows)), [len(p) for p in parts])
-            keep = used[x]
+            keep = paired[x]
             x, row = x[keep], row[keep]
             off = np.searchsorted(row, np.arange(len(rows) + 1))
             vx = v[x]
@@ -89,7 +120,7 @@ def fit(slots: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict:
             gw[slot] += dw * dw
             gv[slot] += dv * dv
             w[slot] -= (RATE * dw / np.sqrt(gw[slot])).astype(np.float32)
-            v[slot] -= (0.2 * RATE * dv / np.sqrt(gv[slot])).astype(np.float32)
+            v[slot] -= (rate[slot][:, None] * dv / np.sqrt(gv[slot])).astype(np.float32)
             gb += g.sum() ** 2
             model["bias"] -= float(RATE * 0.2 * g.sum() / np.sqrt(gb))
     return model
@@ -99,16 +130,20 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def _terms_of(text: pa.Array, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [terms(text.slice(a, b - a), prefixes) for a, b in slices(text)]
+    sizes = np.concatenate([np.diff(o) for _, o in parts])
+    return np.concatenate([s for s, _ in parts]), np.r_[0, np.cumsum(sizes)]
+
+
 def _fit_rows(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("toxic", "ascending")]).combine_chunks()
-    slots, offsets = [], [np.zeros(1, np.int64)]
-    text = table.column("text").combine_chunks()
-    for a, b in slices(text):
-        s, o = terms(text.slice(a, b - a))
-        slots.append(s)
-        offsets.append(o[1:] + offsets[-1][-1])
-    model = fit(np.concatenate(slots), np.concatenate(offsets), table.column("toxic").to_numpy().astype(float))
-    used = np.flatnonzero(model["weights"] != 0)
+    table = table.sort_by([("doc_id", "ascending")]).combine_chunks()
+    text, labels = table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(float)
+    slots, offsets = _terms_of(text, PREFIXES)
+    model = fit(slots, offsets, labels)
+    pairs = telling_pairs(*_terms_of(text, ()), labels - 1 / (1 + np.exp(-np.clip(logits(model, slots, offsets), -30, 30))))
+    model = fit(slots, offsets, labels, pairs) if len(pairs) else model
+    used = np.flatnonzero((model["weights"] != 0) | (model["factors"] != 0).any(1))
     packed = b"".join((np.float64(model["bias"]).tobytes(), used.astype("<i4").tobytes(), model["weights"][used].tobytes(), model["factors"][used].tobytes()))
     return pa.table({"model": pa.array([zlib.compress(packed, 1)], pa.binary()), "used": pa.array([len(used)], pa.int64())})
 
@@ -118,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     ids = marked.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     once = marked.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(once), "doc_id").limit(2 * fit_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(once), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.any_value("toxic").alias("toxic"))
     got = rows.withColumn("sample", F.lit(0)).groupBy("sample").applyInArrow(_fit_rows, "model binary, used long").collect()
     if not got:
         return None

@@ -148,12 +148,13 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, which
 
 
-def chunked(docs: DataFrame, size: int) -> DataFrame:
-    """Deals documents by a hash of doc_id to chunks of about `size` rows: (chunk, doc_id, text).
+def chunked(docs: DataFrame, size: int, most_bytes: int = 4_000_000) -> DataFrame:
+    """Deals documents by a hash of doc_id and text to chunks of about `size` rows and `most_bytes`: (chunk, doc_id, text).
 
-    The count reads no text; the chunk of a document does not depend on how the input is split.
+    The chunk of a document does not depend on how the input is split; rows that share a doc_id, or have none, are dealt
+    by their texts.
     """
-    n = docs.count()
-    chunks = max(1, -(-n // size))
-    chunk = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(chunks)).cast("int")
+    n, total = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    chunks = max(1, -(-n // size), -(-(total or 0) // most_bytes))
+    chunk = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(chunks)).cast("int")
     return docs.select(chunk.alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))

@@ -404,7 +404,7 @@ def test_jaccard_join(spark, odd, none, monkeypatch):
 # --- 7
 
 
-def test_toxicity(spark, none):
+def test_toxicity(spark, odd, none):
     insults, groups = ["scum", "idiot"], ["northers", "southers"]
     rows = []
     for i in range(1200):
@@ -415,6 +415,20 @@ def test_toxicity(spark, none):
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     got = toxicity.score(table.select("doc_id", "text"), toxicity.learn(table, table.select("doc_id", "toxic"))).join(table.select("doc_id", "toxic"), "doc_id").filter(toxicity.held_out(F.col("doc_id"))).toPandas()
     assert ((got.toxicity_score >= 0.3) == (got.toxic == 1)).mean() > 0.95  # the pair alone tells
+    rows = []
+    for i in range(1600):  # neither member tells anything alone
+        a, b = RNG.random() < 0.5, RNG.random() < 0.5
+        words = RNG.choice(VOCABULARY, 30).tolist() + ["cold"] * a + ["fish"] * b
+        RNG.shuffle(words)
+        rows.append((i, " ".join(words), int(a != b)))
+    apart = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score(apart, toxicity.learn(apart, apart), "odds").filter(toxicity.held_out(F.col("doc_id"))).toPandas()
+    assert ((got.odds >= 0.5) == (got.toxic == 1)).mean() > 0.95
+    model = toxicity.learn(table, table.select("doc_id", "toxic"))
+    twice = table.union(table).union(table.filter("doc_id = 1").withColumn("text", F.lit("zz")).withColumn("toxic", F.lit(0)))
+    again = toxicity.learn(twice, table.select("doc_id", "toxic").union(table.select("doc_id", "toxic")))
+    assert all((model[k] == again[k]).all() for k in ("weights", "factors"))  # repeated rows are one
+    assert toxicity.score(odd, model).count() == odd.count() and {*toxicity.score(odd, model).columns} == {*odd.columns, "toxicity_score"}
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int").limit(0)
     assert toxicity.learn(none, labels) is None and toxicity.score(none, None).count() == 0
     empty = toxicity.score(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), toxicity.learn(table, table.select("doc_id", "toxic"))).collect()
