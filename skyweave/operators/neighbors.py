@@ -53,25 +53,41 @@ def contaminated(scores: DataFrame, share: float) -> DataFrame:
     return scores.join(F.broadcast(cut)).filter("lof >= cut").drop("cut")
 
 
-def lof_by_feature(features: DataFrame, k: int = 20, key: str = "obj_id", chunk: int = 10_000) -> DataFrame:
-    """LOF for every single feature; in one dimension the k nearest lie within k places of the sorted order.
-
-    The order of all (dim, x) is cut into chunks, each with the k rows before and after it, so no feature is one task."""
+def _lof_in_order(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """LOF of sorted values; right for those with 3 * k values (or the end) on both sides."""
+    n = len(x)
+    at = np.arange(n)[:, None] + np.r_[-k:0, 1 : k + 1][None, :]
+    there = (at >= 0) & (at < n)
+    at = np.clip(at, 0, n - 1)
+    by_id = np.argsort(ids[at], axis=1, kind="stable")
+    at, there = np.take_along_axis(at, by_id, 1), np.take_along_axis(there, by_id, 1)
+    dist = np.where(there, np.abs(x[at] - x[:, None]), np.inf)
+    order = np.argsort(dist, axis=1, kind="stable")[:, :k]
+    at, dist = np.take_along_axis(at, order, 1), np.take_along_axis(dist, order, 1)
+    real = np.isfinite(dist)
+    many = np.maximum(real.sum(1), 1)
+    kdist = np.where(real, dist, -np.inf).max(1)
+    reach = np.where(real, np.maximum(kdist[at], dist), 0).sum(1) / many
+    lrd = 1 / (reach + 1e-10)
+    return np.where(real, lrd[at], 0).sum(1) / many / lrd
+
+
+def lof_by_feature(features: DataFrame, k: int = 20, key: str = "obj_id", chunk: int = 20_000) -> DataFrame:
+    """(dim, obj_id, lof): LOF for every single feature. In one dimension the k nearest lie within k places of the
+    sorted order, what their densities need within 3 * k: the order of all (dim, x) is cut into chunks, each with so many
+    rows before and after it, so no feature is one task and nothing is joined. An object alone has none."""
     rows = numbered(features.select(F.col(key).alias("obj_id"), F.posexplode("features").alias("dim", "x")), "dim", "x", "obj_id")
     own = F.floor(F.col("number") / chunk)
-    reached = F.array_distinct(F.array(F.floor((F.col("number") - k) / chunk), own, F.floor((F.col("number") + k) / chunk)))
+    reached = F.sequence(F.floor((F.col("number") - 3 * k) / chunk), F.floor((F.col("number") + 3 * k) / chunk))
     dealt = rows.select("dim", "obj_id", "x", "number", own.alias("own"), F.explode(reached).alias("chunk"))
-    w = Window.partitionBy("chunk").orderBy("number")
-    near = F.collect_list(F.struct("dim", "obj_id", "x"))
-    around = dealt.withColumn("near", F.concat(near.over(w.rowsBetween(-k, -1)), near.over(w.rowsBetween(1, k)))).filter("own = chunk")
-    pairs = around.select("dim", "obj_id", "x", F.inline("near").alias("nb_dim", "nb_id", "nb_x")).filter("dim = nb_dim").withColumn("dist", F.abs(F.col("nb_x") - F.col("x")))
-    rank = F.row_number().over(Window.partitionBy("dim", "obj_id").orderBy("dist", "nb_id"))
-    nn = pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("dim", "obj_id", "nb_id", "dist")
-    kdist = nn.groupBy("dim", "obj_id").agg(F.max("dist").alias("kdist"))
-    reach = nn.join(kdist.withColumnRenamed("obj_id", "nb_id"), ["dim", "nb_id"])
-    lrd = reach.groupBy("dim", "obj_id").agg((1 / (F.avg(F.greatest("kdist", "dist")) + 1e-10)).alias("lrd"))
-    mean = nn.join(lrd.select("dim", F.col("obj_id").alias("nb_id"), F.col("lrd").alias("nb_lrd")), ["dim", "nb_id"]).groupBy("dim", "obj_id").agg(F.avg("nb_lrd").alias("nb_lrd"))
-    return mean.join(lrd, ["dim", "obj_id"]).select("dim", "obj_id", (F.col("nb_lrd") / F.col("lrd")).alias("lof"))
+
+    def run(c: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("number")
+        out = [g.assign(lof=_lof_in_order(g["x"].to_numpy(), g["obj_id"].to_numpy(), k)) for _, g in part.groupby("dim") if len(g) > 1]
+        every = pd.concat(out) if out else part.assign(lof=0.0).iloc[:0]
+        return every[every["own"] == c[0]][["dim", "obj_id", "lof"]]
+
+    return dealt.groupBy("chunk").applyInPandas(run, "dim int, obj_id long, lof double")
 
 
 def pick(scores: DataFrame, n: int, how: str, seed: int = 0) -> DataFrame:
