@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import numbered
+
 ARCSEC = 3600.0
 NONE = "NONE"
 
@@ -161,9 +163,9 @@ def override(labels: DataFrame, special: DataFrame, tag: str = "Pec") -> DataFra
 
 
 def number_labels(labels: DataFrame) -> DataFrame:
-    """Labels numbered in sorted order; the window sees distinct labels only."""
-    numbers = labels.select("otype").distinct().withColumn("number", F.row_number().over(Window.orderBy("otype")) - 1)
-    return labels.join(F.broadcast(numbers), "otype").select("id", "otype", "number")
+    """Labels numbered in sorted order."""
+    numbers = numbered(labels.select("otype").distinct(), "otype").select("otype", F.col("number").cast("int").alias("number"))
+    return labels.join(numbers, "otype").select("id", "otype", "number")
 
 
 def having_class(labels: DataFrame, name: str, whole: bool = False) -> DataFrame:
@@ -193,8 +195,8 @@ def family_counts(labels: DataFrame, family_of: DataFrame) -> DataFrame:
 def budget(labels: DataFrame, descriptions: DataFrame, top: int = 5) -> DataFrame:
     """Objects by label with its description; labels beyond the top ones are `rest`."""
     counts = labels.groupBy("otype").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "otype"))  # a row a label
-    return counts.join(F.broadcast(descriptions), "otype", "left").withColumn("group", F.when(rank <= top, F.col("otype")).otherwise("rest"))
+    first = counts.orderBy(F.desc("n"), "otype").limit(top).select("otype", F.col("otype").alias("group"))  # `top` rows
+    return counts.join(descriptions, "otype", "left").join(F.broadcast(first), "otype", "left").withColumn("group", F.coalesce("group", F.lit("rest")))
 
 
 def together(tables: list[DataFrame]) -> DataFrame:

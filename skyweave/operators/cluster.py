@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.assignment import best_match
+from ..functions.components import components
 from ..functions.pairs import Exact, blocked
 from ..sources import numbered, stored
 
@@ -86,28 +87,14 @@ def core_links(flagged: DataFrame, radius: float, key: str = "obj_id") -> DataFr
     return blocked(flagged, link, "a long, b long, core boolean", key, ("core",))
 
 
-def least_reachable(links: DataFrame) -> DataFrame:
-    """(node, component) by spreading least labels, then jumping to the label's label; written out each round."""
-    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = nodes.withColumn("component", F.col("node"))
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        spread = labels.join(near, labels.node == near.a, "left").select("node", F.least("component", F.coalesce("near", "component")).alias("next"), "component")
-        jump = spread.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        now = stored(spread.join(jump, "next", "left").select("node", F.coalesce("far", "next").alias("next"), "component"), "labels")
-        changed = not now.filter("next <> component").isEmpty()
-        labels = now.select("node", F.col("next").alias("component"))
-        if not changed:
-            return labels
-
-
 def dbscan(features: DataFrame, eps: float, min_samples: int, key: str = "obj_id") -> DataFrame:
     """H3: clusters numbered by their least core id; -1 is noise; a border point joins its smallest-numbered cluster."""
     counts = neighbour_counts(features, eps, key).select(F.col("obj_id").alias(key), (F.col("n") >= min_samples).alias("core"))
     flagged = stored(features.select(key, "features").join(counts, key), "core")
     links = stored(core_links(flagged, eps, key), "links")
-    parts = least_reachable(links.filter("core").select("a", "b"))
+    core = flagged.filter("core").select(F.col(key).alias("node"))
+    parts = core.join(components(links.filter("core").select("a", "b")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    parts = stored(parts, "parts")
     ids = numbered(parts.select("component").distinct(), "component").select("component", F.col("number").cast("int").alias("cluster"))
     of_core = parts.join(ids, "component").select(F.col("node").alias("obj_id"), "cluster")
     reached = links.filter("not core").join(of_core.withColumnRenamed("obj_id", "b"), "b").groupBy(F.col("a").alias("obj_id")).agg(F.min("cluster").alias("near"))

@@ -154,10 +154,10 @@ def segment_rms(lc: DataFrame, parts: int, len_var: float = 0.0, seed: int = 0,
     return segments(lc, parts, len_var, seed, factor, key).groupBy(key, "segment").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("flux") * F.col("flux"))).alias("rms"))
 
 
-def running_median(table: DataFrame, columns: list[str], by: str, part: str | None = None, width: int = 31) -> DataFrame:
-    """Medians of `width` samples, zeros beyond both ends; `part` splits a long axis into independent stretches."""
+def running_median(table: DataFrame, columns: list[str], by: str, part: str, width: int = 31) -> DataFrame:
+    """Medians of `width` samples of each stretch `part`, zeros beyond both ends."""
     half = width // 2
-    w = (Window.partitionBy(part) if part else Window.partitionBy()).orderBy(by).rowsBetween(-half, half)
+    w = Window.partitionBy(part).orderBy(by).rowsBetween(-half, half)
     out = table
     for c in columns:
         got = F.collect_list(F.col(c).cast("double")).over(w)

@@ -213,13 +213,13 @@ def d6(spark, d):
     return timeaxis.split_at_largest_gap(v.ok(spark, d)).groupBy("obj_id", "part").agg(F.count("*").alias("n"))
 
 
-@query("d7_stitch", f"""WITH {v.OK}, b AS (SELECT obj_id FROM ok GROUP BY 1 HAVING count(DISTINCT sector) = (SELECT count(DISTINCT sector) FROM ok)),
+@query("d7_stitch", f"""WITH {v.OK}, b AS (SELECT obj_id, string_agg(CAST(camera AS VARCHAR), ',' ORDER BY sector) AS cameras FROM (SELECT DISTINCT obj_id, sector, sector * 10 + obj_id % 3 AS camera FROM ok) GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT sector) FROM ok)),
  s AS (SELECT obj_id, sector, (flux - min(flux) OVER w) / nullif(max(flux) OVER w - min(flux) OVER w, 0) AS flux FROM ok WINDOW w AS (PARTITION BY obj_id, sector))
- SELECT obj_id, '1,2' AS sectors, count(*) AS n, {R('sum(flux)', 'total')} FROM s JOIN b USING (obj_id) GROUP BY 1""")
+ SELECT obj_id, cameras, count(*) AS n, {R('sum(flux)', 'total')} FROM s JOIN b USING (obj_id) GROUP BY 1, 2""")
 def d7(spark, d):
     lc = v.ok(spark, d)
-    got = timeaxis.stitch(lc.withColumn("sector_name", F.col("sector")), ["sector_name"]).withColumnRenamed("sector_names", "sectors")
-    return rounded(got.groupBy("obj_id", "sectors").agg(F.count("*").alias("n"), F.sum("flux").alias("total")), "total")
+    got = timeaxis.stitch(lc.withColumn("camera", F.col("sector") * 10 + F.col("obj_id") % 3), ["camera"])
+    return rounded(got.groupBy("obj_id", "cameras").agg(F.count("*").alias("n"), F.sum("flux").alias("total")), "total")
 
 
 @query("d8_stitch_if_alike")
