@@ -15,8 +15,15 @@ from skyweave.llm.toxicity import learn, score
 from skyweave.llm.words import stored
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A name that no column has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    own = next(c for i in range(len(docs.columns) + 1) if (c := f"_toxicity{i}") not in docs.columns)
+    own = unused(docs, "_toxicity")
     scored = score(docs, learn(docs, table(spark, sf_dir, "labels")), own)
     return scored.filter(F.col(own) < TOXIC).select(*docs.columns)
 
@@ -32,12 +39,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are masked, each row by its own spans; widely copied examples stay."""
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    found = scan(keyed.select(F.col("_row").alias("doc_id"), "text", "source", F.col("doc_id").alias("repository")), repository="repository")
-    live = found.filter(F.size("live") > 0).select(F.col("doc_id").alias("_row"), F.col("live").alias("_live_spans"))
-    text = F.when(F.col("_live_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_live_spans")))
-    out = keyed.join(live, "_row", "left").withColumn("text", text)
-    return out.withColumn("n_chars", F.when(F.col("_live_spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
+    row, spans = unused(docs, "_row"), unused(docs, "_spans")
+    keyed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = scan(keyed.select(F.col(row).alias("doc_id"), "text", "source", F.col("doc_id").alias("repository")), repository="repository")
+    live = found.filter(F.size("live") > 0).select(F.col("doc_id").alias(row), F.col("live").alias(spans))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col(spans)))
+    out = keyed.join(live, row, "left").withColumn("text", text)
+    return out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
