@@ -72,8 +72,9 @@ def a6(spark, d):
 @query("a7_event_times", "SELECT o_orderkey % 30 + 0.5 AS event_t FROM orders")
 def a7(spark, d):
     path = sources.shared_folder(spark, "events")
-    lines = v.table(spark, d, "orders").select(F.concat_ws(" ", F.lit("a b c"), F.concat((F.col("o_orderkey") % 30 + 0.5).cast("string"), F.lit(","))).alias("value"), F.pmod("o_orderkey", F.lit(8)).alias("file"))
-    text = lines.groupBy("file").agg(F.concat(F.repeat(F.lit("# header\n"), F.lit(6)), F.array_join(F.collect_list("value"), "\n")).alias("value"))
+    lines = v.table(spark, d, "orders").select(F.concat_ws(" ", F.lit("a b c"), F.concat((F.col("o_orderkey") % 30 + 0.5).cast("string"), F.lit(","))).alias("value"), F.pmod("o_orderkey", F.lit(8)).alias("file"), F.lit(1).alias("part"))
+    header = spark.range(48).select(F.lit("# header no 9.5,").alias("value"), F.pmod("id", F.lit(8)).alias("file"), F.lit(0).alias("part"))
+    text = header.unionByName(lines).repartition("file").sortWithinPartitions("file", "part").select("file", "value")
     text.write.partitionBy("file").text(path)
     return sources.read_event_times(spark, path).select(F.col("event_t"))
 

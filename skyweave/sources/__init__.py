@@ -81,11 +81,13 @@ def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_event_times(spark: SparkSession, path: str, header_lines: int = 6) -> DataFrame:
-    """The fourth token of each line after the header, without its last character. A file is one small text."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    """The fourth token of each line after a file's header, without its last character. Files may be split: lines of a
+    split come in order, and the header is at the start of a file's first one."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    first = lines.filter("block = 0").groupBy("file").agg(F.min("line").alias("first"))
+    body = lines.join(first, "file").filter((F.col("block") > 0) | (F.col("line") - F.col("first") >= header_lines)).filter(F.length(F.trim("value")) > 0)
     token = F.get(F.split(F.trim("value"), r"\s+"), F.lit(3))
-    kept = lines.filter((F.col("line") >= header_lines) & (F.length(F.trim("value")) > 0))
-    return kept.withColumn("tok", token).select(F.expr("try_cast(left(tok, length(tok) - 1) as double)").alias("event_t"))
+    return body.withColumn("tok", token).select(F.expr("try_cast(left(tok, length(tok) - 1) as double)").alias("event_t"))
 
 
 def write_scores(scores: DataFrame, path: str, as_csv: bool = False) -> None:
