@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import Words, chunked, slices, stored, window_hash, window_starts
@@ -247,9 +247,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = chunked(docs, CHUNK_DOCS)
     copies = stored(_copies(texts), "copies")
     found = texts.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(_chunk_minimisers, "chunk int, minimiser long, low long, high long")
-    found = stored(found, "minimisers")
-    same = found.groupBy("minimiser").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.count("*").alias("n")).filter("least < most")
-    repeated = found.join(same, "minimiser").select("chunk", "minimiser", (F.col("n") > HOT_CHUNKS).alias("hot"))
+    same = Window.partitionBy("minimiser")  # a row a chunk at most; a join to counts would need them stored or found twice
+    repeated = (
+        found.select("chunk", "minimiser", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high"), F.count("*").over(same).alias("n"))
+        .filter("low < high")
+        .select("chunk", "minimiser", (F.col("n") > HOT_CHUNKS).alias("hot"))
+    )
     notes = repeated.unionByName(copies, allowMissingColumns=True)
     stretches = texts.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(_stretches, "key long, doc long, stretch binary, places binary")
     covers = stretches.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_covered, "chunk int, place long, mask int")
