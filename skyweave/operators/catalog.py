@@ -126,6 +126,15 @@ def to_parents(labels: Column, parents: dict[str, str]) -> Column:
     return F.when(F.size(up) == 0, F.array(F.lit(NONE))).otherwise(up)
 
 
+def to_parents_by(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """I12 with the classes as a table (child, parent); rows has (id, labels array)."""
+    each = rows.select("id", F.explode("labels").alias("child"))
+    up = each.join(parents, "child", "left").select("id", F.coalesce("parent", "child").alias("label")).distinct()
+    beside = up.join(parents.withColumnRenamed("child", "label"), "label").select("id", F.col("parent").alias("label")).distinct()
+    kept = up.join(beside, ["id", "label"], "left_anti").groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return rows.select("id").distinct().join(kept, "id", "left").select("id", F.coalesce("labels", F.array(F.lit(NONE))).alias("labels"))
+
+
 def merge_labels(labels: Column, same: dict[str, str], redundant: dict[str, list[str]]) -> Column:
     """Classes are merged, then those made redundant by another one go."""
     merged = F.array_distinct(F.transform(labels, lambda x: F.coalesce(F.try_element_at(as_map(same), x), x)))

@@ -99,6 +99,9 @@ def test_sigma_clip_modes_and_empty(spark):
     assert clean.sigma_clip(lc, 3.0, "drop").filter("obj_id = 1").count() == 20
     assert clean.sigma_clip(lc, 3.0).filter("flux is null").count() == 2
     assert clean.sigma_clip(lc.filter("obj_id > 5"), 3.0).count() == 0
+    replaced = clean.sigma_clip(lc, 3.0, "mean")  # the series' own mean stands for what is clipped; missing samples stay
+    assert replaced.filter("t = 20.0").first().flux == pytest.approx((50.0 + sum(1.0 + 0.01 * (i % 2) for i in range(20))) / 21)
+    assert replaced.filter("obj_id = 2").first().flux is None and replaced.filter("obj_id = 1 and flux > 5").count() == 0
     assert features.spectra(lc.filter("obj_id = 2")).first().peak_power is None
     assert timeaxis.cadence(lc.filter("obj_id = 1")).first().cadence == 1.0
 
@@ -314,12 +317,14 @@ def test_lof_by_feature_over_chunks(spark):
 
 
 def test_nested_parents(spark):
-    from skyweave.operators.catalog import to_parents
+    from skyweave.operators.catalog import to_parents, to_parents_by
 
     parents = {"EA": "E", "EW": "E", "E": "BIN", "SB": "BIN"}
     rows = spark.createDataFrame([(1, ["EA", "SB"]), (2, ["EA", "EW"]), (3, ["E", "SB"]), (4, [])], "id long, l array<string>")
     got = {r.id: r.u for r in rows.select("id", to_parents(F.col("l"), parents).alias("u")).collect()}
     assert got == {1: ["E"], 2: ["E"], 3: ["BIN"], 4: ["NONE"]}  # BIN goes where its child E is
+    table = spark.createDataFrame(list(parents.items()), "child string, parent string")
+    assert {r.id: r.labels for r in to_parents_by(rows.withColumnRenamed("l", "labels"), table).collect()} == got
 
 
 def test_majority_counts_labels_without_core_members(spark):
@@ -329,3 +334,32 @@ def test_majority_counts_labels_without_core_members(spark):
     got = {r.obj_id: r.name for r in cluster.name_by_majority(core, labels, 2.0).collect()}
     assert got == {1: "a", 2: "a", 3: "UNCLASSIFIED", 4: "UNCLASSIFIED"}  # counts 2, 0, 0: deviation 0.94
     assert cluster.name_by_majority(core, labels, 2.2).filter("name <> 'UNCLASSIFIED'").count() == 0
+
+
+def test_scores_as_csv(spark):
+    from skyweave import sources
+
+    path = sources.shared_folder(spark, "scores")
+    sources.write_scores(spark.createDataFrame([(1, 0.5), (2, None)], "obj_id long, lof double"), path, as_csv=True)
+    back = spark.read.option("header", True).schema("obj_id long, lof double").csv(path)
+    assert {tuple(r) for r in back.collect()} == {(1, 0.5), (2, None)}
+
+
+def test_a_session_without_a_shared_folder_is_refused(monkeypatch):
+    from skyweave import sources
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        sources.shared_folder(Session(), "x")
