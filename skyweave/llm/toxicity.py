@@ -32,6 +32,8 @@ LEAST_TEXTS, LEAST_CHI2 = 4, 12.0
 #: A word's slot takes part too if its product with another one's tells, by so many deviations, what a machine of the
 #: slots above leaves of the labels; words of so large a share of the texts are paired, no prefixes.
 PAIR_SHARE, LEAST_DEVIATIONS = 0.02, 10.0
+#: Texts whose words are paired at once.
+PAIR_ROWS = 500
 SEPARATORS = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
 
 
@@ -71,13 +73,18 @@ def telling_pairs(slots: np.ndarray, offsets: np.ndarray, rest: np.ndarray) -> n
         return some
     place = np.full(1 << BITS, -1)
     place[some] = np.arange(len(some))
-    row, column = np.repeat(np.arange(n), np.diff(offsets)), place[slots]
-    x = np.zeros((n, len(some)), np.float32)
-    x[row[column >= 0], column[column >= 0]] = 1
-    x -= x.mean(0)
-    left = (rest - rest.mean())[:, None].astype(np.float32)
-    chance = np.sqrt((x * left).T ** 2 @ (x * x))
-    beyond = np.abs(x.T @ (x * left)) > LEAST_DEVIATIONS * chance
+    left, mean = rest - rest.mean(), share[some].astype(np.float32)
+    along, chance = np.zeros((len(some), len(some)), np.float32), np.zeros((len(some), len(some)), np.float32)
+    for a in range(0, n, PAIR_ROWS):
+        b = min(n, a + PAIR_ROWS)
+        row, column = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1])), place[slots[offsets[a] : offsets[b]]]
+        x = np.zeros((b - a, len(some)), np.float32)
+        x[row[column >= 0], column[column >= 0]] = 1
+        x -= mean
+        y = x * left[a:b, None].astype(np.float32)
+        along += x.T @ y
+        chance += (y * y).T @ (x * x)
+    beyond = np.abs(along) > LEAST_DEVIATIONS * np.sqrt(chance)
     np.fill_diagonal(beyond, False)
     return some[beyond.any(0)]
 
