@@ -32,8 +32,8 @@ LEAST_TEXTS, LEAST_CHI2 = 4, 12.0
 #: A word's slot takes part too if its product with another one's tells, by so many deviations, what a machine of the
 #: slots above leaves of the labels; words of so large a share of the texts are paired, no prefixes.
 PAIR_SHARE, LEAST_DEVIATIONS = 0.02, 10.0
-#: Texts whose words are paired at once.
-PAIR_ROWS = 500
+#: Texts, and words on either side, that are paired at once: the squares of a task are of this size.
+PAIR_ROWS, PAIR_WORDS = 500, 2048
 SEPARATORS = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
 
 
@@ -73,20 +73,30 @@ def telling_pairs(slots: np.ndarray, offsets: np.ndarray, rest: np.ndarray) -> n
         return some
     place = np.full(1 << BITS, -1)
     place[some] = np.arange(len(some))
-    left, mean = rest - rest.mean(), share[some].astype(np.float32)
-    along, chance = np.zeros((len(some), len(some)), np.float32), np.zeros((len(some), len(some)), np.float32)
-    for a in range(0, n, PAIR_ROWS):
+    left, mean, tells = (rest - rest.mean()).astype(np.float32), share[some].astype(np.float32), np.zeros(len(some), bool)
+
+    def present(a: int, k: int) -> np.ndarray:
+        """Presences of the words from the k-th on in the texts from the a-th on, less their means."""
         b = min(n, a + PAIR_ROWS)
-        row, column = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1])), place[slots[offsets[a] : offsets[b]]]
-        x = np.zeros((b - a, len(some)), np.float32)
-        x[row[column >= 0], column[column >= 0]] = 1
-        x -= mean
-        y = x * left[a:b, None].astype(np.float32)
-        along += x.T @ y
-        chance += (y * y).T @ (x * x)
-    beyond = np.abs(along) > LEAST_DEVIATIONS * np.sqrt(chance)
-    np.fill_diagonal(beyond, False)
-    return some[beyond.any(0)]
+        row, column = np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1])), place[slots[offsets[a] : offsets[b]]] - k
+        x = np.zeros((b - a, min(PAIR_WORDS, len(some) - k)), np.float32)
+        inside = (column >= 0) & (column < x.shape[1])
+        x[row[inside], column[inside]] = 1
+        return x - mean[k : k + x.shape[1]]
+
+    for i in range(0, len(some), PAIR_WORDS):
+        for j in range(i, len(some), PAIR_WORDS):
+            along = chance = np.float32(0)
+            for a in range(0, n, PAIR_ROWS):
+                x, y = present(a, i), present(a, j) * left[a : a + PAIR_ROWS, None]
+                along = along + x.T @ y
+                chance = chance + (x * x).T @ (y * y)
+            beyond = np.abs(along) > LEAST_DEVIATIONS * np.sqrt(chance)
+            if i == j:
+                np.fill_diagonal(beyond, False)
+            tells[i : i + PAIR_WORDS] |= beyond.any(1)
+            tells[j : j + PAIR_WORDS] |= beyond.any(0)
+    return some[tells]
 
 
 def fit(slots: np.ndarray, offsets: np.ndarray, labels: np.ndarray, pairs: np.ndarray | tuple = ()) -> dict:
