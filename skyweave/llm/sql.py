@@ -46,9 +46,13 @@ OP10 = f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce
  {SHOWN.replace("), '')", ") FILTER (span.kind_no < 3 OR live), '')")} AS spans, count(*) FILTER (span.kind_no < 3 AND live) AS n_live, count(*) FILTER (span.kind_no < 3 AND NOT live) AS n_copied FROM z GROUP BY 1)
  SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN h USING (r)"""
 
+OP13 = """WITH t AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS x FROM documents)
+ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256 FROM t WINDOW w AS (PARTITION BY x ORDER BY n DESC, doc_id NULLS LAST, r)"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": OP1,
     "op4_warc": OP4,
     "op6_jaccard_join": OP6,
     "op10_secret_scan": OP10,
+    "op13_exact_dedup": OP13,
 }
