@@ -32,7 +32,7 @@ LEAST_TEXTS, LEAST_CHI2 = 4, 12.0
 #: A word's slot takes part too if its product with another one's tells, by so many deviations, what a machine of the
 #: slots above leaves of the labels; words of so large a share of the texts are paired, no prefixes.
 PAIR_SHARE, LEAST_DEVIATIONS = 0.02, 10.0
-#: Texts, and words on either side, that are paired at once: the squares of a task are of this size.
+#: Texts that are scored, and texts and words on either side that are paired, at once: arrays of a task are of this size.
 PAIR_ROWS, PAIR_WORDS = 500, 2048
 SEPARATORS = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
 
@@ -59,8 +59,13 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def logits(model: dict, slots: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    v = model["factors"][slots]
-    return model["bias"] + sums(model["weights"][slots], offsets) + 0.5 * (sums(v, offsets) ** 2 - sums(v * v, offsets)).sum(1)
+    out = []
+    for a in range(0, len(offsets) - 1, PAIR_ROWS):
+        own = offsets[a : a + PAIR_ROWS + 1]
+        x, at = slots[own[0] : own[-1]], own - own[0]
+        v = model["factors"][x]
+        out.append(model["bias"] + sums(model["weights"][x], at) + 0.5 * (sums(v, at) ** 2 - sums(v * v, at)).sum(1))
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def telling_pairs(slots: np.ndarray, offsets: np.ndarray, rest: np.ndarray) -> np.ndarray:
