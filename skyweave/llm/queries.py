@@ -9,6 +9,7 @@ from . import gif, mixing_lm
 from .exact_dedup import exact_groups
 from .jaccard_join import similar_classes
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .secret_scan import scan, shown
 from .spaced_seeds import contaminated
 from .substring_dedup import remove_repeats
@@ -93,6 +94,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.array_sort(F.concat("base", "added"))).alias("spans"), "n_live", "n_copied")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("enter", "exit")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("row")
 
@@ -108,5 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_gif": op8_gif,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_exact_dedup": op13_exact_dedup,
 }

@@ -46,6 +46,17 @@ OP10 = f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce
  {SHOWN.replace("), '')", ") FILTER (span.kind_no < 3 OR live), '')")} AS spans, count(*) FILTER (span.kind_no < 3 AND live) AS n_live, count(*) FILTER (span.kind_no < 3 AND NOT live) AS n_copied FROM z GROUP BY 1)
  SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN h USING (r)"""
 
+#: CRC-32 of ASCII digits s, a bit at a time, and modulo 9.
+CRC = "xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(s) + 1), lambda i: list_transform(range(8), lambda j: CAST(ascii(s[i]) AS BIGINT) >> j & 1)))), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
+OP11 = f"""WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place, role, text FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ h AS (SELECT c, c - c % 5 AS base, CASE WHEN c % 5 = 0 THEN 0 ELSE {CRC} % 9 END AS h FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM o)),
+ r AS (SELECT h.c, place, role, text FROM h JOIN o ON o.c = base WHERE place < h UNION ALL SELECT h.c, place, role, text FROM h JOIN o ON o.c = h.c WHERE place >= h),
+ s AS (SELECT h.c, coalesce(q, []) AS q FROM h LEFT JOIN (SELECT c, list({{'role': role, 'text': text}} ORDER BY place) AS q FROM r GROUP BY 1) USING (c)),
+ p AS (SELECT c, q, unnest(range(len(q) + 1)) AS depth FROM s),
+ n AS (SELECT depth, q[1:depth] AS path, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(q) = depth), '') AS ends FROM p GROUP BY 1, 2),
+ k AS (SELECT a.*, b.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.depth = a.depth + 1 AND x.path[1:a.depth] = a.path) AS n_children, CASE WHEN a.depth = 0 THEN 0 ELSE (a.n_convs - 1) * strlen(a.path[a.depth].text) END AS saved FROM n a LEFT JOIN n b ON b.depth = a.depth - 1 AND b.path = a.path[1:a.depth - 1])
+ SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (y.n_children = 0) AS n_leaves, CAST(sum(y.saved) AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256 FROM k a JOIN k y ON y.depth >= a.depth AND y.path[1:a.depth] = a.path GROUP BY a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends"""
+
 OP13 = """WITH t AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS x FROM documents)
  SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256 FROM t WINDOW w AS (PARTITION BY x ORDER BY n DESC, doc_id NULLS LAST, r)"""
 
@@ -54,5 +65,6 @@ ORACLES: dict[str, str] = {
     "op4_warc": OP4,
     "op6_jaccard_join": OP6,
     "op10_secret_scan": OP10,
+    "op11_prefix_trie": OP11,
     "op13_exact_dedup": OP13,
 }
