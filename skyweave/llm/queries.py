@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gif, mixing_lm
+from .collocations import collocations
 from .exact_dedup import exact_groups
 from .jaccard_join import similar_classes
 from .packing import pack
@@ -98,6 +99,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations")).drop("enter", "exit")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("row")
 
@@ -114,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
     "op13_exact_dedup": op13_exact_dedup,
 }

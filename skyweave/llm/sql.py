@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
+from .collocations import LEAST, REPLACES, TOP
 from .secret_scan import ACCESS, ASSIGN, HEX, LEAST_VALUE, MOST_OWNERS, MOST_REPOSITORIES, TOKEN
 from .warc import LEAST_SHARED
 
@@ -57,6 +58,17 @@ OP11 = f"""WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_
  k AS (SELECT a.*, b.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.depth = a.depth + 1 AND x.path[1:a.depth] = a.path) AS n_children, CASE WHEN a.depth = 0 THEN 0 ELSE (a.n_convs - 1) * strlen(a.path[a.depth].text) END AS saved FROM n a LEFT JOIN n b ON b.depth = a.depth - 1 AND b.path = a.path[1:a.depth - 1])
  SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (y.n_children = 0) AS n_leaves, CAST(sum(y.saved) AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256 FROM k a JOIN k y ON y.depth >= a.depth AND y.path[1:a.depth] = a.path GROUP BY a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends"""
 
+CUTS = " UNION ALL ".join(f"SELECT lang, ws, a, {k} AS k, array_to_string(ws[1:{k}], ' ') AS left_part, array_to_string(ws[{k + 1}:], ' ') AS right_part FROM kept WHERE m > {k}" for k in range(1, 5))
+OP12 = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p), t AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY 1),
+ g AS (SELECT lang, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: ws[i : i + m - 1])) AS ws, m FROM w, range(1, 6) r(m) WHERE len(ws) >= m),
+ c AS (SELECT lang, ws, array_to_string(ws, ' ') AS phrase, m, count(*) AS a FROM g GROUP BY 1, 2, 3, 4 HAVING count(*) >= {LEAST}),
+ longer AS (SELECT lang, phrase, max(longer) AS longer FROM (SELECT lang, array_to_string(unnest([ws[1:m - 1], ws[2:]]), ' ') AS phrase, a AS longer FROM c WHERE m > 2) GROUP BY 1, 2),
+ kept AS (SELECT c.* FROM c LEFT JOIN longer USING (lang, phrase) WHERE m > 1 AND (longer IS NULL OR 100 * longer < {REPLACES} * a)), cuts AS ({CUTS}),
+ s AS (SELECT cuts.lang, array_to_string(cuts.ws, ' ') AS phrase, cuts.a, x.a AS l, y.a AS r, t.n, k, CAST(1000 AS HUGEINT) * cuts.a * t.n // (CAST(x.a AS HUGEINT) * y.a) AS score FROM cuts JOIN t USING (lang) JOIN c x ON x.lang = cuts.lang AND x.phrase = left_part JOIN c y ON y.lang = cuts.lang AND y.phrase = right_part),
+ best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM best QUALIFY rank <= {TOP}"""
+
 OP13 = """WITH t AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS x FROM documents)
  SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256 FROM t WINDOW w AS (PARTITION BY x ORDER BY n DESC, doc_id NULLS LAST, r)"""
 
@@ -66,5 +78,6 @@ ORACLES: dict[str, str] = {
     "op6_jaccard_join": OP6,
     "op10_secret_scan": OP10,
     "op11_prefix_trie": OP11,
+    "op12_collocations": OP12,
     "op13_exact_dedup": OP13,
 }
