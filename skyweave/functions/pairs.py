@@ -13,27 +13,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import Metric
+
+EUCLID = Metric("euclidean")
 BLOCK_ROWS, TILE_ROWS, LEAST_ROWS = 20_000, 500, 500
 
 
 class Exact:
     """Distances of some pairs of a tile from their differences; `slack`: how far a product may be off."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.x, self.y = x, y
-        self.slack = 1e-6 * float(np.sqrt(max(np.abs(x).max(), np.abs(y).max()) ** 2 * x.shape[1])) if x.size and y.size else 0.0
+    def __init__(self, x: np.ndarray, y: np.ndarray, metric: Metric = EUCLID):
+        self.x, self.y, self.metric = x, y, metric
+        self.slack = 1e-6 * float(np.sqrt(max(np.abs(x).max(), np.abs(y).max()) ** 2 * x.shape[1])) if metric.euclidean and x.size and y.size else 0.0
 
     def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        parts = [np.sqrt(((self.x[i[s : s + 65536]] - self.y[j[s : s + 65536]]) ** 2).sum(1)) for s in range(0, len(i), 65536)]
+        parts = [self.metric.pairs(self.x[i[s : s + 65536]], self.y[j[s : s + 65536]]) for s in range(0, len(i), 65536)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean, by a matrix product."""
-    d = np.einsum("ik,ik->i", a, a)[:, None] + np.einsum("jk,jk->j", b, b)[None, :] - 2 * (a @ b.T)
-    return np.sqrt(np.maximum(d, 0))
-
-
 def blocked(features: DataFrame, reduce: Callable, schema: str, key: str = "obj_id", extra: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """reduce(own, others, distances, exact) -> DataFrame for tiles of each pair of blocks, in both directions.
 
@@ -54,7 +51,7 @@ def blocked(features: DataFrame, reduce: Callable, schema: str, key: str = "obj_
         out = []
         for at in range(0, len(x), TILE_ROWS):
             part = x[at : at + TILE_ROWS]
-            out.append(reduce(a.iloc[at : at + TILE_ROWS], b, distances(part, y), Exact(part, y)))
+            out.append(reduce(a.iloc[at : at + TILE_ROWS], b, EUCLID.tile(part, y), Exact(part, y)))
         return out
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

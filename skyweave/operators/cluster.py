@@ -1,5 +1,7 @@
 """Clustering of feature tables and the naming of clusters."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -8,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.assignment import best_match
+from ..functions.cells import Cells, cells_of, searched, within
 from ..functions.components import components
+from ..functions.metrics import metric_of
 from ..functions.pairs import Exact, blocked
 from ..sources import numbered, stored
 
@@ -53,18 +57,20 @@ def _near(d: np.ndarray, radius: float, exact: Exact) -> np.ndarray:
     return close
 
 
-def neighbour_counts(features: DataFrame, radius: float, key: str = "obj_id") -> DataFrame:
-    """(obj_id, n): how many points lie within a radius, the point itself included."""
+def neighbour_counts(cells: Cells, radius: float) -> DataFrame:
+    """(obj_id, n): how many points lie within a radius (of prepared rows), the point itself included."""
+    key = cells.key
 
     def count(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray, exact: Exact) -> pd.DataFrame:
         return pd.DataFrame({"obj_id": a[key].to_numpy(), "n": _near(d, radius, exact).sum(1) if d.size else np.zeros(0, int)})
 
-    return blocked(features, count, "obj_id long, n long", key).groupBy("obj_id").agg(F.sum("n").alias("n"))
+    return searched(cells, within(cells, radius), count, "obj_id long, n long").groupBy("obj_id").agg(F.sum("n").alias("n"))
 
 
-def core_links(flagged: DataFrame, radius: float, key: str = "obj_id") -> DataFrame:
+def core_links(flagged: Cells, radius: float) -> DataFrame:
     """(a, b, core): links of points within a radius, b being a core point: of core points a spanning forest of each
-    tile, of others one link to each of the forest's trees; never all pairs. flagged has column `core`."""
+    tile, of others one link to each of the forest's trees; never all pairs. The cells have the column `core`."""
+    key = flagged.key
 
     def link(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray, exact: Exact) -> pd.DataFrame:
         out: list[tuple[int, int, bool]] = []
@@ -84,15 +90,17 @@ def core_links(flagged: DataFrame, radius: float, key: str = "obj_id") -> DataFr
             out += [(ids[i], r, False) for r in others[np.unique(up[near[i]])].tolist()]
         return pd.DataFrame(out, columns=["a", "b", "core"]).astype({"a": "int64", "b": "int64", "core": bool})
 
-    return blocked(flagged, link, "a long, b long, core boolean", key, ("core",))
+    return searched(flagged, within(flagged, radius), link, "a long, b long, core boolean")
 
 
-def dbscan(features: DataFrame, eps: float, min_samples: int, key: str = "obj_id") -> DataFrame:
+def dbscan(features: DataFrame, eps: float, min_samples: int, key: str = "obj_id", metric: str = "minkowski", p: float = 2, cell_rows: int | None = None) -> DataFrame:
     """H3: clusters numbered by their least core id; -1 is noise; a border point joins its smallest-numbered cluster."""
-    counts = neighbour_counts(features, eps, key).select(F.col("obj_id").alias(key), (F.col("n") >= min_samples).alias("core"))
-    flagged = stored(features.select(key, "features").join(counts, key), "core")
-    links = stored(core_links(flagged, eps, key), "links")
-    core = flagged.filter("core").select(F.col(key).alias("node"))
+    way = metric_of(metric, p)
+    cells, radius = cells_of(features, way, key, cell_rows=cell_rows), way.inner(eps)
+    counts = neighbour_counts(cells, radius).select(F.col("obj_id").alias(key), (F.col("n") >= min_samples).alias("core"))
+    flagged = replace(cells, table=stored(cells.table.join(counts, key), "core"))
+    links = stored(core_links(flagged, radius), "links")
+    core = flagged.table.filter("core").select(F.col(key).alias("node"))
     parts = core.join(components(links.filter("core").select("a", "b")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     parts = stored(parts, "parts")
     ids = numbered(parts.select("component").distinct(), "component").select("component", F.col("number").cast("int").alias("cluster"))

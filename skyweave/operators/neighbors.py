@@ -5,12 +5,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pairs import Exact, blocked
+from ..functions.cells import BLOCK_ROWS, cells_of, reached, searched
+from ..functions.metrics import metric_of
+from ..functions.pairs import Exact
 from ..sources import numbered, stored
 
 
-def nearest(features: DataFrame, k: int, with_self: bool = False, key: str = "obj_id") -> DataFrame:
-    """G1: (obj_id, nb_id, dist, rank): exact k nearest by (distance, id)."""
+def nearest(features: DataFrame, k: int, with_self: bool = False, key: str = "obj_id", metric: str = "minkowski", p: float = 2, cell_rows: int | None = None) -> DataFrame:
+    """G1: (obj_id, nb_id, dist, rank): exact k nearest by (distance, id).
+
+    Each row looks through its own cell first; how far its k-th there is bounds which other cells it is sent to."""
+    way = metric_of(metric, p)
+    cells = cells_of(features, way, key, cell_rows=cell_rows)
 
     def top(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray, exact: Exact) -> pd.DataFrame:
         ids, others = a[key].to_numpy(), b[key].to_numpy()
@@ -20,12 +26,26 @@ def nearest(features: DataFrame, k: int, with_self: bool = False, key: str = "ob
         n = min(k, d.shape[1])
         limit = np.partition(d, n - 1, axis=1)[:, n - 1]
         i, j = np.nonzero((d <= limit[:, None] + 2 * exact.slack) & np.isfinite(d))
-        got = pd.DataFrame({"obj_id": ids[i], "nb_id": others[j], "dist": exact(i, j)}).sort_values(["obj_id", "dist", "nb_id"])
-        return got[got.groupby("obj_id").cumcount() < k]
-
-    found = blocked(features, top, "obj_id long, nb_id long, dist double", key)
+        dist = exact(i, j) if exact.slack else d[i, j]
+        order = np.lexsort((others[j], dist, i))
+        i, j, dist = i[order], j[order], dist[order]
+        first = np.searchsorted(i, np.arange(len(ids)))
+        keep = np.arange(len(i)) - first[i] < k
+        return pd.DataFrame({"obj_id": ids[i[keep]], "nb_id": others[j[keep]], "dist": dist[keep]})
+
+    schema = "obj_id long, nb_id long, dist double"
+    found = searched(cells, cells.table.withColumn("to", F.array("cell")), top, schema)
+    if len(cells.pivots) > 1:
+        found = stored(found, "own-cell")
+        far = found.groupBy(F.col("obj_id").alias(key)).agg(F.when(F.count("*") >= k, F.max("dist")).alias("reach"))
+        if cells.size.max() > BLOCK_ROWS:  # several blocks of a cell have each given k
+            best = found.withColumn("rank", F.row_number().over(Window.partitionBy("obj_id").orderBy("dist", "nb_id")))
+            far = best.filter(F.col("rank") == k).select(F.col("obj_id").alias(key), F.col("dist").alias("reach"))
+        queries = cells.table.join(far, key, "left").select(*cells.table.columns, "reach")
+        found = found.unionByName(searched(cells, reached(cells, queries, k, others=True), top, schema))
     rank = F.row_number().over(Window.partitionBy("obj_id").orderBy("dist", "nb_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return ranked.withColumn("dist", way.shown(F.col("dist")))
 
 
 def knee_curve(features: DataFrame, k: int, key: str = "obj_id") -> DataFrame:
@@ -33,18 +53,18 @@ def knee_curve(features: DataFrame, k: int, key: str = "obj_id") -> DataFrame:
     return nearest(features, k, True, key).groupBy("obj_id").agg(F.avg("dist").alias("mean_dist"))
 
 
-def lof_of(neighbours: DataFrame) -> DataFrame:
-    """Local Outlier Factor of a table of (obj_id, nb_id, dist)."""
-    kdist = neighbours.groupBy("obj_id").agg(F.max("dist").alias("kdist"))
-    reach = neighbours.join(kdist.select(F.col("obj_id").alias("nb_id"), "kdist"), "nb_id")
-    lrd = reach.groupBy("obj_id").agg((1 / (F.avg(F.greatest("kdist", "dist")) + 1e-10)).alias("lrd"))
-    around = neighbours.join(lrd.select(F.col("obj_id").alias("nb_id"), F.col("lrd").alias("nb_lrd")), "nb_id").groupBy("obj_id").agg(F.avg("nb_lrd").alias("nb_lrd"))
-    return around.join(lrd, "obj_id").select("obj_id", (F.col("nb_lrd") / F.col("lrd")).alias("lof"))
+def lof_of(neighbours: DataFrame, *settings: str) -> DataFrame:
+    """Local Outlier Factor of a table of (obj_id, nb_id, dist); of each setting by itself, if columns of such are named."""
+    kdist = neighbours.groupBy(*settings, "obj_id").agg(F.max("dist").alias("kdist"))
+    reach = neighbours.join(kdist.select(*settings, F.col("obj_id").alias("nb_id"), "kdist"), [*settings, "nb_id"])
+    lrd = reach.groupBy(*settings, "obj_id").agg((1 / (F.avg(F.greatest("kdist", "dist")) + 1e-10)).alias("lrd"))
+    around = neighbours.join(lrd.select(*settings, F.col("obj_id").alias("nb_id"), F.col("lrd").alias("nb_lrd")), [*settings, "nb_id"]).groupBy(*settings, "obj_id").agg(F.avg("nb_lrd").alias("nb_lrd"))
+    return around.join(lrd, [*settings, "obj_id"]).select(*settings, "obj_id", (F.col("nb_lrd") / F.col("lrd")).alias("lof"))
 
 
-def local_outlier_factor(features: DataFrame, k: int = 20, key: str = "obj_id") -> DataFrame:
+def local_outlier_factor(features: DataFrame, k: int = 20, key: str = "obj_id", metric: str = "minkowski", p: float = 2) -> DataFrame:
     """G2 (Breunig 2000), self excluded."""
-    return lof_of(nearest(features, k, key=key))
+    return lof_of(nearest(features, k, key=key, metric=metric, p=p))
 
 
 def contaminated(scores: DataFrame, share: float) -> DataFrame:
@@ -102,16 +122,21 @@ def labelled_scores(scores: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def rare_class_scores(settings: DataFrame, labels: DataFrame, rare: list) -> DataFrame:
-    """Mean score of each rare class for each scan setting; settings has (setting, obj_id, lof)."""
-    return settings.join(labels.filter(F.col("label").isin(rare)), "obj_id").groupBy("setting", "label").agg(F.avg("lof").alias("mean_lof"))
+    """Mean score of each rare class for each scan setting; settings has (setting, ..., obj_id, lof)."""
+    kinds = [c for c in settings.columns if c not in ("obj_id", "lof")]
+    return settings.join(labels.filter(F.col("label").isin(rare)), "obj_id").groupBy(*kinds, "label").agg(F.avg("lof").alias("mean_lof"))
+
 
+def scan_neighbours(features: DataFrame, ks: list[int], metrics: list[tuple[str, float | None]] = [("minkowski", 2)], key: str = "obj_id") -> DataFrame:
+    """(setting, metric, p, obj_id, lof) for numbers of neighbours and metrics (name, p; p for `minkowski` alone).
 
-def scan_neighbours(features: DataFrame, ks: list[int], key: str = "obj_id") -> DataFrame:
-    """(setting, obj_id, lof) for several numbers of neighbours; the largest number's neighbours serve all."""
-    near = stored(nearest(features, max(ks), key=key), "neighbours")
+    Of each metric the largest number's neighbours serve all. The loop is over metrics; one join serves all numbers."""
     out = None
-    for k in ks:
-        one = lof_of(near.filter(F.col("rank") <= k)).select(F.lit(k).alias("setting"), "obj_id", "lof")
+    numbers = F.array(*map(F.lit, sorted(ks)))
+    for metric, p in metrics:
+        near = stored(nearest(features, max(ks), key=key, metric=metric, p=p or 2), "neighbours")
+        each = near.withColumn("setting", F.explode(F.filter(numbers, lambda k: k >= F.col("rank"))))
+        one = lof_of(each, "setting").select("setting", F.lit(metric).alias("metric"), F.lit(p).cast("double").alias("p"), "obj_id", "lof")
         out = one if out is None else out.unionByName(one)
     return out
 

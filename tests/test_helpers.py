@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyweave.functions import assignment, periodogram, series
+from skyweave.functions.cells import cells_of
+from skyweave.functions.metrics import metric_of
 from skyweave.operators import clean, cluster, features, neighbors, represent, timeaxis
 
 RNG = np.random.default_rng(1)
@@ -77,9 +79,10 @@ def test_lof_and_dbscan_by_blocks(spark, monkeypatch):
     for i in range(len(x)):
         assert whole[i] == pytest.approx(np.mean(lrd[near[i]]) / lrd[i])
     assert max(whole, key=whole.get) == 70
-    import skyweave.functions.pairs as pairs
+    from skyweave.functions import cells
 
-    monkeypatch.setattr(pairs.blocked, "__defaults__", ("obj_id", (), 20))  # four blocks give the same
+    for small in ("BLOCK_ROWS", "LEAST_ROWS", "CELL_ROWS"):  # many cells, of several blocks, give the same
+        monkeypatch.setattr(cells, small, 9)
     assert {r.obj_id: pytest.approx(r.lof) for r in neighbors.local_outlier_factor(table, 5).collect()} == whole
     found = {r.obj_id: r.cluster for r in cluster.dbscan(table, 0.5, 4).collect()}
     assert found == {i: 0 if i < 40 else 1 if i < 70 else -1 for i in range(71)}
@@ -307,7 +310,8 @@ def test_mixtures_scans_and_two_passes(spark, monkeypatch):
 def test_dense_regions_make_no_pairs(spark):
     """Links of core points are forests: at most a row for each point of the tile and of the block."""
     table = frame(spark, RNG.normal(0, 0.01, (300, 2))).withColumn("core", F.lit(True))
-    assert cluster.core_links(table, 1.0).count() <= 600 and {r.cluster for r in cluster.dbscan(table.drop("core"), 1.0, 5).collect()} == {0}
+    cells = cells_of(table, metric_of(), extra=("core",))
+    assert cluster.core_links(cells, 1.0).count() <= 600 and {r.cluster for r in cluster.dbscan(table.drop("core"), 1.0, 5).collect()} == {0}
 
 
 def test_lof_by_feature_over_chunks(spark):
