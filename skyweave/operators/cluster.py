@@ -14,6 +14,7 @@ from ..functions.cells import Cells, cells_of, searched, within
 from ..functions.components import components
 from ..functions.metrics import metric_of
 from ..functions.pairs import Exact, blocked
+from ..functions.quantiles import quantiles
 from ..sources import numbered, stored
 
 UNCLASSIFIED = "UNCLASSIFIED"
@@ -112,9 +113,10 @@ def dbscan(features: DataFrame, eps: float, min_samples: int, key: str = "obj_id
 
 def centres(features: DataFrame, clusters: DataFrame, method: str = "median", key: str = "obj_id") -> DataFrame:
     """H6: (cluster, dim, centre)."""
-    f = F.median if method == "median" else F.avg
     rows = features.join(clusters, key).select("cluster", F.posexplode("features").alias("dim", "x"))
-    return rows.groupBy("cluster", "dim").agg(f("x").alias("centre"))
+    if method == "median":
+        return quantiles(rows, ["cluster", "dim"], "x", [0.5]).select("cluster", "dim", F.col("quantiles")[0].alias("centre"))
+    return rows.groupBy("cluster", "dim").agg(F.avg("x").alias("centre"))
 
 
 def centre_distance(features: DataFrame, clusters: DataFrame, method: str = "median", key: str = "obj_id") -> DataFrame:
@@ -126,7 +128,8 @@ def centre_distance(features: DataFrame, clusters: DataFrame, method: str = "med
 
 def core_members(distances: DataFrame, t_std: float) -> DataFrame:
     """H7: members within median + t_std * deviation of their cluster."""
-    limit = distances.groupBy("cluster").agg((F.median("sq_dist") + t_std * F.stddev_pop("sq_dist")).alias("threshold"))
+    middle = quantiles(distances, ["cluster"], "sq_dist", [0.5])
+    limit = distances.groupBy("cluster").agg(F.stddev_pop("sq_dist").alias("spread")).join(middle, "cluster").select("cluster", (F.col("quantiles")[0] + t_std * F.col("spread")).alias("threshold"))
     return distances.join(F.broadcast(limit), "cluster").withColumn("is_core", (F.col("sq_dist") <= F.col("threshold")).cast("int"))
 
 
@@ -226,17 +229,6 @@ def mixture_scan(features: DataFrame, components: list[int], seed: int = 0, key:
     return out
 
 
-def dbscan_scan(features: DataFrame, eps: list[float], min_samples: list[int], key: str = "obj_id") -> DataFrame:
-    """H5: cluster and noise counts for a grid. The loop is over settings; no setting keeps pairs for the next."""
-    out = None
-    for e in eps:
-        for m in min_samples:
-            row = dbscan(features, e, m, key).agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("clusters"), F.count_if(F.col("cluster") < 0).alias("noise"))
-            row = row.select(F.lit(float(e)).alias("eps"), F.lit(m).alias("min_samples"), "clusters", "noise")
-            out = row if out is None else out.unionByName(row)
-    return out
-
-
 def two_pass(features: DataFrame, parts: DataFrame, labels: DataFrame, k: int, t_std: float, key: str = "obj_id") -> DataFrame:
     """Objects of low and of high error are clustered and named apart, then put together."""
     out = None

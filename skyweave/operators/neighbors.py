@@ -5,18 +5,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import BLOCK_ROWS, cells_of, reached, searched
+from ..functions.cells import BLOCK_ROWS, Cells, cells_of, reached, searched
 from ..functions.metrics import metric_of
 from ..functions.pairs import Exact
+from ..functions.quantiles import quantiles
 from ..sources import numbered, stored
 
 
 def nearest(features: DataFrame, k: int, with_self: bool = False, key: str = "obj_id", metric: str = "minkowski", p: float = 2, cell_rows: int | None = None) -> DataFrame:
-    """G1: (obj_id, nb_id, dist, rank): exact k nearest by (distance, id).
-
-    Each row looks through its own cell first; how far its k-th there is bounds which other cells it is sent to."""
+    """G1: (obj_id, nb_id, dist, rank): exact k nearest by (distance, id)."""
     way = metric_of(metric, p)
-    cells = cells_of(features, way, key, cell_rows=cell_rows)
+    found = nearest_in(cells_of(features, way, key, cell_rows=cell_rows), k, with_self)
+    return found.withColumn("dist", way.shown(F.col("dist")))
+
+
+def nearest_in(cells: Cells, k: int, with_self: bool = False) -> DataFrame:
+    """G1 by distances of prepared rows. Each row looks through its own cell first; how far its k-th there is bounds which
+    other cells it is sent to."""
+    key = cells.key
 
     def top(a: pd.DataFrame, b: pd.DataFrame, d: np.ndarray, exact: Exact) -> pd.DataFrame:
         ids, others = a[key].to_numpy(), b[key].to_numpy()
@@ -44,8 +50,7 @@ def nearest(features: DataFrame, k: int, with_self: bool = False, key: str = "ob
         queries = cells.table.join(far, key, "left").select(*cells.table.columns, "reach")
         found = found.unionByName(searched(cells, reached(cells, queries, k, others=True), top, schema))
     rank = F.row_number().over(Window.partitionBy("obj_id").orderBy("dist", "nb_id"))
-    ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k)
-    return ranked.withColumn("dist", way.shown(F.col("dist")))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def knee_curve(features: DataFrame, k: int, key: str = "obj_id") -> DataFrame:
@@ -69,7 +74,8 @@ def local_outlier_factor(features: DataFrame, k: int = 20, key: str = "obj_id",
 
 def contaminated(scores: DataFrame, share: float) -> DataFrame:
     """Objects at or above the score that a share of all exceeds."""
-    cut = scores.agg(F.percentile("lof", 1 - share).alias("cut"))
+    scores = stored(scores, "scores")
+    cut = quantiles(scores, [], "lof", [1 - share]).select(F.col("quantiles")[0].alias("cut"))
     return scores.join(F.broadcast(cut)).filter("lof >= cut").drop("cut")
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+
 LEAST_SPREAD = 1e-8
 
 
@@ -47,7 +49,9 @@ def min_max(lc: DataFrame, low: float = 0.0, high: float = 1.0, key: str = "obj_
 
 def robust_columns(table: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / interquartile range."""
-    quarters = table.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns))
+    values = table.select(F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("at", "x"))
+    found = quantiles(values, ["at"], "x", [0.25, 0.5, 0.75])  # a row a column
+    quarters = found.agg(*(F.max(F.when(F.col("at") == i, F.col("quantiles"))).alias(f"_q_{c}") for i, c in enumerate(columns)))
     joined = table.crossJoin(F.broadcast(quarters))
     out = (F.try_divide(F.col(c) - F.col(f"_q_{c}")[1], F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0]).alias(c) for c in columns)
     return joined.select(*(c for c in table.columns if c not in columns), *out)

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..sources import numbered, stored
 
 
@@ -122,7 +123,7 @@ def ends_of_error(errors: DataFrame, n: int, powers: tuple[int, ...] = (1, 2, 3,
 def split_by_error(errors: DataFrame, share: float = 0.5, power: int = 3, key: str = "obj_id") -> DataFrame:
     """part low or high: the boundary is a percentile, so no global ranking is needed."""
     own = errors.filter(F.col("power") == power).select(key, "error")
-    cut = own.agg(F.percentile("error", share).alias("cut"))
+    cut = quantiles(own, [], "error", [share]).select(F.col("quantiles")[0].alias("cut"))
     return own.join(F.broadcast(cut)).select(key, "error", F.when(F.col("error") <= F.col("cut"), "low").otherwise("high").alias("part"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, features, neighbors, represent
+from ..operators import cluster, features, hierarchy, neighbors, represent
 from ..sources import stored
 from . import views as v
 from .registry import Registry, rounded
@@ -137,6 +137,36 @@ def g2(spark, d):
     return rounded(neighbors.local_outlier_factor(vectors(spark, d)), "lof")
 
 
+_A, _B = "a.features[k]", "b.features[k]"
+_SUM = lambda x: f"list_sum(list_transform(range(1, len(a.features) + 1), lambda k: {x}))"
+#: Distances of a and b by their formulas, by name.
+DISTANCES = {
+    "euclidean": f"sqrt({_SUM(f'({_A} - {_B}) ** 2')})",
+    "cityblock": _SUM(f"abs({_A} - {_B})"),
+    "chebyshev": _SUM(f"abs({_A} - {_B})").replace("list_sum", "list_max"),
+    "canberra": _SUM(f"coalesce(abs({_A} - {_B}) / nullif(abs({_A}) + abs({_B}), 0), 0)"),
+    "cosine": f"1 - {_SUM(f'{_A} * {_B}')} / sqrt({_SUM(f'{_A} ** 2')} * {_SUM(f'{_B} ** 2')})",
+    "braycurtis": f"{_SUM(f'abs({_A} - {_B})')} / {_SUM(f'abs({_A} + {_B})')}",
+    "minkowski": f"({_SUM(f'abs({_A} - {_B}) ** 4')}) ** 0.25",
+}
+KINDS = ("cityblock", "chebyshev", "cosine", "canberra")
+
+
+def kinds_sql(names: tuple[str, ...], k: int) -> str:
+    """pr: all pairs under each metric; nn: the k nearest."""
+    pairs = " UNION ALL ".join(f"SELECT '{m}' AS metric, a.obj_id, b.obj_id AS nb_id, {DISTANCES[m]} AS dist FROM f a, f b" for m in names)
+    return f"{v.FEATURES}, pr AS ({pairs}), nn AS (SELECT * FROM pr WHERE obj_id <> nb_id QUALIFY row_number() OVER (PARTITION BY metric, obj_id ORDER BY dist, nb_id) <= {k})"
+
+
+LOF_OF_KINDS = LOF.replace("SELECT obj_id, max", "SELECT metric, obj_id, max").replace("GROUP BY 1)", "GROUP BY 1, 2)").replace("SELECT nn.obj_id", "SELECT nn.metric, nn.obj_id").replace("= nn.nb_id", "= nn.nb_id AND KIND.metric = nn.metric").replace("a.obj_id = nn.obj_id", "a.obj_id = nn.obj_id AND a.metric = nn.metric").replace("kd ON kd.obj_id = nn.nb_id AND KIND", "kd ON kd.obj_id = nn.nb_id AND kd").replace("KIND", "b")
+
+
+@query("g2_lof_metrics", f"WITH {kinds_sql(KINDS, 20)}, {LOF_OF_KINDS} SELECT metric, obj_id, {R('lof', 'lof')} FROM lf")
+def g2_metrics(spark, d):
+    table = neighbors.scan_neighbours(vectors(spark, d), [20], [(m, None) for m in KINDS])
+    return rounded(table.select("metric", "obj_id", "lof"), "lof")
+
+
 @query("g2_contaminated", f"WITH {NN}, {LOF} SELECT obj_id, {R('lof', 'lof')} FROM lf WHERE lf.lof >= (SELECT quantile_cont(lof, 0.95) FROM lf)")
 def g2_cut(spark, d):
     return rounded(neighbors.contaminated(neighbors.local_outlier_factor(vectors(spark, d)), 0.05), "lof")
@@ -160,15 +190,15 @@ def g5(spark, d):
 
 
 def lof_sql(k: int) -> str:
-    """LOF of k neighbours, as setting k."""
-    near = f"(SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY dist, nb_id) <= {k})"
-    reach = f"(SELECT n.obj_id, 1 / (avg(greatest(kdist, dist)) + 1e-10) AS lrd FROM {near} n JOIN (SELECT obj_id, max(dist) AS kdist FROM {near} GROUP BY 1) k ON k.obj_id = n.nb_id GROUP BY 1)"
-    return f"SELECT {k} AS setting, n.obj_id, avg(b.lrd) / any_value(a.lrd) AS lof FROM {near} n JOIN {reach} b ON b.obj_id = n.nb_id JOIN {reach} a ON a.obj_id = n.obj_id GROUP BY n.obj_id"
+    """LOF of k neighbours, as setting k, for each metric."""
+    near = f"(SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY metric, obj_id ORDER BY dist, nb_id) <= {k})"
+    reach = f"(SELECT n.metric, n.obj_id, 1 / (avg(greatest(kdist, dist)) + 1e-10) AS lrd FROM {near} n JOIN (SELECT metric, obj_id, max(dist) AS kdist FROM {near} GROUP BY 1, 2) k ON k.obj_id = n.nb_id AND k.metric = n.metric GROUP BY 1, 2)"
+    return f"SELECT {k} AS setting, n.metric, n.obj_id, avg(b.lrd) / any_value(a.lrd) AS lof FROM {near} n JOIN {reach} b ON b.obj_id = n.nb_id AND b.metric = n.metric JOIN {reach} a ON a.obj_id = n.obj_id AND a.metric = n.metric GROUP BY n.metric, n.obj_id"
 
 
-@query("g6_rare_classes", f"WITH {NN}, s AS ({' UNION ALL '.join(map(lof_sql, (5, 10, 20)))}) SELECT CAST(setting AS INTEGER) AS setting, label, round(avg(lof), 6) + 0.0 AS mean_lof FROM s JOIN f USING (obj_id) WHERE label IN ('1', '7') GROUP BY 1, 2")
+@query("g6_rare_classes", f"WITH {kinds_sql(('euclidean', 'minkowski', 'braycurtis'), 20)}, s AS ({' UNION ALL '.join(map(lof_sql, (5, 10, 20)))}) SELECT CAST(setting AS INTEGER) AS setting, CASE metric WHEN 'braycurtis' THEN metric ELSE 'minkowski' END AS metric, CASE metric WHEN 'euclidean' THEN 2.0 WHEN 'minkowski' THEN 4.0 END AS p, label, round(avg(lof), 6) + 0.0 AS mean_lof FROM s JOIN f USING (obj_id) WHERE label IN ('1', '7') GROUP BY 1, 2, 3, 4")
 def g6(spark, d):
-    table = neighbors.scan_neighbours(vectors(spark, d), [5, 10, 20])
+    table = neighbors.scan_neighbours(vectors(spark, d), [5, 10, 20], [("minkowski", 2.0), ("minkowski", 4.0), ("braycurtis", None)])
     return rounded(neighbors.rare_class_scores(table, names(spark, d), ["1", "7"]), "mean_lof")
 
 
@@ -206,16 +236,58 @@ def h2(spark, d):
 EPS, LEAST = 0.85, 4
 
 
-@query("h3_dbscan", f"""WITH RECURSIVE {PAIRS}, ep AS (SELECT * FROM pr WHERE dist <= {EPS}), co AS (SELECT obj_id FROM ep GROUP BY 1 HAVING count(*) >= {LEAST}),
+def dbscan_sql(pairs: str, eps: float, least: int) -> str:
+    """lb: the clusters of pairs (obj_id, nb_id, dist) that stand in the table named."""
+    return f"""ep AS (SELECT * FROM {pairs} WHERE dist <= {eps}), co AS (SELECT obj_id FROM ep GROUP BY 1 HAVING count(*) >= {least}),
  cl AS (SELECT obj_id AS a, nb_id AS b FROM ep WHERE obj_id IN (FROM co) AND nb_id IN (FROM co)),
  re AS (SELECT a, b FROM cl UNION SELECT re.a, cl.b FROM re JOIN cl ON re.b = cl.a), ro AS (SELECT a AS obj_id, min(b) AS root FROM re GROUP BY 1),
  nr AS (SELECT obj_id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS cluster FROM ro),
- bo AS (SELECT ep.obj_id, min(cluster) AS near FROM ep JOIN nr ON nr.obj_id = ep.nb_id GROUP BY 1)
- SELECT f.obj_id, coalesce(nr.cluster, near, -1) AS cluster FROM f LEFT JOIN nr USING (obj_id) LEFT JOIN bo USING (obj_id)""")
+ bo AS (SELECT ep.obj_id, min(cluster) AS near FROM ep JOIN nr ON nr.obj_id = ep.nb_id GROUP BY 1),
+ lb AS (SELECT f.obj_id, coalesce(nr.cluster, near, -1) AS cluster FROM f LEFT JOIN nr USING (obj_id) LEFT JOIN bo USING (obj_id))"""
+
+
+@query("h3_dbscan", f"WITH RECURSIVE {PAIRS}, {dbscan_sql('pr', EPS, LEAST)} FROM lb")
 def h3(spark, d):
     return cluster.dbscan(vectors(spark, d), EPS, LEAST)
 
 
+#: Radii and numbers of the runs of DBSCAN under other metrics.
+RUNS = (("cityblock", 6.9, 3), ("cosine", 0.6, 3), ("braycurtis", 0.62, 3))
+
+
+@query("h3_dbscan_metrics", " UNION ALL ".join(f"SELECT '{m}' AS metric, * FROM (WITH RECURSIVE {v.FEATURES}, pr AS (SELECT a.obj_id, b.obj_id AS nb_id, CASE WHEN a.obj_id = b.obj_id THEN 0 ELSE {DISTANCES[m]} END AS dist FROM f a, f b), {dbscan_sql('pr', eps, least)} FROM lb)" for m, eps, least in RUNS))
+def h3_metrics(spark, d):
+    out = None
+    for m, eps, least in RUNS:
+        own = cluster.dbscan(vectors(spark, d), eps, least, metric=m).select(F.lit(m).alias("metric"), "obj_id", "cluster")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+NEAREST = 5
+REACH = f"{PAIRS}, cd AS (SELECT obj_id, max(dist) AS core FROM (SELECT * FROM pr WHERE obj_id <> nb_id QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY dist, nb_id) <= {NEAREST}) GROUP BY 1)"
+
+
+@query("h3_core_distances", f"WITH {REACH} SELECT obj_id, {R('core', 'core')} FROM cd")
+def h3_core(spark, d):
+    return rounded(hierarchy.core_distances(neighbors.nearest(vectors(spark, d), NEAREST), NEAREST), "core")
+
+
+# Prim's way: the object nearest to the tree joins it, and the others learn how far they are from it.
+@query("h3_tree_weight", f"""WITH RECURSIVE {REACH}, mr AS MATERIALIZED (SELECT pr.obj_id, nb_id, greatest(dist, a.core, b.core) AS w FROM pr JOIN cd a ON a.obj_id = pr.obj_id JOIN cd b ON b.obj_id = nb_id WHERE pr.obj_id <> nb_id),
+ t AS (SELECT 0 AS step, nb_id AS id, w AS far FROM mr WHERE obj_id = (SELECT min(obj_id) FROM f)
+  UNION ALL SELECT step + 1, id, least(far, w) FROM (SELECT step, id, far, arg_min(id, far) OVER () AS joins FROM t) x JOIN mr ON mr.obj_id = x.joins AND mr.nb_id = x.id WHERE id <> joins)
+ SELECT count(*) AS edges, round(sum(far), 6) + 0.0 AS weight FROM (SELECT step, min(far) AS far FROM t GROUP BY 1)""")
+def h3_tree(spark, d):
+    tree = hierarchy.spanning_tree(*hierarchy.reachability_cells(vectors(spark, d), NEAREST))
+    return rounded(tree.agg(F.count("*").alias("edges"), F.sum("weight").alias("weight")), "weight")
+
+
+@query("h3_hdbscan")
+def h3_hdbscan(spark, d):
+    return hierarchy.hdbscan(represent.pca(vectors(spark, d), 3), 10, 5)
+
+
 CL = "c AS (SELECT obj_id, CAST(label AS INTEGER) AS cluster FROM f)"
 
 
@@ -242,9 +314,17 @@ def h5(spark, d):
     return rounded(cluster.mixture_scan(represent.pca(vectors(spark, d), 3), [2, 3]), "silhouette", "calinski_harabasz", "davies_bouldin", digits=4)
 
 
-@query("h5_dbscan_scan")
+RADII, SAMPLES = (0.85, 1.1, 1.15), (2, 4)
+
+
+@query("h5_dbscan_scan", f"WITH RECURSIVE {PAIRS} SELECT eps, min_samples, CAST(count(DISTINCT cluster) FILTER (cluster >= 0) AS BIGINT) AS clusters, count(*) FILTER (cluster < 0) AS noise FROM (" + " UNION ALL ".join(f"(WITH RECURSIVE {dbscan_sql('pr', e, m)} SELECT CAST({e} AS DOUBLE) AS eps, {m} AS min_samples, cluster FROM lb)" for e in RADII for m in SAMPLES) + ") GROUP BY 1, 2")
 def h5_dbscan(spark, d):
-    return cluster.dbscan_scan(represent.pca(vectors(spark, d), 3), [0.05, 0.1], [4, 8])
+    return hierarchy.dbscan_scan(vectors(spark, d), list(RADII), list(SAMPLES))
+
+
+@query("h5_hdbscan_scan")
+def h5_hdbscan(spark, d):
+    return hierarchy.hdbscan_scan(represent.pca(vectors(spark, d), 3), [5, 15], [5])
 
 
 DIST = f"{v.LONG}, {CL}, {CENTRES}, di AS (SELECT obj_id, cluster, sum((x - md) ** 2) AS sq_dist FROM fl JOIN c USING (obj_id) JOIN ce USING (cluster, dim) GROUP BY 1, 2)"
