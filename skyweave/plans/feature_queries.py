@@ -1,8 +1,9 @@
 """Queries on feature tables: features, representation, neighbours, clusters."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import cluster, features, hierarchy, neighbors, represent
+from ..operators import cluster, features, hierarchy, neighbors, networks, represent
 from ..sources import stored
 from . import views as v
 from .registry import Registry, rounded
@@ -83,6 +84,28 @@ def f4(spark, d):
     return rounded(represent.ends_of_error(errors(spark, d), 5), "error", digits=9)
 
 
+def rule_network() -> list[networks.Layer]:
+    """64 numbers to 3 and back, with weights that SQL can write too."""
+    j, k = np.arange(64)[:, None], np.arange(3)[None, :]
+    return [networks.Layer("dense", "tanh", 1, np.sin(3 * j + k), np.arange(3) / 10), networks.Layer("dense", "linear", 1, np.cos(3 * j + k).T)]
+
+
+@query("f3_network", f"""WITH {v.FEATURES}, z AS (SELECT obj_id, features, list_transform(range(3), lambda k: tanh(k / 10.0 + list_sum(list_transform(range(64), lambda j: features[j + 1] * sin(3 * j + k))))) AS z FROM f),
+ o AS (SELECT obj_id, z, list_avg(list_transform(range(64), lambda j: abs(features[j + 1] - z[1] * cos(3 * j) - z[2] * cos(3 * j + 1) - z[3] * cos(3 * j + 2)))) AS error FROM z)
+ SELECT obj_id, {R('z[1]', 'z1')}, {R('z[2]', 'z2')}, {R('z[3]', 'z3')}, {R('error', 'error')} FROM o""")
+def f3_network(spark, d):
+    out = networks.run_network(vectors(spark, d), networks.layers_of(networks.network_table(spark, rule_network())), 1)
+    error = represent.reconstruction_error(out, (1,)).select("obj_id", "error")
+    return rounded(out.select("obj_id", *(F.col("bottleneck")[k].alias(f"z{k + 1}") for k in range(3))).join(error, "obj_id"), "z1", "z2", "z3", "error")
+
+
+@query("f3_learned_bottleneck")
+def f3_learned(spark, d):
+    table = stored(vectors(spark, d), "vectors")
+    layers = networks.train(table, networks.dense_autoencoder(64, [16, 4]), rounds=5)
+    return networks.run_network(table, layers, 2).select("obj_id", F.transform("bottleneck", lambda x: F.round(x, 4)).alias("bottleneck"))
+
+
 HALF = f"{v.FEATURES}, h AS (SELECT obj_id, unnest(features) AS x FROM f), er AS (SELECT obj_id, avg(abs(x - x / 2) ** p) AS error, CAST(p AS INTEGER) AS power FROM h, range(1, 6) r(p) GROUP BY obj_id, p)"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skyweave.functions import assignment, periodogram, series
 from skyweave.functions.cells import cells_of
 from skyweave.functions.metrics import metric_of
-from skyweave.operators import clean, cluster, features, neighbors, represent, timeaxis
+from skyweave.operators import clean, cluster, features, hierarchy, neighbors, represent, timeaxis
 
 RNG = np.random.default_rng(1)
 
@@ -283,7 +283,7 @@ def test_mixtures_scans_and_two_passes(spark, monkeypatch):
     scatter = [np.sqrt(((x[true == k] - means[k]) ** 2).sum(1)).mean() for k in range(3)]
     db = np.mean([max((scatter[i] + scatter[j]) / np.linalg.norm(means[i] - means[j]) for j in range(3) if j != i) for i in range(3)])
     assert (row.clusters, row.silhouette, row.calinski_harabasz, row.davies_bouldin) == (3, pytest.approx(((b - a) / np.maximum(a, b)).mean()), pytest.approx(ch), pytest.approx(db))
-    scan = {(r.eps, r.min_samples): (r.clusters, r.noise) for r in cluster.dbscan_scan(table, [0.01, 1.5], [4, 200]).collect()}
+    scan = {(r.eps, r.min_samples): (r.clusters, r.noise) for r in hierarchy.dbscan_scan(table, [0.01, 1.5], [4, 200]).collect()}
     assert scan == {(0.01, 4): (0, 120), (0.01, 200): (0, 120), (1.5, 4): (3, 0), (1.5, 200): (0, 120)}
     rows = [(i, "low" if i % 2 else "high", "abc"[t]) for i, t in enumerate(true.tolist())]
     tagged = spark.createDataFrame(rows, "obj_id long, part string, label string")
