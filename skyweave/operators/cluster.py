@@ -4,7 +4,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from ..functions.metrics import metric_of
 from ..functions.pairs import Exact, blocked
 from ..functions.quantiles import quantiles
 from ..sources import numbered, stored
+from .mixture import assigned, fitted
 
 UNCLASSIFIED = "UNCLASSIFIED"
 
@@ -46,8 +47,9 @@ def lloyd(features: DataFrame, centres: list[list[float]], steps: int, key: str
 
 
 def gaussian_mixture(features: DataFrame, k: int = 100, seed: int = 0, key: str = "obj_id") -> DataFrame:
-    """H2."""
-    return _fit(GaussianMixture(k=k, seed=seed, featuresCol="v", predictionCol="cluster"), features, key)
+    """H2: full covariances; the start hangs on ids and the seed, not on how the rows lie."""
+    table = stored(features.select(key, "features"), "vectors")
+    return assigned(table, fitted(table, k, seed, key), key)
 
 
 def _near(d: np.ndarray, radius: float, exact: Exact) -> np.ndarray:

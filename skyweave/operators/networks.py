@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import stacked
+from ..functions.sums import summed
 
 #: kind: dense, conv (padding same), norm, pool (max), mean_pool, upsample, flatten, reshape; size: stride of a convolution,
 #: width of a pool, times of upsampling, channels of reshape; shape: of the weights, (inputs, outputs) of a dense layer,
@@ -24,8 +24,8 @@ SCHEMA = "layer int, kind string, activation string, size int, shape array<int>,
 #: Fixed slope and scale of selu.
 ALPHA, SCALE = 1.6732632423543772, 1.0507009873554805
 NETWORK_BYTES = 64 << 20
-#: Rows at once, numbers of a block of gradients, tasks that meet first.
-BATCH, BLOCK, MEET = 256, 16_384, 32
+#: Rows at once.
+BATCH = 256
 
 
 def _elu(x):
@@ -159,29 +159,18 @@ def gradients(layers: list[Layer], x: np.ndarray) -> tuple[float, np.ndarray]:
     return float((gap * gap).mean(1).sum()), np.concatenate(parts[::-1])
 
 
-def _added(table: pa.Table) -> pa.Table:
-    total = np.sum(np.stack([np.frombuffer(v.as_buffer()) for v in table.column("sums")]), axis=0)
-    return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
-
-
 def loss_and_gradient(features: DataFrame, layers: list[Layer]) -> tuple[float, np.ndarray]:
     """Mean loss over all rows and its gradient: a pass over the table."""
     shared, size = features.sparkSession.sparkContext.broadcast(layers), len(flattened(layers))
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size + 2)
-        for batch in batches:
-            x = stacked(batch.column("features")).astype(float)
-            for at in range(0, len(x), BATCH):
-                loss, gradient = gradients(shared.value, x[at : at + BATCH])
-                total += np.r_[loss, len(x[at : at + BATCH]), gradient]
-        blocks = [total[at : at + BLOCK].tobytes() for at in range(0, len(total), BLOCK)]
-        yield pa.record_batch([pa.array(range(len(blocks)), pa.int32()), pa.array([TaskContext.get().partitionId() % MEET] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], ["block", "part", "sums"])
-
-    rows = features.filter("features is not null").select("features").mapInArrow(sums, "block int, part int, sums binary")
-    first = rows.groupBy("block", "part").applyInArrow(_added, "block int, sums binary")
-    found = first.groupBy("block").applyInArrow(_added, "block int, sums binary").collect()  # the network's size
-    total = np.concatenate([np.frombuffer(r.sums) for r in sorted(found, key=lambda r: r.block)]) if found else np.zeros(size + 2)
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        x, total = stacked(batch.column("features")).astype(float), np.zeros(size + 2)
+        for at in range(0, len(x), BATCH):
+            loss, gradient = gradients(shared.value, x[at : at + BATCH])
+            total += np.r_[loss, len(x[at : at + BATCH]), gradient]
+        return total
+
+    total = summed(features.filter("features is not null").select("features"), part, size + 2)
     n = max(total[1], 1.0)
     return float(total[0] / n), total[2:] / n
 

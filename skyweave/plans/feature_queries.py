@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import cluster, features, hierarchy, neighbors, networks, represent
+from ..operators import cluster, embedding, features, hierarchy, mixture, neighbors, networks, represent
 from ..sources import stored
 from . import views as v
 from .registry import Registry, rounded
@@ -99,6 +99,11 @@ def f3_network(spark, d):
     return rounded(out.select("obj_id", *(F.col("bottleneck")[k].alias(f"z{k + 1}") for k in range(3))).join(error, "obj_id"), "z1", "z2", "z3", "error")
 
 
+@query("f2_map")
+def f2_map(spark, d):
+    return rounded(embedding.embed(vectors(spark, d), 10.0, 8), "y1", "y2", digits=4)
+
+
 @query("f3_learned_bottleneck")
 def f3_learned(spark, d):
     table = stored(vectors(spark, d), "vectors")
@@ -150,6 +155,16 @@ def g1(spark, d):
     return rounded(neighbors.nearest(vectors(spark, d), 5), "dist")
 
 
+# Widths by bisection: at each step the half in which the entropy of an object's shares meets that of the perplexity.
+@query("g1_affinity_widths", f"""WITH RECURSIVE {NN}, sq AS MATERIALIZED (SELECT obj_id, dist ** 2 - min(dist ** 2) OVER (PARTITION BY obj_id) AS d FROM nn),
+ t AS (SELECT 0 AS step, obj_id, CAST(0 AS DOUBLE) AS low, CAST(100000 AS DOUBLE) AS high FROM f
+  UNION ALL SELECT step + 1, t.obj_id, CASE WHEN ln(z) + m * e / z > ln(6) THEN m ELSE low END, CASE WHEN ln(z) + m * e / z > ln(6) THEN high ELSE m END
+   FROM (SELECT t.step, t.obj_id, any_value(low) AS low, any_value(high) AS high, any_value((low + high) / 2) AS m, sum(exp(-(low + high) / 2 * d)) AS z, sum(d * exp(-(low + high) / 2 * d)) AS e FROM t JOIN sq USING (obj_id) GROUP BY 1, 2) t WHERE step < 60)
+ SELECT obj_id, round(low, 4) + 0.0 AS beta FROM t WHERE step = 60""")
+def g1_widths(spark, d):
+    return rounded(embedding.widths(neighbors.nearest(vectors(spark, d), 20), 6.0).select("obj_id", "beta"), "beta", digits=4)
+
+
 @query("g1_knee_curve", f"WITH {PAIRS}, k AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY dist, nb_id) <= 10) SELECT obj_id, {R('avg(dist)', 'mean_dist')} FROM k GROUP BY 1")
 def g1_knee(spark, d):
     return rounded(neighbors.knee_curve(vectors(spark, d), 10), "mean_dist")
@@ -251,6 +266,27 @@ def h1_lloyd(spark, d):
     return cluster.lloyd(table, start, 3)
 
 
+def em_sql(steps: int, k: int) -> str:
+    """Steps on two dimensions from the first k objects, equal weights and round covariances: g0, g1, ... of (c, w, m1, m2, s11, s12, s22)."""
+    out = [f"{v.FEATURES}, x AS (SELECT obj_id, features[1] AS x, features[2] AS y FROM f), g0 AS (SELECT obj_id AS c, 1 / {k} AS w, x AS m1, y AS m2, 0.02 AS s11, 0.0 AS s12, 0.02 AS s22 FROM x WHERE obj_id < {k})"]
+    for s in range(steps):
+        out.append(f"""d{s} AS (SELECT obj_id, x, y, c, w / (2 * pi() * sqrt(s11 * s22 - s12 * s12)) * exp(-0.5 * (s22 * (x - m1) ** 2 - 2 * s12 * (x - m1) * (y - m2) + s11 * (y - m2) ** 2) / (s11 * s22 - s12 * s12)) AS p FROM x, g{s}),
+ r{s} AS (SELECT *, p / sum(p) OVER (PARTITION BY obj_id) AS r FROM d{s}), t{s} AS (SELECT c, sum(r) AS n, sum(r * x) / sum(r) AS m1, sum(r * y) / sum(r) AS m2 FROM r{s} GROUP BY 1),
+ g{s + 1} AS (SELECT c, any_value(n) / (SELECT count(*) FROM x) AS w, any_value(m1) AS m1, any_value(m2) AS m2, sum(r * (x - m1) ** 2) / any_value(n) + 1e-6 AS s11, sum(r * (x - m1) * (y - m2)) / any_value(n) AS s12, sum(r * (y - m2) ** 2) / any_value(n) + 1e-6 AS s22 FROM r{s} JOIN t{s} USING (c) GROUP BY 1)""")
+    return ", ".join(out)
+
+
+@query("h2_steps", f"WITH {em_sql(3, 3)} SELECT CAST(c AS INTEGER) AS component, {R('w', 'weight')}, {R('m1', 'm1')}, {R('m2', 'm2')}, {R('s11', 's11')}, {R('s12', 's12')}, {R('s22', 's22')} FROM g3")
+def h2_steps(spark, d):
+    table = stored(vectors(spark, d).select("obj_id", F.slice("features", 1, 2).alias("features")), "vectors")
+    means = np.array([r.features for r in table.filter("obj_id < 3").orderBy("obj_id").collect()])
+    model = mixture.Mixture(np.full(3, 1 / 3), means, np.tile(0.02 * np.eye(2), (3, 1, 1)))
+    for _ in range(3):
+        model, _ = mixture.step(table, model, means.mean(0))
+    rows = [(c, float(model.weights[c]), *map(float, model.means[c]), *map(float, model.covariances[c][[0, 0, 1], [0, 1, 1]])) for c in range(3)]
+    return rounded(spark.createDataFrame(rows, "component int, weight double, m1 double, m2 double, s11 double, s12 double, s22 double"), "weight", "m1", "m2", "s11", "s12", "s22")
+
+
 @query("h2_gaussian_mixture")
 def h2(spark, d):
     return cluster.gaussian_mixture(represent.pca(vectors(spark, d), 4), 5)

@@ -307,6 +307,22 @@ def test_mixtures_scans_and_two_passes(spark, monkeypatch):
     assert named == want and {n for _, n in named.values()} > {"a", "UNCLASSIFIED"}
 
 
+def test_a_mixture_does_not_depend_on_the_split(spark):
+    from skyweave.operators import mixture
+
+    centres = np.array([[0, 0, 0], [5, 0, 1], [0, 6, 2], [5, 6, 3]])
+    x = np.concatenate([c + RNG.normal(0, 0.5, (60, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0], [0, 0, 0.3]]) for c in centres])
+    table = frame(spark, x)
+    one, eight = (mixture.fitted(table.repartition(n), 4, 3) for n in (1, 8))
+    assert np.allclose(one.means, eight.means, atol=1e-9) and np.allclose(one.covariances, eight.covariances, atol=1e-9)
+    order = np.lexsort(one.means[:, :2].round().T)
+    assert np.allclose(one.means[order], x.reshape(4, 60, 3).mean(1)[np.lexsort(centres[:, :2].T)], atol=0.2) and np.allclose(one.weights, 0.25, atol=0.02)
+    assert mixture.fitted(table.limit(0), 4) is None and cluster.gaussian_mixture(table.limit(0), 4).count() == 0
+    assert cluster.gaussian_mixture(frame(spark, np.ones((5, 2))), 3).select("cluster").distinct().count() == 1
+    with pytest.raises(ValueError):
+        mixture.started(table.select("obj_id", F.array(*[F.col("obj_id") * 1.0] * 3000).alias("features")), 2)
+
+
 def test_dense_regions_make_no_pairs(spark):
     """Links of core points are forests: at most a row for each point of the tile and of the block."""
     table = frame(spark, RNG.normal(0, 0.01, (300, 2))).withColumn("core", F.lit(True))
