@@ -130,6 +130,7 @@ def centre_distance(features: DataFrame, clusters: DataFrame, method: str = "med
 
 def core_members(distances: DataFrame, t_std: float) -> DataFrame:
     """H7: members within median + t_std * deviation of their cluster."""
+    distances = stored(distances, "distances")
     middle = quantiles(distances, ["cluster"], "sq_dist", [0.5])
     limit = distances.groupBy("cluster").agg(F.stddev_pop("sq_dist").alias("spread")).join(middle, "cluster").select("cluster", (F.col("quantiles")[0] + t_std * F.col("spread")).alias("threshold"))
     return distances.join(F.broadcast(limit), "cluster").withColumn("is_core", (F.col("sq_dist") <= F.col("threshold")).cast("int"))

@@ -184,9 +184,11 @@ def attitude_outlier_bins(table: DataFrame, columns: list[str], t0: float, size:
     return meet(means, stats).filter(any_odd).select(*keys, "bin", "t", *columns)
 
 
-def events_inside(lc: DataFrame, events: DataFrame, key: str = "obj_id") -> DataFrame:
-    """Instrument events within the time span of each series. One span an object meets the event list (a range join)."""
+def events_inside(lc: DataFrame, events: DataFrame, key: str = "obj_id", cell: float = 1.0) -> DataFrame:
+    """Instrument events within the time span of each series. The time axis is cut into cells of so many days: spans
+    meet the events of their cells by an equi-join, and are compared after it. A span takes a row for each of its cells."""
     spans = lc.groupBy(key).agg(F.min("t").alias("min_t"), F.max("t").alias("max_t"))
-    return spans.join(events, (F.col("event_t") >= F.col("min_t")) & (F.col("event_t") <= F.col("max_t"))).select(key, "event_t")
-
-
+    at = lambda c: F.floor(F.col(c) / cell)
+    dealt = spans.withColumn("_cell", F.explode(F.sequence(at("min_t"), at("max_t"))))
+    placed = events.select("event_t").withColumn("_cell", at("event_t"))
+    return dealt.join(placed, "_cell").filter(F.col("event_t").between(F.col("min_t"), F.col("max_t"))).select(key, "event_t")

@@ -92,3 +92,34 @@ def test_cells_rule_most_pairs_out(spark, monkeypatch):
     sent = reached(cells, cells.table.join(far, "obj_id").select(*cells.table.columns, "reach"), 5, others=True)
     assert compared(cells, own) + compared(cells, sent) < n * n / 10
     assert compared(cells, within(cells, 0.5)) < n * n / 10
+
+
+def test_events_meet_spans_by_cells(spark):
+    """No nested loop: spans that begin and end inside cells, at their edges, and of one sample."""
+    from skyweave.operators.timeaxis import events_inside
+
+    spans = {1: (0.0, 3.0), 2: (0.95, 1.05), 3: (-2.5, -0.1), 4: (2.0, 2.0), 5: (7.2, 7.3)}
+    lc = spark.createDataFrame([(i, t) for i, ends in spans.items() for t in ends] + [(6, None)], "obj_id long, t double")
+    times = [-2.5, -1.0, -0.05, 0.0, 1.0, 1.05, 1.06, 2.0, 3.0, 3.01, 7.25]
+    events = spark.createDataFrame([(t,) for t in times], "event_t double")
+    want = sorted((i, t) for i, (a, b) in spans.items() for t in times if a <= t <= b)
+    for cell in (1.0, 0.3, 50.0):
+        found = events_inside(lc, events, cell=cell)
+        assert sorted(map(tuple, found.collect())) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
+def test_quantiles_over_many_ranges(spark):
+    """As the built-in aggregate gives them, with ties, nulls, single values and a group of most rows."""
+    from skyweave.functions.quantiles import quantiles
+
+    rows = [(0, float(RNG.integers(0, 40)) / 7) for _ in range(2000)] + [(g, None if RNG.random() < 0.1 else float(RNG.normal())) for g in range(1, 30) for _ in range(int(RNG.integers(1, 9)))] + [(None, 1.5), (None, 2.5), (99, None)]
+    table, shares = spark.createDataFrame(rows, "g long, x double"), [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.g: list(r.quantiles) for r in quantiles(table, ["g"], "x", shares).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {r.g: list(r.q) for r in table.filter("x is not null").groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], abs=1e-12) for g in want)
+    assert quantiles(table.limit(0), [], "x", [0.5]).count() == 0
