@@ -1,22 +1,25 @@
 """Clustering of feature tables and the naming of clusters."""
 
+from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.assignment import best_match
-from ..functions.cells import Cells, cells_of, searched, within
+from ..functions.cells import Cells, cells_of, searched, stacked, within
 from ..functions.components import components
 from ..functions.metrics import metric_of
 from ..functions.pairs import Exact, blocked
 from ..functions.quantiles import quantiles
+from ..functions.sums import summed
 from ..sources import numbered, stored
-from .mixture import assigned, fitted
+from .mixture import MODEL_NUMBERS, assigned, fitted, moments
 
 UNCLASSIFIED = "UNCLASSIFIED"
 
@@ -113,8 +116,51 @@ def dbscan(features: DataFrame, eps: float, min_samples: int, key: str = "obj_id
     return joined.select("obj_id", F.coalesce("cluster", "near", F.lit(-1)).alias("cluster"))
 
 
+def densest_member(features: DataFrame, clusters: DataFrame, key: str = "obj_id") -> DataFrame:
+    """H6: (cluster, obj_id, features): the member at which a Gaussian kernel over its cluster's members is densest, the
+    smallest id of several. The kernel is the cluster's covariance, scaled by n ** (-2 / (d + 4)) (Scott 1992)."""
+    rows = stored(features.join(clusters, key).select(F.col(key).alias("obj_id"), "features", "cluster"), "members")
+    kinds = np.array(sorted(r.cluster for r in rows.select("cluster").distinct().collect()))  # a row a cluster
+    k, d = len(kinds), rows.agg(F.max(F.size("features"))).first()[0] or 0
+    if k * (1 + d + d * d) > MODEL_NUMBERS:
+        raise ValueError(f"{k} clusters of {d} dimensions are over {MODEL_NUMBERS} numbers: project the table first")
+    first = rows.select("features").limit(1).collect()
+    shift = np.array(first[0].features, float) if first else np.zeros(d)
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        x, own, total = stacked(batch.column("features")).astype(float), np.searchsorted(kinds, batch.column("cluster").to_numpy()), 0
+        for at in range(0, len(x), 1000):
+            total = total + moments(np.eye(k)[own[at : at + 1000]], x[at : at + 1000] - shift)
+        return total
+
+    total = summed(rows.select("features", "cluster"), part, k * (1 + d + d * d))
+    n, means = total[:k], total[k : k + k * d].reshape(k, d) / np.maximum(total[:k], 1)[:, None]
+    spread = total[k + k * d :].reshape(k, d, d) / np.maximum(n, 1)[:, None, None] - means[:, :, None] * means[:, None, :]
+    spread *= (n / np.maximum(n - 1, 1) * np.maximum(n, 1) ** (-2 / (d + 4)))[:, None, None]
+    whiteners = np.linalg.inv(np.linalg.cholesky(spread + 1e-12 * np.eye(d)))
+    shared = features.sparkSession.sparkContext.broadcast((kinds, whiteners))
+
+    def whitened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, by = shared.value
+        for batch in batches:
+            x, own = stacked(batch.column("features")).astype(float) - shift, np.searchsorted(names, batch.column("cluster").to_numpy())
+            z = [by[c] @ r for c, r in zip(own, x)]
+            yield pa.record_batch([batch.column("obj_id"), pa.array(z, pa.list_(pa.float64())), batch.column("cluster")], ["obj_id", "features", "cluster"])
+
+    def density(a: pd.DataFrame, b: pd.DataFrame, far: np.ndarray, exact: Exact) -> pd.DataFrame:
+        same = a["cluster"].to_numpy()[:, None] == b["cluster"].to_numpy()[None, :]
+        return pd.DataFrame({"obj_id": a["obj_id"].to_numpy(), "cluster": a["cluster"].to_numpy(), "density": (np.exp(-0.5 * far * far) * same).sum(1) if far.size else np.zeros(0)})
+
+    white = rows.mapInArrow(whitened, "obj_id long, features array<double>, cluster int")
+    sums = blocked(stored(white, "whitened"), density, "obj_id long, cluster int, density double", "obj_id", ("cluster",))
+    best = sums.groupBy("obj_id", "cluster").agg(F.sum("density").alias("density")).groupBy("cluster").agg(F.min_by("obj_id", F.struct((-F.round("density", 9)).alias("density"), "obj_id")).alias("obj_id"))
+    return best.join(rows.select("obj_id", "features"), "obj_id").select("cluster", "obj_id", "features")
+
+
 def centres(features: DataFrame, clusters: DataFrame, method: str = "median", key: str = "obj_id") -> DataFrame:
-    """H6: (cluster, dim, centre)."""
+    """H6: (cluster, dim, centre): by `median`, `mean` or `density`."""
+    if method == "density":
+        return densest_member(features, clusters, key).select("cluster", F.posexplode("features").alias("dim", "centre"))
     rows = features.join(clusters, key).select("cluster", F.posexplode("features").alias("dim", "x"))
     if method == "median":
         return quantiles(rows, ["cluster", "dim"], "x", [0.5]).select("cluster", "dim", F.col("quantiles")[0].alias("centre"))

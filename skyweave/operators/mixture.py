@@ -97,7 +97,7 @@ def from_sums(total: np.ndarray, k: int, d: int, centre: np.ndarray, least: floa
     return Mixture(n / n.sum(), means + centre, spread + least * np.eye(d))
 
 
-def _moments(shares: np.ndarray, x: np.ndarray) -> np.ndarray:
+def moments(shares: np.ndarray, x: np.ndarray) -> np.ndarray:
     products = np.einsum("nk,ni,nj->kij", shares, x, x, optimize=True)
     return np.r_[shares.sum(0), (shares.T @ x).ravel(), products.ravel()]
 
@@ -116,7 +116,7 @@ def step(features: DataFrame, model: Mixture, centre: np.ndarray, least: float =
             top = logs.max(1, keepdims=True)
             shares = np.exp(logs - top)
             whole = shares.sum(1, keepdims=True)
-            total += np.r_[_moments(shares / whole, x - middle), (top + np.log(whole)).sum()]
+            total += np.r_[moments(shares / whole, x - middle), (top + np.log(whole)).sum()]
         return total
 
     total = summed(features.select("features"), part, size + 1)
@@ -140,7 +140,7 @@ def started(features: DataFrame, k: int, seed: int = 0, key: str = "obj_id") ->
             for at in range(0, len(every), BATCH):
                 x = every[at : at + BATCH]
                 shares = np.eye(k)[_squares(x, shared.value).argmin(1)]
-                total = total + _moments(shares, x - middle)
+                total = total + moments(shares, x - middle)
             return total
 
         total = summed(features.select("features"), part, k + k * d + k * d * d)

@@ -399,6 +399,15 @@ def h6(spark, d):
     return rounded(distances(spark, d), "sq_dist")
 
 
+@query("h6_density_centre", f"""WITH {v.FEATURES}, p AS (SELECT obj_id, CAST(label AS INTEGER) AS cluster, features[1] AS x, features[2] AS y FROM f),
+ s AS (SELECT cluster, var_samp(x) * count(*) ** (-1.0 / 3) AS xx, covar_samp(x, y) * count(*) ** (-1.0 / 3) AS xy, var_samp(y) * count(*) ** (-1.0 / 3) AS yy FROM p GROUP BY 1),
+ e AS (SELECT a.cluster, a.obj_id, sum(exp(-0.5 * (yy * (a.x - b.x) ** 2 - 2 * xy * (a.x - b.x) * (a.y - b.y) + xx * (a.y - b.y) ** 2) / (xx * yy - xy * xy))) AS density FROM p a JOIN p b USING (cluster) JOIN s USING (cluster) GROUP BY 1, 2)
+ SELECT cluster, obj_id FROM e QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(density, 9) DESC, obj_id) = 1""")
+def h6_density(spark, d):
+    table = vectors(spark, d).select("obj_id", F.slice("features", 1, 2).alias("features"))
+    return cluster.densest_member(table, by_label(spark, d)).select("cluster", "obj_id")
+
+
 @query("h7_core_members", f"WITH {CORE} SELECT obj_id, cluster, is_core FROM core")
 def h7(spark, d):
     return cluster.core_members(distances(spark, d), 0.5).select("obj_id", "cluster", "is_core")

@@ -123,3 +123,21 @@ def test_quantiles_over_many_ranges(spark):
     want = {r.g: list(r.q) for r in table.filter("x is not null").groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("q")).collect()}
     assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], abs=1e-12) for g in want)
     assert quantiles(table.limit(0), [], "x", [0.5]).count() == 0
+
+
+def test_densest_members(spark):
+    """Against the kernel summed over all members of each cluster."""
+    x = np.concatenate([RNG.normal(0, 1, (40, 3)) @ np.diag([1, 2, 0.2]), RNG.normal(9, 0.5, (30, 3)), [[50.0, 50.0, 50.0]]])
+    kinds = np.r_[np.zeros(40, int), np.full(30, 4), [7]]
+    clusters = spark.createDataFrame([(i, int(c)) for i, c in enumerate(kinds)], "obj_id long, cluster int")
+    got = {r.cluster: r.obj_id for r in cluster.densest_member(frame(spark, x), clusters).collect()}
+    want = {7: 70}
+    for c in (0, 4):
+        own = np.flatnonzero(kinds == c)
+        inverse = np.linalg.inv(np.cov(x[own].T) * len(own) ** (-2 / 7))
+        d = x[own][:, None] - x[own][None]
+        want[c] = own[np.exp(-0.5 * np.einsum("abi,ij,abj->ab", d, inverse, d)).sum(1).argmax()]
+    assert got == want
+    far = {r.obj_id: r.sq_dist for r in cluster.centre_distance(frame(spark, x), clusters, "density").collect()}
+    assert far[int(want[0])] == 0 and far[3] == pytest.approx(((x[3] - x[want[0]]) ** 2).sum())
+    assert cluster.densest_member(frame(spark, x).limit(0), clusters).count() == 0
