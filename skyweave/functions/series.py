@@ -1,4 +1,4 @@
-"""Helpers on one series (numpy): gap filling, splines, zero-phase high-pass, box search."""
+"""Helpers on one series (numpy): gap filling, splines, zero-phase high-pass."""
 
 import numpy as np
 
@@ -113,24 +113,3 @@ def high_pass(x: np.ndarray, cutoff: float, order: int) -> np.ndarray:
 def high_passed_rms(x: np.ndarray, cutoff: float, order: int) -> float:
     y = high_pass(x, cutoff, order)
     return float(np.sqrt(np.mean(y * y))) if len(y) else np.nan
-
-
-def box_search(t: np.ndarray, y: np.ndarray, periods: np.ndarray, durations: np.ndarray, bins: int = 200) -> tuple[float, float, float, float]:
-    """Box-least-squares: (period, duration, depth, power) of the best box."""
-    best = (np.nan, np.nan, np.nan, -np.inf)
-    y = y - y.mean()
-    for period in periods:
-        phase = np.minimum((t % period) / period * bins, bins - 1).astype(int)
-        n, s = np.bincount(phase, minlength=bins), np.bincount(phase, y, bins)
-        cn, cs = np.cumsum(np.r_[n, n]), np.cumsum(np.r_[s, s])
-        for duration in durations:
-            w = max(1, round(duration / period * bins))
-            if w >= bins:
-                continue
-            r, sig = (cn[w:] - cn[:-w])[:bins], (cs[w:] - cs[:-w])[:bins]
-            ok = (r > 0) & (r < len(y)) & (sig < 0)
-            power = np.where(ok, sig**2 / np.maximum(r * (len(y) - r), 1), -np.inf)
-            k = int(np.argmax(power))
-            if power[k] > best[3]:
-                best = (float(period), float(duration), float(-sig[k] / r[k] * len(y) / (len(y) - r[k])), float(power[k]))
-    return best

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periodogram import floating_mean, spectral_features
-from ..functions.series import box_search
+from ..functions.transits import dip, least_grid, longest_transit, transit_search
 from .normalize import by_median
 
 SPECTRAL = ("peak_power", "ln_peak_power", "peak_period", "area_long", "area_middle", "area_short", "fast_period")
@@ -65,15 +65,46 @@ def engineered(lc: DataFrame, key: str = "obj_id") -> DataFrame:
     return got.select(key, *map(finite, names))
 
 
-def transit_features(lc: DataFrame, periods: list[float], durations: list[float], key: str = "obj_id") -> DataFrame:
-    """E7 by box-least-squares."""
-
-    def run(k: tuple, series: pd.DataFrame) -> pd.DataFrame:
-        series = series.dropna(subset=["flux"]).sort_values("t")
-        row = box_search(series["t"].to_numpy(float), series["flux"].to_numpy(float), np.array(periods), np.array(durations)) if len(series) > 2 else (np.nan,) * 4
-        return pd.DataFrame([(k[0], *row)], columns=[key, "period", "duration", "depth", "power"])
-
-    return lc.select(key, "t", "flux").groupBy(key).applyInPandas(run, f"{key} long, period double, duration double, depth double, power double")
+def transit_features(lc: DataFrame, stars: DataFrame | None = None, key: str = "obj_id", transits: int = 2, finer: float = 3.0, bins: int = 512) -> DataFrame:
+    """(key, period, duration, depth, power): the best limb-darkened dip over a grid of periods that follows each
+    object's span in time and its star; power: deviations above the mean of all periods. NULL where none is found.
+
+    stars: (key, radius, mass) in units of the Sun, NULL or absent where unknown; of these the star that needs the fewest
+    periods is taken. An object's samples and its star meet in one pass."""
+    schema = f"{key} long, period double, duration double, depth double, power double"
+    names = [key, "period", "duration", "depth", "power"]
+
+    def one(k: tuple, series: pd.DataFrame, star: pd.DataFrame) -> pd.DataFrame:
+        if not len(series):
+            return pd.DataFrame({c: [] for c in names})
+        series = series.dropna(subset=["t", "flux"]).sort_values("t")
+        t, flux, row = series["t"].to_numpy(float), series["flux"].to_numpy(float), (np.nan,) * 4
+        if len(t) > 2:
+            known = [float(star[c].min()) if len(star) else np.nan for c in ("radius", "mass")]
+            periods, radius, mass = least_grid(t[-1] - t[0], *known, transits=transits, finer=finer)
+            row = transit_search(t, flux, periods, longest_transit(periods, radius, mass), bins)
+        return pd.DataFrame([(k[0], *row)], columns=names)
+
+    samples = lc.select(key, "t", "flux").groupBy(key)
+    if stars is None:
+        got = samples.applyInPandas(lambda k, series: one(k, series, pd.DataFrame()), schema)
+    else:
+        got = samples.cogroup(stars.select(key, "radius", "mass").groupBy(key)).applyInPandas(one, schema)
+    return got.select(key, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in names[1:]))
+
+
+def fold_powers(lc: DataFrame, period: float, width: int, bins: int = 512, key: str = "obj_id") -> DataFrame:
+    """One period and one width of the search: (key, bin, power, depth) of a dip from each bin on, where one takes light."""
+    at = F.least(F.floor(F.pmod(F.col("t") / period, F.lit(1.0)) * bins), F.lit(bins - 1))
+    cells = lc.filter("flux is not null and t is not null").groupBy(key, at.alias("cell")).agg(F.count("*").alias("n"), F.sum("flux").alias("s"))
+    level = Window.partitionBy(key)
+    cells = cells.withColumns({"total": F.sum("n").over(level), "mean": F.sum("s").over(level) / F.sum("n").over(level)})
+    shape = F.array(*(F.lit(float(q)) for q in dip(width)))
+    spread = cells.select(key, "total", "n", (F.col("n") * F.col("mean") - F.col("s")).alias("lack"), "cell", F.posexplode(shape).alias("j", "q"))
+    starts = spread.groupBy(key, F.pmod(F.col("cell") - F.col("j"), F.lit(bins)).cast("int").alias("bin"))
+    sums = starts.agg(F.sum(F.col("q") * F.col("lack")).alias("missing"), F.sum(F.col("q") * F.col("n")).alias("first"), F.sum(F.col("q") * F.col("q") * F.col("n")).alias("second"), F.max("total").alias("total"))
+    sums = sums.withColumn("spread", F.col("second") - F.col("first") * F.col("first") / F.col("total")).filter("spread > 1e-6 and missing > 0")
+    return sums.select(key, "bin", (F.col("missing") * F.col("missing") / F.col("spread")).alias("power"), (F.col("missing") / F.col("spread")).alias("depth"))
 
 
 def power_spectra(lc: DataFrame, freq: list[float], key: str = "obj_id") -> DataFrame:

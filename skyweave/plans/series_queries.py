@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sources
+from ..functions.transits import dip
 from ..operators import clean, features, neighbors, normalize, timeaxis
 from . import views as v
 from .registry import Registry, rounded
@@ -25,9 +26,23 @@ query("w0_most_variable", f"WITH {VARIABILITY} SELECT obj_id, {R('variability',
 
 @query("a1_a8_sector_partition", f"WITH {v.OK} SELECT obj_id, count(*) AS n, {R('max(flux)', 'top')} FROM ok WHERE sector = 2 GROUP BY obj_id")
 def a1(spark, d):
-    path = sources.shared_folder(spark, "series")
-    sources.write_series(v.ok(spark, d), path)
-    return rounded(sources.read_sector(spark, path, 2).groupBy("obj_id").agg(F.count("*").alias("n"), F.max("flux").alias("top")), "top")
+    lc = v.series_table(spark, d)
+    return rounded(sources.read_sector(lc, 2).groupBy("obj_id").agg(F.count("*").alias("n"), F.max("flux").alias("top")), "top")
+
+
+CHAIN = f"""WITH {v.OK}, u AS (SELECT obj_id, sector, t, flux / median(flux) OVER (PARTITION BY obj_id) AS y FROM ok),
+ ob AS (SELECT obj_id FROM u GROUP BY 1 HAVING count(DISTINCT sector) = (SELECT count(DISTINCT sector) FROM u)),
+ x AS (SELECT obj_id, (y - min(y) OVER w) / nullif(max(y) OVER w - min(y) OVER w, 0) AS z FROM u JOIN ob USING (obj_id) WINDOW w AS (PARTITION BY obj_id, sector))
+ SELECT obj_id, count(*) AS n, {R("avg(z)", "mean")}, {R("var_pop(z)", "m2")} FROM x GROUP BY 1"""
+
+
+@query("a8_stored_chain", CHAIN)
+def a8(spark, d):
+    """B1, B2, C1, D7 and E1 on a bucketed table: no exchange by object."""
+    lc = clean.drop_missing(clean.mask_flagged(v.series_table(spark, d, masked=False)))
+    whole = timeaxis.stitch(normalize.by_median(lc), ["quality"])
+    out = whole.groupBy("obj_id").agg(F.count("*").alias("n"), F.avg("flux").alias("mean"), F.var_pop("flux").alias("m2"))
+    return rounded(out, "mean", "m2")
 
 
 @query("a2_labelled_series", f"WITH {v.OK} SELECT concat('s', sector, 'q', obj_id % 3) AS label, count(*) AS n, {R('sum(flux)', 'total')} FROM ok GROUP BY 1")
@@ -340,10 +355,24 @@ def e6(spark, d):
 
 @query("e7_transits")
 def e7(spark, d):
-    out = features.transit_features(v.ok(spark, d), [1.0 + 0.05 * k for k in range(100)], [0.1, 0.2, 0.4])
+    out = features.transit_features(v.ok(spark, d), v.stars(spark, d))
     return rounded(out, *out.columns[1:])
 
 
+FOLD_PERIOD, FOLD_WIDTH, FOLD_BINS = 2.75, 9, 128
+DIP = ", ".join(f"({j}, {float(q)!r}::DOUBLE)" for j, q in enumerate(dip(FOLD_WIDTH)))
+FOLD = f"""WITH {v.OK}, dip(j, q) AS (VALUES {DIP}),
+ cells AS (SELECT obj_id, least(CAST(floor((t / {FOLD_PERIOD}) % 1.0::DOUBLE * {FOLD_BINS}) AS BIGINT), {FOLD_BINS - 1}) AS cell, count(*) AS n, sum(flux) AS s FROM ok WHERE flux IS NOT NULL GROUP BY 1, 2),
+ lv AS (SELECT obj_id, sum(n) AS total, sum(s) / sum(n) AS mean FROM cells GROUP BY 1),
+ st AS (SELECT obj_id, CAST((cell - j + {FOLD_BINS}) % {FOLD_BINS} AS INTEGER) AS bin, sum(q * (n * mean - s)) AS missing, sum(q * q * n) - sum(q * n) ** 2 / max(total) AS spread FROM cells JOIN lv USING (obj_id), dip GROUP BY 1, 2)
+ SELECT obj_id, bin, {R("missing * missing / spread", "power")}, {R("missing / spread", "depth")} FROM st WHERE spread > 1e-6 AND missing > 0"""
+
+
+@query("e7_fold", FOLD)
+def e7_fold(spark, d):
+    return rounded(features.fold_powers(v.ok(spark, d), FOLD_PERIOD, FOLD_WIDTH, FOLD_BINS), "power", "depth")
+
+
 @query("e8_power_spectra", f"""WITH {v.OK}, u AS (SELECT obj_id, t, flux - avg(flux) OVER (PARTITION BY obj_id) AS y FROM ok), fr AS (SELECT k, 2 * pi() * (0.05 + 0.01 * k) AS w FROM range(300) r(k)),
  s AS (SELECT obj_id, k, count(*) AS n, sum(cos(w * t)) AS c, sum(sin(w * t)) AS s, sum(cos(w * t) ** 2) AS cc, sum(sin(w * t) ** 2) AS ss, sum(cos(w * t) * sin(w * t)) AS cs, sum(y * cos(w * t)) AS yc, sum(y * sin(w * t)) AS ys, sum(y * y) AS yy FROM u, fr GROUP BY 1, 2),
  z AS (SELECT obj_id, k, cc - c * c / n AS cc, ss - s * s / n AS ss, cs - c * s / n AS cs, yc, ys, yy FROM s WHERE n > 2) SELECT obj_id, CAST(k AS INTEGER) AS k, {R("(ss * yc ** 2 + cc * ys ** 2 - 2 * cs * yc * ys) / ((cc * ss - cs * cs) * yy)", "power")} FROM z""")

@@ -1,8 +1,12 @@
 """Views on the given tables, the same in Spark and in SQL."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared_folder, write_series
+
 SECTOR_2 = "2024-01-16"
 
 
@@ -28,6 +32,19 @@ def ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lc(spark, sf_dir).filter("quality = 0")
 
 
+def series_table(spark: SparkSession, sf_dir: str, masked: bool = True) -> DataFrame:
+    """The series (unmasked samples alone, or all) as a new bucketed table."""
+    name = f"series_{uuid.uuid4().hex}"
+    return write_series((ok if masked else lc)(spark, sf_dir), name, shared_folder(spark, name))
+
+
+def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radius and mass of the star of every customer key; every seventh has none."""
+    k = F.col("c_custkey")
+    known = lambda x: F.when(k % 7 != 0, x)
+    return table(spark, sf_dir, "customer").select(k.alias("obj_id"), known(0.5 + k % 10 / 10).alias("radius"), known(0.6 + k % 8 / 10).alias("mass"))
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("obj_id")).distinct()
     return e.select("obj_id", (F.col("obj_id") % 4 + 1).cast("int").alias("camera"), (F.floor(F.col("obj_id") / 4) % 4 + 1).cast("int").alias("ccd"))

@@ -1,5 +1,6 @@
 """Sources and sinks: series, catalogs, labels, event times, stored products."""
 
+import math
 import re
 import tempfile
 import uuid
@@ -7,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Bytes of a sample before compression, and bytes of a bucket over all sectors.
+SAMPLE_BYTES, BUCKET_BYTES = 32, 1 << 30
 SERIES = "t double, intensity double, error double"
 #: Fixed columns of the catalog files.
 CATALOG = "ID long, ra double, dec double, Teff double, rad double, mass double, GAIAmag double, d double, Tmag double, objType string"
@@ -40,14 +43,26 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_range").withColumn("number", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
 
-def write_series(lc: DataFrame, path: str, files: int = 64) -> None:
-    """One table of cleaned series, partitioned by sector, an object's samples of a sector in one of `files` files."""
-    lc.repartition("sector", F.pmod(F.xxhash64("obj_id"), F.lit(files))).write.mode("overwrite").partitionBy("sector").parquet(path)
+def series_buckets(lc: DataFrame) -> int:
+    """Buckets of about BUCKET_BYTES over all sectors, from the number of samples; at least one for each core."""
+    return max(lc.sparkSession.sparkContext.defaultParallelism, math.ceil(lc.count() * SAMPLE_BYTES / BUCKET_BYTES))
 
 
-def read_sector(spark: SparkSession, path: str, sector: int) -> DataFrame:
-    """A1: only the partition of the sector is read."""
-    return spark.read.parquet(path).filter(F.col("sector") == sector)
+def write_series(lc: DataFrame, name: str, path: str | None = None, buckets: int | None = None, key: str = "obj_id") -> DataFrame:
+    """A table of cleaned series, partitioned by sector and bucketed by object, sorted by time; returns it as read back.
+
+    An object's samples of all sectors are in one bucket, so that what works on one object (groups, windows, joins by
+    object) needs no exchange after the scan. A bucket is one file a sector. `path`: a shared folder in place of the
+    warehouse."""
+    n = buckets or series_buckets(lc)
+    out = lc.repartition(n, key).write.mode("overwrite").partitionBy("sector").bucketBy(n, key).sortBy(key, "t")
+    (out.option("path", path) if path else out).saveAsTable(name, format="parquet")
+    return lc.sparkSession.table(name)
+
+
+def read_sector(series: DataFrame, sector: int) -> DataFrame:
+    """A1: of a stored table only the partition of the sector is read."""
+    return series.filter(F.col("sector") == sector)
 
 
 def read_labelled_series(spark: SparkSession, path: str, name_pattern: str = r"rflx_([^_/]+)_([^_/.]+)") -> DataFrame:

@@ -31,8 +31,6 @@ def test_planted_period_is_found():
     t = np.sort(RNG.uniform(0, 30, 300))
     peak = periodogram.spectral_features(t, np.sin(2 * np.pi * t / 2.5) + RNG.normal(0, 0.1, 300))
     assert peak[2] == pytest.approx(2.5, rel=0.02)
-    flat = np.where((t % 3.0) < 0.3, -1.0, 0.0)
-    assert series.box_search(t, flat, np.arange(2, 4, 0.05), np.array([0.3]))[0] == pytest.approx(3.0, abs=0.06)
 
 
 def test_spline_and_gaps():
@@ -229,18 +227,6 @@ def test_one_pass_features_are_the_separate_ones(spark):
             assert a == b or r.obj_id in (8, 9) and (b is None or a == pytest.approx(b)) or a == pytest.approx(b, rel=1e-6, abs=1e-9), (r.obj_id, c)
 
 
-def test_box_search_depth_and_duration():
-    t = np.arange(0, 30, 0.02)
-    y = np.where((t % 2.5) < 0.2, 0.9, 1.0)
-    period, duration, depth, power = series.box_search(t, y, np.arange(1.5, 3.5, 0.05), np.array([0.1, 0.2, 0.4]))
-    assert (period, duration) == (pytest.approx(2.5, abs=0.01), 0.2) and depth == pytest.approx(0.1, abs=0.01)
-    z, best = y - y.mean(), 0.0
-    for start in np.arange(0, 2.5, 2.5 / 200):  # the power of the best box at that period, by definition
-        box = ((t - start) % 2.5) < 0.2
-        best = max(best, z[box].sum() ** 2 / (box.sum() * (~box).sum())) if z[box].sum() < 0 else best
-    assert power == pytest.approx(best, rel=0.05)
-
-
 def test_components_and_systematics(spark):
     x = RNG.normal(size=(200, 5)) @ RNG.normal(size=(5, 90)) + 0.01 * RNG.normal(size=(200, 90))
     table = frame(spark, x)
