@@ -126,7 +126,7 @@ def clip_sql(rounds: int, sigma: float) -> str:
 
 @query("b3_sigma_clip", f"WITH {v.OK}, {clip_sql(40, 2.5)} SELECT obj_id, count(*) AS kept, {R('sum(flux)', 'total')} FROM c40 GROUP BY obj_id")
 def b3_full(spark, d):
-    return rounded(clean.sigma_clip(v.ok(spark, d), 2.5, "drop").groupBy("obj_id").agg(F.count("*").alias("kept"), F.sum("flux").alias("total")), "total")
+    return rounded(clean.sigma_clip(sources.dealt(v.ok(spark, d)), 2.5, "drop").groupBy("obj_id").agg(F.count("*").alias("kept"), F.sum("flux").alias("total")), "total")
 
 
 @query("b4_index_ranges", f"WITH {v.OK}, r AS (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY t) - 1 AS k FROM ok) SELECT obj_id, count(*) AS n, {R('sum(flux)', 'total')} FROM r WHERE NOT (k >= 3 AND k < 10) AND NOT (k >= 20 AND k < 25) GROUP BY 1")
@@ -349,13 +349,13 @@ ENGINEERED = f"""WITH {v.OK}, u AS (SELECT obj_id, t, flux / median(flux) OVER (
 
 @query("e2_e4_e5_e6_engineered", ENGINEERED)
 def e6(spark, d):
-    out = features.engineered(v.ok(spark, d))
+    out = features.engineered(sources.dealt(v.ok(spark, d)))
     return rounded(out, *out.columns[1:])
 
 
 @query("e7_transits")
 def e7(spark, d):
-    out = features.transit_features(v.ok(spark, d), v.stars(spark, d))
+    out = features.transit_features(sources.dealt(v.ok(spark, d)), v.stars(spark, d))
     return rounded(out, *out.columns[1:])
 
 
@@ -377,7 +377,7 @@ def e7_fold(spark, d):
  s AS (SELECT obj_id, k, count(*) AS n, sum(cos(w * t)) AS c, sum(sin(w * t)) AS s, sum(cos(w * t) ** 2) AS cc, sum(sin(w * t) ** 2) AS ss, sum(cos(w * t) * sin(w * t)) AS cs, sum(y * cos(w * t)) AS yc, sum(y * sin(w * t)) AS ys, sum(y * y) AS yy FROM u, fr GROUP BY 1, 2),
  z AS (SELECT obj_id, k, cc - c * c / n AS cc, ss - s * s / n AS ss, cs - c * s / n AS cs, yc, ys, yy FROM s WHERE n > 2) SELECT obj_id, CAST(k AS INTEGER) AS k, {R("(ss * yc ** 2 + cc * ys ** 2 - 2 * cs * yc * ys) / ((cc * ss - cs * cs) * yy)", "power")} FROM z""")
 def e8(spark, d):
-    out = features.power_spectra(v.ok(spark, d), [0.05 + 0.01 * k for k in range(300)])
+    out = features.power_spectra(sources.dealt(v.ok(spark, d)), [0.05 + 0.01 * k for k in range(300)])
     return rounded(out.select("obj_id", F.posexplode("power").alias("k", "power")).filter("not isnan(power)"), "power")
 
 
@@ -396,7 +396,7 @@ def e10(spark, d):
 @query("w1_novelty")
 def w1(spark, d):
     """Clean, normalise, 16 features, standardise, LOF, the most novel."""
-    table = sources.stored(features.engineered(v.ok(spark, d)), "features")
+    table = sources.stored(features.engineered(sources.dealt(v.ok(spark, d))), "features")
     columns = table.columns[1:]
     table = normalize.standardize_columns(table.dropna(), columns)
     scores = neighbors.local_outlier_factor(table.select("obj_id", F.array(*columns).alias("features")), 20)

@@ -43,6 +43,12 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_range").withColumn("number", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
 
 
+def dealt(lc: DataFrame, key: str = "obj_id") -> DataFrame:
+    """lc dealt by object to as many partitions as the session shuffles to. For work on whole series that takes far longer
+    than its bytes tell: partitions of few bytes, which Spark merges otherwise, stay apart. Bucketed tables need none."""
+    return lc.repartition(int(lc.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def series_buckets(lc: DataFrame) -> int:
     """Buckets of about BUCKET_BYTES over all sectors, from the number of samples; at least one for each core."""
     return max(lc.sparkSession.sparkContext.defaultParallelism, math.ceil(lc.count() * SAMPLE_BYTES / BUCKET_BYTES))

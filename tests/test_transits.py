@@ -55,7 +55,7 @@ def test_dip_powers_are_least_squares():
     bins, width = 40, 5
     at, y = RNG.integers(0, bins, 70), RNG.normal(size=70)
     counts, lack = np.bincount(at, minlength=bins).astype(float), np.bincount(at, y.mean() - y, bins)
-    power, depth = transits.dip_powers(counts[None], lack[None], width)
+    power, depth = transits.dip_powers(np.fft.rfft(counts[None]), np.fft.rfft(lack[None]), 70, width, bins)
     shape = transits.dip(width)
     assert shape.max() < 1.001 and shape[2] > 0.98 and np.allclose(shape, shape[::-1])
     for start in range(bins):
@@ -99,7 +99,7 @@ def test_search_and_fold_agree(spark):
     lc = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(t, y)], "obj_id long, t double, flux double")
     rows = features.fold_powers(lc, 2.7, 9, 128).collect()
     at = np.minimum((t / 2.7 % 1.0 * 128).astype(int), 127)
-    power, depth = transits.dip_powers(np.bincount(at, minlength=128).astype(float)[None], np.bincount(at, y.mean() - y, 128)[None], 9)
+    power, depth = transits.dip_powers(np.fft.rfft(np.bincount(at, minlength=128)[None]), np.fft.rfft(np.bincount(at, y.mean() - y, 128)[None]), 400, 9, 128)
     assert {r.bin for r in rows} == set(np.flatnonzero(power[0]))
     assert all((r.power, r.depth) == (pytest.approx(power[0, r.bin], abs=1e-9), pytest.approx(depth[0, r.bin], abs=1e-9)) for r in rows)
 
