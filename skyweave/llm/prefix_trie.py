@@ -207,10 +207,12 @@ def _walk(items: pd.DataFrame) -> pd.DataFrame:
     ids, arcs, following = items["id"].to_numpy(), items["arcs"].tolist(), items["next"]
     to = np.where(following.isna(), -1, np.searchsorted(ids, following.fillna(0).to_numpy().astype(np.int64))).tolist()
     at = next(iter(set(range(len(ids))) - set(to)))
-    position, total = np.zeros(len(ids), np.int64), 0
+    position, total, left = np.zeros(len(ids), np.int64), 0, len(ids)
     while at >= 0:
+        if not left:
+            raise ValueError("the list comes back to an item")
         position[at] = total
-        total += arcs[at]
+        total, left = total + arcs[at], left - 1
         at = to[at]
     return pd.DataFrame({"id": ids, "position": position})
 
@@ -223,7 +225,7 @@ def list_positions(items: DataFrame) -> DataFrame:
     while left.count() > LIST_ITEMS:
         coin = lambda c: F.xxhash64(F.col(c), F.lit(rounds)) % 2 != 0  # noqa: B023, E731
         tails, heads = left.filter(coin("id")), left.filter(~coin("id"))
-        takes = F.coalesce(coin("next"), F.lit(False))
+        takes = F.col("next").isNotNull() & coin("next")  # a hash of NULL is no NULL
         taking = heads.filter(takes).select(F.col("id").alias("taker"), F.col("next").alias("id"), F.col("arcs").alias("ahead"))
         met = stored(tails.join(taking, "id", "left").unionByName(heads.filter(~takes), allowMissingColumns=True), "contracted")
         gone = F.col("taker").isNotNull()
