@@ -1,5 +1,7 @@
 """Neighbours, LOF and DBSCAN through cells, under several metrics, against all pairs."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +143,15 @@ def test_densest_members(spark):
     far = {r.obj_id: r.sq_dist for r in cluster.centre_distance(frame(spark, x), clusters, "density").collect()}
     assert far[int(want[0])] == 0 and far[3] == pytest.approx(((x[3] - x[want[0]]) ** 2).sum())
     assert cluster.densest_member(frame(spark, x).limit(0), clusters).count() == 0
+
+
+def test_tiles_stay_near_the_size_of_their_distances():
+    """A tile goes through all dimensions part by part: what is held beside it does not grow with it."""
+    x, y = np.random.default_rng(0).normal(size=(100, 8)), np.random.default_rng(1).normal(size=(20_000, 8))
+    for name in ("cityblock", "braycurtis", "canberra", "minkowski"):
+        tracemalloc.start()
+        got = metric_of(name, 4.0).tile(x, y)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1.5 * got.nbytes, (name, peak / got.nbytes)
+        assert np.array_equal(got[:, :100].diagonal(), metric_of(name, 4.0).pairs(x, y[:100]))
