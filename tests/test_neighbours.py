@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,17 @@ def test_tiles_stay_near_the_size_of_their_distances():
         tracemalloc.stop()
         assert peak < 1.5 * got.nbytes, (name, peak / got.nbytes)
         assert np.array_equal(got[:, :100].diagonal(), metric_of(name, 4.0).pairs(x, y[:100]))
+
+
+def test_a_row_goes_once_to_a_group_of_cells(spark, monkeypatch):
+    """Where nothing is ruled out, rows meet every other once, in as many tasks as there are groups, not cells."""
+    monkeypatch.setattr(cells_module, "BLOCK_ROWS", 100)
+    x = np.random.default_rng(2).normal(size=(300, 40))
+    own = cells_of(frame(spark, x), metric_of(), cell_rows=20)
+
+    def met(a, b, d, exact):
+        return pd.DataFrame({"obj_id": a["obj_id"].to_numpy(), "n": np.full(len(a), d.shape[1])})
+
+    rows = cells_module.searched(own, within(own, 100.0), met, "obj_id long, n long").groupBy("obj_id").agg(F.count("*").alias("tiles"), F.sum("n").alias("n")).collect()
+    assert len(own.pivots) == 15 and len(rows) == 300 and {r.n for r in rows} == {300}
+    assert max(r.tiles for r in rows) <= 6
