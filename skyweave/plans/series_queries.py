@@ -56,8 +56,7 @@ def a2(spark, d):
 @query("a3_cleaned_series", f"WITH {v.OK} SELECT obj_id, count(*) AS n, {R('sum(flux)', 'total')} FROM ok GROUP BY 1")
 def a3(spark, d):
     path = sources.shared_folder(spark, "lc")
-    name = F.concat(F.lit("lc_"), F.col("obj_id"), F.lit("_cleaned"))
-    v.ok(spark, d).select("t", F.lit(0.0).alias("skipped"), "flux", name.alias("name")).write.partitionBy("name").option("sep", " ").option("header", True).csv(path)
+    sources.write_cleaned_series(v.ok(spark, d), path)
     return rounded(sources.read_cleaned_series(spark, path).groupBy("obj_id").agg(F.count("*").alias("n"), F.sum("flux").alias("total")), "total")
 
 
