@@ -51,12 +51,15 @@ def sky_match(targets: DataFrame, sources: DataFrame, tol_arcsec: float, size: f
     """I4: the nearest source within the tolerance for each target (ID, ra, dec), NULL where there is none.
 
     An equi-join on cells of the sky, each target looking into its own cell and those around; sources are
-    (source_id, ra, dec), not beyond `size` degrees a cell."""
+    (source_id, ra, dec), not beyond `size` degrees a cell. Rows at one place are one place there: places meet, each with
+    the least source_id at it, and what they find goes back to the targets by place."""
     size = max(size or 0.0, tol_arcsec / ARCSEC * 1.01, 1e-3)
-    left = _cells(targets.select("ID", "ra", "dec"), size, True)
-    right = _cells(sources.select("source_id", "ra", "dec"), size, False).select("source_id", F.col("ra").alias("s_ra"), F.col("dec").alias("s_dec"), "band", "cell")
+    left = _cells(targets.select("ra", "dec").distinct(), size, True)
+    right = _cells(sources.groupBy("ra", "dec").agg(F.min("source_id").alias("source_id")), size, False).select("source_id", F.col("ra").alias("s_ra"), F.col("dec").alias("s_dec"), "band", "cell")
     found = left.join(right, ["band", "cell"]).withColumn("sep", haversine(F.col("ra"), F.col("dec"), F.col("s_ra"), F.col("s_dec")) * ARCSEC).filter(F.col("sep") < tol_arcsec)
-    best = found.groupBy("ID").agg(F.min_by("source_id", F.struct("sep", "source_id")).alias("source_id"), F.min("sep").alias("sep_arcsec"))
+    nearest = F.min_by("source_id", F.struct("sep", "source_id")).alias("source_id"), F.min("sep").alias("sep")
+    placed = targets.select("ID", "ra", "dec").join(found.groupBy("ra", "dec").agg(*nearest), ["ra", "dec"])
+    best = placed.groupBy("ID").agg(*nearest).withColumnRenamed("sep", "sep_arcsec")  # an ID may stand at several places
     return targets.select("ID").join(best, "ID", "left")
 
 

@@ -1,6 +1,7 @@
 """Helpers against plain versions, and properties with planted signals."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -107,6 +108,20 @@ def test_sigma_clip_modes_and_empty(spark):
     assert timeaxis.cadence(lc.filter("obj_id = 1")).first().cadence == 1.0
 
 
+def test_sky_match_meets_each_place_once(spark):
+    """60,000 targets and as many sources at one place are 3.6 billion pairs of rows, and one of places."""
+    from skyweave.operators.catalog import sky_match
+
+    place = [F.lit(120.0).alias("ra"), F.lit(-40.0).alias("dec")]
+    sources = spark.range(60_000).select((F.col("id") + 7).alias("source_id"), *place).union(spark.sql("SELECT 1L, 120.0D, -40.0002D"))
+    targets = spark.range(60_000).select(F.col("id").alias("ID"), *place).union(spark.sql("SELECT -1L, 121.0D, -40.0D")).union(spark.sql("SELECT -2L, 120.0D, -40.00025D"))
+    targets = targets.union(spark.sql("SELECT -2L, 120.0D, -40.00021D"))
+    began = time.perf_counter()
+    got = sky_match(targets, sources, 2.0).groupBy("source_id", F.round("sep_arcsec", 6).alias("sep")).agg(F.count("*").alias("n"), F.min("ID").alias("ID")).collect()
+    assert time.perf_counter() - began < 30
+    assert {(r.ID, r.source_id, r.sep, r.n) for r in got} == {(0, 7, 0.0, 60_000), (-1, None, None, 1), (-2, 1, 0.036, 2)}
+
+
 def test_sky_match_wraps_and_reaches_poles(spark):
     from skyweave.operators.catalog import sky_match
 
