@@ -131,3 +131,31 @@ def test_bucketed_series_need_no_exchange(spark, tmp_path):
 def test_buckets_follow_the_bytes(spark, monkeypatch):
     monkeypatch.setattr("skyweave.sources.BUCKET_BYTES", 320)
     assert series_buckets(spark.range(1001)) == 101
+
+
+@pytest.mark.parametrize("bins", [40, 100, 509, 512])
+def test_bounded_dips_are_the_best_of_all(bins):
+    for n in (3, 20, 60):
+        cells, lack = RNG.integers(0, bins, (30, n)), RNG.exponential(size=n)
+        lack = lack.mean() - lack
+        widths = np.array(transits.widths_of(bins))[1:8]
+        use = RNG.random((30, len(widths))) < 0.7
+        use[:, 0] = True
+        got, want = (f(cells, lack, bins, widths, use) for f in (transits.best_dips, transits.every_dip))
+        assert np.allclose(got[0], want[0], rtol=1e-10, atol=1e-12) and got[1][0] == pytest.approx(want[1][0])
+
+
+def test_sparse_series_are_searched_faster_than_by_all_starts(monkeypatch):
+    """67 samples fill an eighth of the bins: most starts are ruled out by their bound."""
+    t, y = np.sort(RNG.uniform(0, 30, 67)), RNG.exponential(50, 67)
+    periods = transits.period_grid(t[-1] - t[0])
+    longest, took, found = transits.longest_transit(periods), [], []
+    for search in (transits.best_dips, transits.every_dip):
+        monkeypatch.setattr(transits, "best_dips", search)
+        times = []
+        for _ in range(3):
+            began = time.perf_counter()
+            found.append(transits.transit_search(t, y, periods, longest))
+            times.append(time.perf_counter() - began)
+        took.append(min(times))
+    assert found[0] == pytest.approx(found[-1]) and took[0] < 0.7 * took[1]
