@@ -19,7 +19,7 @@ CUT_BEFORE = np.zeros(256, bool)
 CUT_BEFORE[0x21:0x7F] = True
 CUT_BEFORE[0x80:0xF8] = True
 CUT_BEFORE[[0xC2, 0xE1, 0xE2, 0xE3]] = False
-#: Pieces that a worker remembers; beyond that it keeps those of the current slice.
+#: Pieces that a worker remembers; beyond that it keeps those that it met again in a later slice, if these leave room.
 CACHE_PIECES = 400_000
 JOINED_BYTES = 20_000
 
@@ -39,6 +39,15 @@ class PieceEncoder:
 
     def forget(self) -> None:
         self.hashes, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def forget_rare(self) -> None:
+        """Keeps the pieces met again since they were learned or last kept."""
+        keep = self.again
+        size = self.size[keep]
+        begin = np.cumsum(size) - size
+        self.ids = self.ids[np.repeat(self.begin[keep] - begin, size) + np.arange(size.sum())]
+        self.hashes, self.begin, self.size, self.again = self.hashes[keep], begin, size, np.zeros(len(size), bool)
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
@@ -74,7 +83,8 @@ class PieceEncoder:
         self.ids = np.concatenate(parts)
         by_hash = np.argsort(order)  # hashes come sorted
         place = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.begin, self.size = (np.insert(old, place, new) for old, new in ((self.hashes, hashes), (self.begin, begin[by_hash]), (self.size, size[by_hash])))
+        known = ((self.hashes, hashes), (self.begin, begin[by_hash]), (self.size, size[by_hash]), (self.again, False))
+        self.hashes, self.begin, self.size, self.again = (np.insert(old, place, new) for old, new in known)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_bytes(column)
@@ -89,9 +99,13 @@ class PieceEncoder:
         ends = np.r_[starts[1:], len(data)]
         hashes, pick, which = grouped(span_hash(BYTE_VALUES[data], starts, ends))
         if len(self.hashes) + len(hashes) > CACHE_PIECES:
-            self.forget()
+            self.forget_rare()
+            if len(self.hashes) + len(hashes) > CACHE_PIECES:
+                self.forget()
         at = np.searchsorted(self.hashes, hashes)
-        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        self.again[at[known]] = True
+        new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
             self.learn(hashes[new], [raw[a:b] for a, b in zip(starts[pick[new]].tolist(), ends[pick[new]].tolist())])

@@ -634,3 +634,16 @@ def test_each_row_is_masked_by_its_own_spans(spark):
     docs = spark.createDataFrame([(i, t, s, len(t)) for i, t, s in rows], "doc_id long, text string, source string, n_chars int")
     got = {r.text for r in corpus_pipeline.mask_secrets(spark, docs, FOLDER).collect()}
     assert got == {"key [SECRET] end", rows[1][1], "x [SECRET]"}
+
+
+def test_full_cache_keeps_pieces_that_come_again(monkeypatch):
+    """Pieces of every slice are encoded in the first one alone, however often the cache is full; the ids stay the same."""
+    monkeypatch.setattr(token_ids, "CACHE_PIECES", 40)
+    encoder, sent = token_ids.PieceEncoder(queries.tokenizer_path()), []
+    plain = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: sent.extend(texts) or plain(texts))
+    for k in range(12):
+        text = "the river and the mountain " + " ".join(f"q{k}x{j}" for j in range(15))
+        ids, offsets = encoder.encode(pa.array([text]))
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids and offsets.tolist() == [0, len(ids)]
+    assert sum(t.count(b" mountain") for t in sent) == 1 and len(encoder.hashes) <= 40
