@@ -5,8 +5,9 @@ A text is read as its lower-cased words, a space after each, and one end byte. A
 hashed contexts of the last ORDERS bytes (across words) and of the word so far hold counts of zeros and ones over all
 training texts; the word that last followed the same two words in the same text is one more predictor. Their logits,
 damped where little was seen, are mixed with weights that a gate picks by the bit's place in the walk and the byte's in
-the word. The weights at the start of a text come from one Newton step over the training texts, in which every bit is
-predicted without its own count; a word in LEARN_EVERY takes part, by its place in the text. From there each text
+the word. The weights at the start of a text come from one Newton step over all bits of all training texts, in which every
+bit is predicted without its own count; bytes of the same contexts are looked at once and count as often as they come.
+From there each text
 refines its weights by its own errors as it is read (AdaGrad over blocks that double up to BLOCK_MOST bytes; a block is
 predicted with the weights from before it). Each bit's two probabilities add up to one; the total is the score.
 
@@ -38,9 +39,10 @@ PLACES, DEPTHS = 4, 8
 GATES = PLACES * DEPTHS
 #: Weights before the Newton step, step of the refinement, and the logit of a matching word.
 START, STEP, MATCH_LOGIT = np.array([0.35] * PREDICTORS + [1.0, 0.0]), np.float32(0.04), np.float32(2.0)
-LEARN_EVERY, GRAIN = 64, 12
+#: Start weights are learned from one word in so many, that is from all. Grains of a logit in scoring and in learning.
+LEARN_EVERY, GRAIN, FINE = 1, 12, 3_072
 BLOCK_LEAST, BLOCK_MOST = 16, 1024
-CHUNK_BYTES, PART_BYTES = 4_000_000, 400_000
+CHUNK_BYTES, PART_BYTES, LEARN_BYTES, PIECE = 4_000_000, 400_000, 500_000, 16_384
 #: Blocks in which context tables are summed, and bytes of text for each task that counts bits.
 TABLE_BLOCKS, TASK_BYTES = 64, 256_000_000
 SPACE, END, PADS = 0x20, 0xFF, 8
@@ -91,20 +93,24 @@ class Texts:
     def prepare(self, bits: int) -> None:
         """The slot of each context before each byte, the start of its word, and its place in there."""
         n, data = len(self.data), self.data
-        padded = np.r_[np.zeros(8, np.uint8), data]
-        before = np.ascontiguousarray(np.ndarray((n,), "<u8", padded, strides=(1,)))  # the last byte is the highest
+        before = np.ndarray((n,), "<u8", np.r_[np.zeros(8, np.uint8), data], strides=(1,))  # the last byte is the highest
         start = np.zeros(n, bool)
         start[1:] = data[:-1] == SPACE
         start[self.begin + PADS] = True
         at = np.arange(n)
         self.own = np.maximum.accumulate(np.where(start, at, 0))
-        length = at - self.own
-        self.place = np.minimum(length, PLACES - 1)
-        shift, most = np.uint64(64 - bits), np.minimum(length, 7)
-        self.word = ((before >> np.uint64(1)) >> (63 - 8 * most).view(np.uint64)) * SPREAD[0]
-        self.word ^= length.view(np.uint64) * SPREAD[1]
-        self.slots = [((before >> np.uint64(64 - 8 * o)) * SPREAD[2] >> shift).view(np.int64) for o in ORDERS]
-        self.slots.append(((self.word ^ (self.word >> np.uint64(29))) * SPREAD[3] >> shift).view(np.int64))
+        self.place, self.word, self.slots = np.empty(n, np.uint8), np.empty(n, np.uint64), [np.empty(n, np.int64) for _ in range(PREDICTORS)]
+        shift = np.uint64(64 - bits)
+        for low in range(0, n, PIECE):  # arrays of a piece stay in the cache
+            piece = slice(low, low + PIECE)
+            last, length = before[piece].copy(), at[piece] - self.own[piece]
+            self.place[piece] = np.minimum(length, PLACES - 1)
+            word = ((last >> np.uint64(1)) >> (63 - 8 * np.minimum(length, 7)).view(np.uint64)) * SPREAD[0]
+            word ^= length.view(np.uint64) * SPREAD[1]
+            self.word[piece] = word
+            for k, o in enumerate(ORDERS):
+                self.slots[k][piece] = ((last >> np.uint64(64 - 8 * o)) * SPREAD[2] >> shift).view(np.int64)
+            self.slots[-1][piece] = ((word ^ (word >> np.uint64(29))) * SPREAD[3] >> shift).view(np.int64)
 
     def expected(self) -> np.ndarray:
         """The next byte of the word that last followed the two words before, while it agrees; -1 if there is none."""
@@ -175,8 +181,9 @@ class Code:
         self.length = np.array(length, np.int16)  # 48 at most, as weights have a ratio under 10**9
         self.first = np.cumsum(self.length, dtype=np.int64) - self.length
         step, depth = np.array(steps, np.int64), np.array(depth)
-        node = (step >> 1) * 0x9E3779B1 >> 5 & ((1 << bits) - 1)
+        node = 254 - (step >> 1)  # heavy ones first: the slots of a context's first steps lie near one another in memory
         self.step = node << 16 | np.minimum(depth, DEPTHS - 1) * PLACES << 8 | depth << 1 | step & 1  # see `parted`
+        self.flag = node << 1 | step & 1
         self.whole = np.add.reduceat((step & 1) << (47 - depth), self.first)
 
     def steps(self, before: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,6 +196,17 @@ class Code:
         index += np.arange(len(index))
         return length, self.step[index], owner
 
+    def by_depth(self, pairs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """An order of pairs (before << 8 | byte) by kind (under 4), longest walks first, and (kind, depth, from, to): which
+        of a kind have a step at each depth."""
+        group = (kind * 64 + (48 - self.length[pairs])).astype(np.uint8)
+        many, depths, start = np.bincount(group, minlength=256).reshape(4, 64), [], 0
+        for k in range(4):
+            there = np.cumsum(many[k])
+            depths += [(k, depth, start, start + int(there[47 - depth])) for depth in range(48) if there[47 - depth]]
+            start += int(there[-1])
+        return np.argsort(group, kind="stable"), depths
+
     def common(self, before: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many steps the walks of two bytes share."""
         i, j = before.astype(np.int64) << 8 | a, before.astype(np.int64) << 8 | b
@@ -206,58 +224,90 @@ def grained(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.round(logits(counts[:, 0::2], counts[:, 1::2]) * GRAIN), -127, 127).astype(np.int8)
 
 
-#: The input of a matching word, by steps that it shares with the byte less the step's own: agrees, goes apart, gone.
-GUESS = np.where(np.arange(-64, 64) > 0, MATCH_LOGIT, np.where(np.arange(-64, 64) == 0, -MATCH_LOGIT, 0)).astype(np.float32)
+def lone(counts: np.ndarray) -> np.ndarray:
+    """The logits towards each bit, once that bit is taken from the counts, as whole 1 / FINE: of 2 * slot + bit."""
+    zeros, ones, out, most = counts[:, 0::2], counts[:, 1::2], np.empty(counts.shape, np.int16), 127 * FINE // GRAIN
+    for o in range(len(counts)):
+        out[o, 0::2] = np.clip(np.round(logits(ones[o], np.maximum(zeros[o] - 1, 0)) * FINE), -most, most)
+        out[o, 1::2] = np.clip(np.round(logits(zeros[o], np.maximum(ones[o] - 1, 0)) * FINE), -most, most)
+    return out
 
 
-def tally(texts: Texts, train: np.ndarray, code: Code, tables: np.ndarray) -> None:
-    """Adds the bits of training texts to the counts of their slots: tables[predictor, 2 * slot + bit]."""
-    for row, part in texts.parts(PART_BYTES):
-        use = np.repeat(train[row : row + len(part.size)], part.size)
-        if not use.any():
-            continue
-        use[(part.begin[:, None] + np.arange(PADS)).ravel()] = False
-        part.prepare(code.bits)
-        at = np.flatnonzero(use)
-        _, step, owner = code.steps(part.data[at - 1], part.data[at])
-        node, ones, slot = (step >> 16) << 1 | step & 1, np.ones(len(step), tables.dtype), np.empty(len(step), np.int64)
-        for o in range(PREDICTORS):
-            np.take(part.slots[o][at] << 1, owner, out=slot, mode="clip")
-            slot ^= node
-            np.add.at(tables[o], slot, ones)
+#: What a unit of each input is: a grain of a context's logit, the side that a matching word takes, and the constant.
+SCALES = np.array([1 / GRAIN] * PREDICTORS + [MATCH_LOGIT, 1], np.float32)
 
 
-def slopes(texts: Texts, train: np.ndarray, code: Code, counts: np.ndarray) -> np.ndarray:
-    """The gradient and the curvature of the likelihood at the start weights, of each gate; see the module's text."""
-    total = np.zeros((GATES, INPUTS * (INPUTS + 1)))
-    for row, part in texts.parts(PART_BYTES):
+def _learning(texts: Texts, train: np.ndarray, bits: int) -> Iterator[tuple[Texts, np.ndarray, np.ndarray]]:
+    """Training texts by parts, prepared, with the places of their bytes and each one's pair with the byte before."""
+    for row, part in texts.parts(LEARN_BYTES):
         use = np.repeat(train[row : row + len(part.size)], part.size)
-        use[(part.begin[:, None] + np.arange(PADS)).ravel()] = False
-        part.prepare(code.bits)
-        use &= ((part.own - np.repeat(part.begin, part.size)) * 0x9E3779B1 >> 9) % LEARN_EVERY == 0
-        some = np.flatnonzero(use)
-        if not len(some):
-            continue
-        before, data, guess = part.data[some - 1], part.data[some], part.expected()[some]
-        _, step, owner = code.steps(before, data)
-        bit, node = step & 1, step >> 16
-        x = np.ones((INPUTS, len(step)))
+        if use.any():
+            use[(part.begin[:, None] + np.arange(PADS)).ravel()] = False
+            part.prepare(bits)
+            at = np.flatnonzero(use)
+            yield part, at, part.data[at - 1].astype(np.int64) << 8 | part.data[at]
+
+
+def _runs(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where equal keys that follow one another begin, and how many they are."""
+    first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+    return first, np.diff(np.r_[first, len(found)])
+
+
+def tally(texts: Texts, train: np.ndarray, code: Code, tables: np.ndarray) -> None:
+    """Adds the bits of training texts to the counts of their slots: tables[predictor, 2 * slot + bit]."""
+    for part, at, pair in _learning(texts, train, code.bits):
         for o in range(PREDICTORS):
-            slot = (part.slots[o][some][owner] ^ node) << 1
-            zeros, ones = counts[o][slot].astype(float), counts[o][slot | 1].astype(float)
-            x[o] = logits(zeros - (1 - bit), ones - bit)
-        shared = np.where(guess < 0, -1, code.common(before, data, np.maximum(guess, 0)))
-        sign = 2 * bit - 1
-        x[MATCH] = GUESS[shared[owner] - (step >> 1 & 127) + 64] * sign
-        gate = (step >> 8 & 255) + part.place[some][owner]
-        p = 1 / (1 + np.exp(-np.clip(START @ x, -30, 30)))
-        for i in range(INPUTS):
-            total[:, i] += np.bincount(gate, (bit - p) * x[i], GATES)
-            for j in range(i, INPUTS):
-                both = np.bincount(gate, p * (1 - p) * x[i] * x[j], GATES)
-                total[:, INPUTS * (i + 1) + j] += both
-                if j > i:
-                    total[:, INPUTS * (j + 1) + i] += both
+            key = part.slots[o][at] << 16 | pair
+            key.sort()
+            first, many = _runs(key)
+            order, depths = code.by_depth(key[first] & 0xFFFF, np.zeros(len(first), np.int64))
+            key, many = key[first][order], many.astype(tables.dtype)[order]
+            begin, slot = code.first[key & 0xFFFF], key >> 16 << 1
+            for _, depth, _, n in depths:
+                np.add.at(tables[o], slot[:n] ^ code.flag[begin[:n] + depth], many[:n])
+
+
+def slopes(texts: Texts, train: np.ndarray, code: Code, table: np.ndarray) -> np.ndarray:
+    """The gradient and the curvature of the likelihood at the start weights, of each gate, over all training bits; table:
+    `lone`. Bytes whose slots, place, pair and guess are the same are looked at once."""
+    total = np.zeros((GATES, INPUTS * (INPUTS + 1)))
+    for part, at, pair in _learning(texts, train, code.bits):
+        one = (part.slots[0][at] << code.bits | part.slots[1][at]) << code.bits | part.slots[2][at]
+        two = ((part.slots[3][at] << 2 | part.place[at]) << 9 | part.expected()[at] + 1) << 16 | pair
+        key = one.view(np.uint64) * SPREAD[0] ^ two.view(np.uint64) * SPREAD[1]
+        key = (key ^ key >> np.uint64(29)) * SPREAD[3]
+        order = sorted_by(key)
+        first, many = _runs(key[order])
+        often = np.zeros(len(at))
+        often[order[first]] = many
+        some = np.flatnonzero(often)  # in the texts' order, near one another in memory
+        pair, kind, at = pair[some], part.place[at[some]], at[some]
+        order, depths = code.by_depth(pair, kind)
+        at, pair, often, guess = at[order], pair[order], often[some][order], (two[some][order] >> 16 & 511) - 1
+        begin, shared = code.first[pair], code.common(pair >> 8, pair & 255, np.maximum(guess, 0))
+        shared[guess < 0] = -1
+        flags = [code.flag[begin[a:b] + depth] for _, depth, a, b in depths]
+        found = np.empty((PREDICTORS, sum(map(len, flags))), np.int16)
+        for o in range(PREDICTORS):  # a table at a time stays in the cache
+            slot, done = part.slots[o][at] << 1, 0
+            for flag, (_, _, a, b) in zip(flags, depths):
+                np.take(table[o], slot[a:b] ^ flag, out=found[o, done : done + b - a], mode="clip")
+                done += b - a
+        done = 0
+        for flag, (place, depth, a, b) in zip(flags, depths):
+            gate = min(depth, DEPTHS - 1) * PLACES + place
+            for low in range(a, b, PIECE):  # arrays of a piece stay in the cache
+                high = min(low + PIECE, b)
+                x = np.empty((INPUTS, high - low))
+                np.multiply(found[:, done : done + high - low], 1 / FINE, out=x[:PREDICTORS])
+                np.multiply((shared[low:high] > depth).astype(np.int8) - (shared[low:high] == depth), MATCH_LOGIT, out=x[MATCH])
+                x[CONSTANT] = (flag[low - a : high - a] & 1) * 2 - 1
+                p = 1 / (1 + np.exp(-(START @ x)))
+                left = (1 - p) * often[low:high]
+                total[gate, :INPUTS] += x @ left
+                total[gate, INPUTS:] += (x * (p * left) @ x.T).ravel()
+                done += high - low
     return total
 
 
@@ -286,40 +336,49 @@ def mixed(texts: Texts, code: Code, table: np.ndarray, weights: np.ndarray) -> n
     return np.concatenate(out) if out else np.zeros(0)
 
 
+def _inputs(s: Texts, code: Code, table: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of bytes the ends of their steps; of each step its inputs towards its bit (see SCALES) and its gate."""
+    before, data, guess = s.data[at - 1], s.data[at], s.expected()[at]
+    shared, some = np.full(len(at), -1, np.int8), np.flatnonzero(guess >= 0)
+    shared[some] = code.common(before[some], data[some], guess[some])
+    place, stop = s.place[at].astype(np.uint8), np.cumsum(code.length[before.astype(np.int64) << 8 | data], dtype=np.int64)
+    x, gates, done = np.empty((INPUTS, int(stop[-1])), np.int8), np.empty(int(stop[-1]), np.uint8), 0
+    for low in range(0, len(at), PIECE):  # arrays of a piece stay in the cache
+        piece = slice(low, low + PIECE)
+        _, step, owner = code.steps(before[piece], data[piece])
+        own, node, slot = slice(done, done + len(step)), step >> 16, np.empty(len(step), np.int64)
+        sign = ((step & 1) * 2 - 1).astype(np.int8)
+        for o in range(PREDICTORS):
+            np.take(s.slots[o][at[piece]], owner, out=slot, mode="clip")
+            slot ^= node
+            np.take(table[o], slot, out=x[o, own], mode="clip")
+        x[:PREDICTORS, own] *= sign
+        agreed, depth = shared[piece][owner], (step >> 1).astype(np.int8) & 127
+        x[MATCH, own] = (agreed > depth).astype(np.int8) - (agreed == depth)  # agrees, goes apart, gone
+        x[CONSTANT, own] = sign
+        gates[own] = (step >> 8).astype(np.uint8) + place[piece][owner]
+        done += len(step)
+    return stop, x, gates
+
+
 def _mixed(s: Texts, code: Code, table: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    first, room, guess = s.begin + PADS, s.size - PADS, s.expected()
-    moved = np.zeros((INPUTS, len(first)), np.float32)
-    seen, cost = np.full(moved.shape, 0.1, np.float32), np.zeros(len(first))
+    room = s.size - PADS
     ends = blocks_to(int(room.max()))
+    inside = np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room, room)
+    block = np.repeat(np.arange(len(ends) - 1), np.diff(ends)).astype(np.uint16 if len(ends) <= 1 << 16 else np.int64)[inside]
+    at = np.repeat(s.begin + PADS, room) + inside
+    stop, inputs, gates = _inputs(s, code, table, at[np.argsort(block, kind="stable")])  # a block's bytes together
+    moved = np.zeros((INPUTS, len(room)), np.float32)
+    seen, cost, stop, done = np.full(moved.shape, 0.1, np.float32), np.zeros(len(room)), np.r_[0, stop], 0
     for low, high in zip(ends[:-1], ends[1:]):
         who = np.flatnonzero(room > low)
-        many = np.minimum(room[who], high) - low
-        at = np.repeat(first[who] + low - (np.cumsum(many) - many), many)
-        at += np.arange(len(at))
-        before, data, expects = s.data[at - 1], s.data[at], guess[at]
-        length, step, owner = code.steps(before, data)
-        steps = np.add.reduceat(length, np.cumsum(many) - many)
-        begin = np.cumsum(steps) - steps
-        sign = (step & 1).astype(np.float32)
-        sign *= 2
-        sign -= 1
-        gate = (s.place[at] + np.repeat(np.arange(len(who)) * GATES, many))[owner]
-        gate += step >> 8 & 255
-        node = step >> 16
-        own = (weights.T[:, None, :] + moved[:, who, None]).reshape(INPUTS, -1)
-        x, small, slot = np.empty((INPUTS, len(step)), np.float32), np.empty(len(step), np.int8), np.empty(len(step), np.int64)
-        for o in range(PREDICTORS):
-            np.take(s.slots[o][at], owner, out=slot, mode="clip")
-            slot ^= node
-            np.take(table[o], slot, out=small, mode="clip")
-            np.multiply(sign, small, out=x[o])
-        x[:PREDICTORS] *= np.float32(1 / GRAIN)
-        x[CONSTANT] = sign
-        shared = np.full(len(at), -1, np.int8)
-        some = np.flatnonzero(expects >= 0)
-        shared[some] = code.common(before[some], data[some], expects[some])
-        np.take(GUESS, (shared.astype(np.int64) + 64)[owner] - (step >> 1 & 127), out=x[MATCH], mode="clip")
-        z, w = np.zeros(len(step), np.float32), np.empty(len(step), np.float32)
+        last = done + np.cumsum(np.minimum(room[who], high) - low)
+        cuts = stop[np.r_[done, last]]
+        steps, begin, mine, done = np.diff(cuts), cuts[:-1] - cuts[0], slice(cuts[0], cuts[-1]), int(last[-1])
+        gate = np.repeat(np.arange(len(who)) * GATES, steps)
+        gate += gates[mine]
+        own = ((weights.T[:, None, :] + moved[:, who, None]) * SCALES[:, None, None]).reshape(INPUTS, -1)
+        x, z, w = inputs[:, mine].astype(np.float32), np.zeros(len(gate), np.float32), np.empty(len(gate), np.float32)
         for o in range(INPUTS):
             np.take(own[o], gate, out=w, mode="clip")
             w *= x[o]
@@ -330,7 +389,7 @@ def _mixed(s: Texts, code: Code, table: np.ndarray, weights: np.ndarray) -> np.n
         z /= w
         cost[who] += np.add.reduceat(np.log(w, out=w), begin, dtype=np.float64)
         x *= z
-        slope = np.add.reduceat(x, begin, axis=1)
+        slope = np.add.reduceat(x, begin, axis=1) * SCALES[:, None]
         seen[:, who] += slope * slope
         moved[:, who] += STEP * slope / np.sqrt(seen[:, who])
     return -cost / np.log(10)
@@ -404,12 +463,12 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block").slice(0, 1), "counts": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
 
-def _slopes(code, counts):
+def _slopes(code, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((GATES, INPUTS * (INPUTS + 1)))
         for batch in batches:
             for texts, train in _texts_of(batch):
-                total += slopes(texts, train, code.value, counts.value)
+                total += slopes(texts, train, code.value, table.value)
         yield pa.record_batch([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["i", "value"])
 
     return run
@@ -484,7 +543,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = np.zeros((PREDICTORS, 2 << code.value.bits), np.float32)
     if blocks:
         counts = np.concatenate([np.frombuffer(r.counts, "<f4") for r in sorted(blocks, key=lambda r: r.block)]).reshape(PREDICTORS, -1)
-    shared = context.broadcast(counts)
+    shared = context.broadcast(lone(counts))
     sums = dict(streams.mapInArrow(_slopes(code, shared), "i int, value double").groupBy("i").agg(F.sum("value")).collect())
     weights = start_weights(np.array([sums.get(i, 0.0) for i in range(GATES * INPUTS * (INPUTS + 1))]).reshape(GATES, -1))
     table = context.broadcast(grained(counts))

@@ -316,6 +316,33 @@ def test_language_model_against_a_plain_one(docs):
         assert got[i] == pytest.approx(plain.score(d), rel=2e-4)
 
 
+def test_start_weights_are_learned_from_all_words(docs, monkeypatch):
+    monkeypatch.setattr(mixing_lm, "LEARN_EVERY", 1)  # of the plain model
+    some = docs.filter("doc_id % 9 = 0 and n_chars < 2500")
+    plain = PlainMixer([(r.doc_id, r.text) for r in some.collect()])
+    found, solve = [], mixing_lm.start_weights
+    monkeypatch.setattr(mixing_lm, "start_weights", lambda total: found.append(solve(total)) or found[0])
+    mixing_lm.score(some)
+    assert np.abs(found[0] - plain.weights).mean() < 2e-3
+
+
+def test_learning_takes_every_training_bit_in_any_order():
+    texts, bits = [RNG.choice([97, 98, 99, mixing_lm.SPACE], n).astype(np.uint8) for n in (40, 3000, 1, 700)], 14
+
+    def slopes(order):
+        rows = [np.r_[np.zeros(mixing_lm.PADS, np.uint8), texts[i], mixing_lm.END].astype(np.uint8) for i in order]
+        every, train = mixing_lm.Texts(np.concatenate(rows), np.array([len(r) for r in rows])), np.array([i != 3 for i in order])
+        counts = np.zeros((mixing_lm.PREDICTORS, 2 << bits), np.int32)
+        mixing_lm.tally(every, train, code, counts)
+        return mixing_lm.slopes(every, train, code, mixing_lm.lone(counts.astype(np.float32))), counts
+
+    code = mixing_lm.Code(RNG.integers(0, 50, (256, 256)), bits)
+    (one, counts), (other, again) = slopes([0, 1, 2, 3]), slopes([2, 3, 1, 0])
+    assert np.allclose(one, other, rtol=1e-9, atol=1e-9) and (counts == again).all()
+    steps = sum(int(code.length[[int(a) << 8 | int(b) for a, b in zip(np.r_[0, t], np.r_[t, mixing_lm.END])]].sum()) for t in texts[:3])
+    assert (counts.sum(1) == steps).all()
+
+
 def test_scores_of_a_text_do_not_depend_on_the_split(docs):
     one, many = ({r.doc_id: (r.score, r.base_score) for r in mixing_lm.score(docs.repartition(n, "text")).collect()} for n in (1, 7))
     assert one.keys() == many.keys() and all(one[i] == pytest.approx(many[i], rel=1e-6) for i in one)
