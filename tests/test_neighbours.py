@@ -170,3 +170,13 @@ def test_a_row_goes_once_to_a_group_of_cells(spark, monkeypatch):
     rows = cells_module.searched(own, within(own, 100.0), met, "obj_id long, n long").groupBy("obj_id").agg(F.count("*").alias("tiles"), F.sum("n").alias("n")).collect()
     assert len(own.pivots) == 15 and len(rows) == 300 and {r.n for r in rows} == {300}
     assert max(r.tiles for r in rows) <= 6
+
+
+def test_a_tile_of_distances_takes_two_arrays():
+    x, y = np.random.default_rng(3).normal(size=(200, 8)), np.random.default_rng(4).normal(size=(5000, 8))
+    tracemalloc.start()
+    d = metric_of("minkowski", 2).tile(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * d.nbytes
+    assert np.allclose(d, np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)))
