@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.series import fill_gaps, high_passed_rms
 from .normalize import standardize
 
+#: What sums of doubles may be off by, as a part of their values.
+ROUNDING = 1e-12
+
 
 def _ordered(key: str = "obj_id", by: str = "i"):
     return Window.partitionBy(key).orderBy(by)
@@ -167,7 +170,9 @@ def running_median(table: DataFrame, columns: list[str], by: str, part: str, wid
 
 def attitude_outlier_bins(table: DataFrame, columns: list[str], t0: float, size: int = 900, sigma: float = 5.0, part: str | None = None) -> DataFrame:
     """From the sample nearest to t0 on, means of full bins of `size` samples (bin time: its first sample); bins
-    beyond mean +- sigma deviations in any channel. With `part` each stretch has its own start, bins and statistics."""
+    beyond mean +- sigma deviations in any channel. With `part` each stretch has its own start, bins and statistics.
+
+    A bin at the limit itself is not beyond it, whichever way the sums of doubles round: ROUNDING of mean and limit is let by."""
     keys = [part] if part else []
 
     def meet(rows: DataFrame, facts: DataFrame) -> DataFrame:
@@ -177,7 +182,8 @@ def attitude_outlier_bins(table: DataFrame, columns: list[str], t0: float, size:
     bins = meet(table, start).filter("i >= i0").withColumn("bin", F.floor((F.col("i") - F.col("i0")) / size))
     means = bins.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.min_by("t", "i").alias("t"), *(F.avg(c).alias(c) for c in columns)).filter(F.col("n") == size)
     stats = means.groupBy(*keys).agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns))
-    odd = [F.abs(F.col(c) - F.col(f"m_{c}")) > sigma * F.col(f"s_{c}") for c in columns]
+    limit = {c: sigma * F.col(f"s_{c}") for c in columns}
+    odd = [F.abs(F.col(c) - F.col(f"m_{c}")) > limit[c] + ROUNDING * (F.abs(f"m_{c}") + limit[c]) for c in columns]
     any_odd = odd[0]
     for x in odd[1:]:
         any_odd = any_odd | x

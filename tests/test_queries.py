@@ -46,6 +46,16 @@ def test_attitude_bins_of_all_stretches(spark):
     assert len(stretches) > 1 and got == want and len({k for k, *_ in got}) > 1
 
 
+def test_attitude_bins_at_the_limit_itself(spark):
+    """4 of 13 bins above the other 9 are exactly 1.5 deviations from the mean, and so not beyond; a hair less is."""
+    from skyweave.operators.timeaxis import attitude_outlier_bins
+
+    table = [(k, i, 2.0 * i, (k % 7 + (3 + k if i % 3 == 1 and i < 12 else 0)) / 100) for k in range(60) for i in range(13)]
+    table = spark.createDataFrame(table, "stretch long, i long, t double, q double")
+    assert attitude_outlier_bins(table, ["q"], 0.0, 1, 1.5, "stretch").count() == 0
+    assert attitude_outlier_bins(table, ["q"], 0.0, 1, 1.5 - 1e-9, "stretch").count() == 60 * 4
+
+
 def test_events_inside_whole_series(spark, con):
     from skyweave.plans import views as v
 
