@@ -180,3 +180,32 @@ def test_a_tile_of_distances_takes_two_arrays():
     tracemalloc.stop()
     assert peak < 2.5 * d.nbytes
     assert np.allclose(d, np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)))
+
+
+@pytest.mark.parametrize("name", ["euclidean", "cosine", "cityblock", "chebyshev", "minkowski", "canberra", "braycurtis"])
+def test_single_precision_is_off_by_its_slack_at_most(name):
+    """Also of copies, of rows that hardly differ and of numbers near zero; what it cannot tell apart is in double precision."""
+    way = metric_of(name, 4.0)
+    x = np.r_[RNG.normal(size=(60, 64)), RNG.normal(size=(60, 64)) * RNG.uniform(0, 2, (60, 64)) ** 9]
+    x = way.prepared(np.r_[x, x[:20], x[:20] + 1e-7])
+    d, slack = way.quick(x, x, {})
+    want = np.array([way.pairs(np.broadcast_to(r, x.shape), x) for r in x])
+    assert d.dtype == np.float32 and 0 < slack < 0.1 * want.mean() and np.abs(d - want).max() <= slack
+    memo = {}
+    shifted = x / np.abs(x).max() + 3e5
+    d, slack = way.quick(shifted, shifted, memo)
+    want = np.array([way.pairs(np.broadcast_to(r, x.shape), shifted) for r in shifted])
+    assert d.dtype == float and slack is None and memo["double"] and np.abs(d - want).max() <= 1e-6 * 3e5 * 8
+    assert way.quick(1e-200 * x, x * 0, {})[1] is None and way.quick(x[:0], x, {})[0].shape == (0, len(x))
+
+
+def test_dbscan_asks_once_for_those_alone(spark, small, monkeypatch):
+    """The second search, for links, is of points that have others within the radius, among core points."""
+    x = np.concatenate([RNG.normal(0, 0.1, (40, 2)), 50 * RNG.normal(size=(200, 2)) + 500 * np.arange(200)[:, None], [[0.0, 1.0]]])
+    asked, searched = [], cluster.searched
+    monkeypatch.setattr(cluster, "searched", lambda cells, sent, *args, **how: asked.append((sent.count(), cells.table.count())) or searched(cells, sent, *args, **how))
+    got = {r.obj_id: r.cluster for r in cluster.dbscan(frame(spark, x), 0.95, 4).collect()}
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2)) <= 0.95
+    core = d.sum(1) >= 4
+    assert asked[-1] == ((d.sum(1) > 1).sum(), core.sum()) and asked[-1][0] < 60
+    assert {k for k, c in got.items() if c >= 0} == set(np.flatnonzero((d & core[None]).any(1))) and set(got.values()) == {0, -1}
